@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where it can express them."""
 
 from scholion.llm.decontamination import op2_benchmark_decontamination
+from scholion.llm.packing import op3_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_best_fit_packing)}
 ORACLES: dict[str, str] = {}
