@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where it can express them."""
 
 from scholion.llm.decontamination import op2_benchmark_decontamination
+from scholion.llm.license_scan import op7_license_scan
 from scholion.llm.packing import op3_best_fit_packing
 from scholion.llm.quality_rules import ORACLE_SQL as OP6_SQL
 from scholion.llm.quality_rules import op6_quality_rules
 from scholion.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_best_fit_packing, op6_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_best_fit_packing, op6_quality_rules, op7_license_scan, op10_url_filter)}
 ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
