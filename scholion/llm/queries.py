@@ -2,11 +2,12 @@
 
 from scholion.llm.decontamination import op2_benchmark_decontamination
 from scholion.llm.license_scan import op7_license_scan
+from scholion.llm.near_dedup import op5_minhash_near_dedup
 from scholion.llm.packing import op3_best_fit_packing
 from scholion.llm.quality_classifier import op1_quality_classifier
 from scholion.llm.quality_rules import ORACLE_SQL as OP6_SQL
 from scholion.llm.quality_rules import op6_quality_rules
 from scholion.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op6_quality_rules, op7_license_scan, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules, op7_license_scan, op10_url_filter)}
 ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
