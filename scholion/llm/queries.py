@@ -2,6 +2,7 @@
 
 from scholion.llm.decontamination import op2_benchmark_decontamination
 from scholion.llm.license_scan import op7_license_scan
+from scholion.llm.lm_scoring import op8_lm_scoring
 from scholion.llm.near_dedup import op5_minhash_near_dedup
 from scholion.llm.packing import op3_best_fit_packing
 from scholion.llm.quality_classifier import op1_quality_classifier
@@ -10,5 +11,5 @@ from scholion.llm.quality_rules import op6_quality_rules
 from scholion.llm.suffix_dedup import op9_suffix_array_dedup
 from scholion.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules, op7_license_scan, op9_suffix_array_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules, op7_license_scan, op8_lm_scoring, op9_suffix_array_dedup, op10_url_filter)}
 ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
