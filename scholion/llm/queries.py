@@ -8,8 +8,10 @@ from scholion.llm.packing import op3_best_fit_packing
 from scholion.llm.quality_classifier import op1_quality_classifier
 from scholion.llm.quality_rules import ORACLE_SQL as OP6_SQL
 from scholion.llm.quality_rules import op6_quality_rules
+from scholion.llm.sharding import ORACLE_SQL as OP4_SQL
+from scholion.llm.sharding import op4_sharding
 from scholion.llm.suffix_dedup import op9_suffix_array_dedup
 from scholion.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op5_minhash_near_dedup, op6_quality_rules, op7_license_scan, op8_lm_scoring, op9_suffix_array_dedup, op10_url_filter)}
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_sharding, op5_minhash_near_dedup, op6_quality_rules, op7_license_scan, op8_lm_scoring, op9_suffix_array_dedup, op10_url_filter)}
+ORACLES: dict[str, str] = {"op4_sharding": OP4_SQL, "op6_quality_rules": OP6_SQL}
