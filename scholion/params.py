@@ -1,0 +1,29 @@
+"""Parameters that all rankings share."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Params:
+    """Defaults of the ranking operators; `dataclasses.replace` overrides them for a call."""
+
+    seeds: int = 10
+    hops: int = 1
+    teleport: float = 0.3
+    age_relev: float = 0.005
+    ctx_relev: float = 0.5
+    query_relev: float = 5.0
+    papers_relev: float = 0.25
+    authors_relev: float = 0.25
+    affils_relev: float = 0.25
+    words_relev: float = 0.25
+    venues_relev: float = 0.25
+    current_year: int = 2016
+    old_year: int = 1950
+    min_lift: float = 1.0
+    min_ngram: float = 0.25
+    min_topic: float = 0.1
+    tolerance: float = 1e-8
+    max_iterations: int = 100
