@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from scholion.plans import relational  # noqa: F401
+from scholion.plans import graphs, relational  # noqa: F401
 from scholion.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
