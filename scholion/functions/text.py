@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: English stop words.
 STOPWORDS = tuple(
@@ -134,8 +135,8 @@ def split_references(section: Column) -> Column:
     """References that begin with [n], or else with a numbered line."""
     marked = F.split(section, r"\[\d+\]\s*")
     numbered = F.split(F.concat(F.lit("\n"), section), r"\n\s*\d+\.\s+")
-    chosen = F.when(F.size(marked) > 1, marked).otherwise(numbered)
-    return F.filter(F.transform(F.slice(chosen, F.lit(2), F.greatest(F.size(chosen) - 1, F.lit(0))), lambda r: F.trim(r)), lambda r: r != "")
+    chosen = F.transform(F.when(F.size(marked) > 1, marked).otherwise(numbered), lambda r: F.regexp_replace(r, r"^\s+|\s+$", ""))
+    return F.filter(F.slice(chosen, F.lit(2), F.greatest(F.size(chosen) - 1, F.lit(0))), lambda r: r != "")
 
 
 def section(paragraphs: Column, start: str, end: str) -> Column:
@@ -235,7 +236,7 @@ def porter_stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     """Porter stems; each distinct word of a batch is stemmed once."""
     table = {w: porter_stem(w) for w in words.dropna().unique()}
@@ -265,6 +266,6 @@ def jaro_winkler_similarity(a: str, b: str, scale: float = 0.1) -> float:
     return jaro + prefix * scale * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
