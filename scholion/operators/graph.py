@@ -24,12 +24,14 @@ def transition(edges: DataFrame) -> DataFrame:
     return edges.join(totals, "src").select("src", "dst", F.coalesce(F.try_divide(F.col("weight"), F.col("_t")), F.lit(0.0)).alias("p"))
 
 
-def metropolis(edges: DataFrame) -> DataFrame:
-    """src, dst, p: transition scaled by min(1, out(src) / out(dst)), the rest in a loop at src."""
+def metropolis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, p: transition scaled by min(1, out(src) / out(dst)), the rest in a loop at src; nodes without out-edges keep all."""
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
     e = transition(edges).where("src <> dst").join(out.withColumnRenamed("n", "nu"), "src").join(out.select(F.col("src").alias("dst"), F.col("n").alias("nv")), "dst", "left")
     scaled = e.select("src", "dst", (F.col("p") * F.when(F.coalesce("nv", F.lit(0)) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("nu") / F.col("nv")))).alias("p"))
-    return scaled.groupBy("src").agg(F.sum("p").alias("s")).select("src", F.col("src").alias("dst"), (1 - F.col("s")).alias("p")).union(scaled)
+    left = scaled.groupBy("src").agg(F.sum("p").alias("s"))
+    loops = nodes.select(F.col("node").alias("src")).join(left, "src", "left")
+    return loops.select("src", F.col("src").alias("dst"), (1 - F.coalesce("s", F.lit(0.0))).alias("p")).union(scaled)
 
 
 def pagerank(
@@ -54,7 +56,7 @@ def pagerank(
     after most + 2 steps without that, it raises.
     """
     d = 1 - teleport
-    probabilities = checkpointed(metropolis(edges) if kind == "metropolis" else transition(edges))
+    probabilities = checkpointed(metropolis(nodes, edges) if kind == "metropolis" else transition(edges))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))

@@ -61,7 +61,7 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 _METROPOLIS = """WITH o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), s AS (
   SELECT t.src, t.dst, t.p * CASE WHEN coalesce(v.n, 0) = 0 THEN 1.0 ELSE least(1.0::DOUBLE, u.n / v.n) END AS p
   FROM (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM e) t JOIN o u ON u.src = t.src LEFT JOIN o v ON v.src = t.dst WHERE t.src <> t.dst)
-SELECT * FROM s UNION ALL SELECT src, src, 1 - sum(p) FROM s GROUP BY 1"""
+SELECT * FROM s UNION ALL SELECT src, src, 1 - sum(p) FROM s GROUP BY 1 UNION ALL SELECT node, node, 1.0::DOUBLE FROM n WHERE node NOT IN (SELECT src FROM s)"""
 
 
 @query("GR2_metropolis", f"{_AFFIL_GRAPH}, {walk_sql(0.3, p=_METROPOLIS)} SELECT node, round(score, 9) AS score FROM x")

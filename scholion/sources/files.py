@@ -64,14 +64,14 @@ def homepage_of(xml: Column) -> Column:
 
 def read_result_lists(spark: SparkSession, path: str) -> DataFrame:
     """query, title of files whose first line is a query and whose others are titles; titles that differ in case are one."""
-    d = spark.read.option("wholetext", True).text(path).select(F.split("value", r"\r?\n").alias("_l"))
+    d = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("_l"))
     rows = d.select(F.get("_l", F.lit(0)).alias("query"), F.posexplode(F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0)))).alias("position", "title")).where(F.trim("title") != "")
     return rows.groupBy("query", F.lower("title").alias("_t")).agg(F.min_by("title", "position").alias("title"), F.min("position").alias("position")).drop("_t")
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """row, column, value of a grid of numbers, a line a row, each from 0."""
-    d = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
     return d.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("column", "value")).withColumn("value", F.col("value").cast("double"))
 
 
