@@ -19,7 +19,7 @@ from scholion.plans import graphs as PG
 from scholion.plans import relational as PR
 from scholion.plans import texts as PT
 from scholion.plans.registry import query
-from scholion.plans.relational import CREDIT, CREDIT_DECAYED, DECAY, DECAY_SQL, project, r6, yearly_credit
+from scholion.plans.relational import CREDIT, CREDIT_DECAYED, decayed, project, r6, yearly_credit
 
 _YEARLY = f"WITH {ctes('fact', 'candidates')}, {CREDIT}, y AS (SELECT DISTINCT year FROM papers), s AS MATERIALIZED (SELECT affil_id, y.year AS step, coalesce(sum(score), 0) AS score FROM candidates CROSS JOIN y LEFT JOIN credit USING (affil_id, year) GROUP BY 1, 2)"
 _TREND = """t AS (SELECT s.* FROM s JOIN (SELECT affil_id, min(step) AS f FROM s WHERE score > 0 GROUP BY 1) USING (affil_id) WHERE step >= f - 1),
@@ -194,7 +194,7 @@ def keyword_classifier(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression, OneVsRest
     from pyspark.ml.feature import HashingTF, StringIndexer
 
-    docs = table(spark, d, "documents").select("doc_id", "lang", PT.WORDS.alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", PT.text_words().alias("words"))
     x = HashingTF(inputCol="words", outputCol="features", numFeatures=256).transform(docs)
     indexed = StringIndexer(inputCol="lang", outputCol="label").fit(x).transform(x)
     model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(indexed.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(2000))
@@ -339,7 +339,7 @@ def answer(spark: SparkSession, d: str, scores: DataFrame, digits: int = 6) -> D
 
 @query("QRY1_simple", _SIMPLE.format(credit=CREDIT_DECAYED, where="true"))
 def simple(spark: SparkSession, d: str) -> DataFrame:
-    return answer(spark, d, C.fractional_credit(fact(spark, d).where("venue = '1-URGENT'"), weight=DECAY))
+    return answer(spark, d, C.fractional_credit(fact(spark, d).where("venue = '1-URGENT'"), weight=decayed()))
 
 
 @query("QRY2_regression", _SIMPLE.format(credit=CREDIT, where="year > (SELECT min(year) FROM papers)"))
@@ -430,7 +430,7 @@ def top_cited(spark: SparkSession, d: str) -> DataFrame:
 
 @query("QRY15_text_search", PT._search_sql(PT._BM25_PART, 10))
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(PT.benchmark_terms(spark, d), texts(spark, d), PT.WORDS, 10, "bm25")
+    return K.search(PT.benchmark_terms(spark, d), texts(spark, d), PT.text_words(), 10, "bm25")
 
 
 @query("QRY16_seeded_walk", f"{PG._AFFIL_GRAPH}, {PG.walk_sql(0.3, personal='SELECT node, 1.0 AS weight FROM n WHERE node % 5 = 0', start=True)} SELECT node, round(score, 9) AS score FROM x ORDER BY round(score, 9) DESC, node LIMIT 10")

@@ -11,10 +11,13 @@ from scholion.operators import relational as R
 from scholion.plans.registry import query
 
 AGE = 0.2
-DECAY = C.decay(F.col("year"), AGE, CURRENT_YEAR, OLD_YEAR)
 DECAY_SQL = f"exp(-{AGE} * ({CURRENT_YEAR} - greatest(least(year, {CURRENT_YEAR}), {OLD_YEAR})))"
 
 
+def decayed() -> F.Column:
+    return C.decay(F.col("year"), AGE, CURRENT_YEAR, OLD_YEAR)
+
+
 def r6(c: str | F.Column) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -198,7 +201,7 @@ def project(cites: DataFrame, members: DataFrame, years: DataFrame, member: str)
     m = members.select("paper_id", member).distinct()
     e = cites.distinct().join(years, cites["src"] == years["paper_id"]).drop("paper_id")
     e = e.join(m.select(F.col("paper_id").alias("src"), F.col(member).alias("a")), "src").join(m.select(F.col("paper_id").alias("dst"), F.col(member).alias("b")), "dst")
-    return e.where("a <> b").groupBy("a", "b").agg(F.log10(1 + F.sum(DECAY)).alias("weight"))
+    return e.where("a <> b").groupBy("a", "b").agg(F.log10(1 + F.sum(decayed())).alias("weight"))
 
 
 def _project_sql(member: str) -> str:
@@ -328,7 +331,7 @@ def hops(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AG1_fractional_credit", f"WITH {ctes('fact')}, {CREDIT_DECAYED} SELECT affil_id, round(sum(score), 6) AS score FROM credit GROUP BY 1")
 def credit(spark: SparkSession, d: str) -> DataFrame:
-    return C.fractional_credit(fact(spark, d), weight=DECAY).select("affil_id", r6("score").alias("score"))
+    return C.fractional_credit(fact(spark, d), weight=decayed()).select("affil_id", r6("score").alias("score"))
 
 
 @query("AG2_credit_by_year", f"WITH {ctes('fact')}, {CREDIT} SELECT affil_id, round(sum(score), 6) AS score FROM credit WHERE year > (SELECT min(year) FROM credit) GROUP BY 1")
@@ -381,7 +384,7 @@ def team_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query("AG9_citations_received", f"WITH {ctes('authorship', 'papers', 'citations')} SELECT author_id, round(sum({DECAY_SQL}), 6) AS score FROM citations JOIN papers ON src = papers.paper_id JOIN authorship ON dst = authorship.paper_id GROUP BY 1")
 def citations_received(spark: SparkSession, d: str) -> DataFrame:
     e = citations(spark, d).join(papers(spark, d).select(F.col("paper_id").alias("src"), "year"), "src")
-    return e.join(authorship(spark, d).select(F.col("paper_id").alias("dst"), "author_id"), "dst").groupBy("author_id").agg(r6(F.sum(DECAY)).alias("score"))
+    return e.join(authorship(spark, d).select(F.col("paper_id").alias("dst"), "author_id"), "dst").groupBy("author_id").agg(r6(F.sum(decayed())).alias("score"))
 
 
 @query("AG10_having", "SELECT o_custkey, count(*)::BIGINT AS n, count(DISTINCT o_orderpriority)::BIGINT AS k FROM orders GROUP BY 1 HAVING count(*) > 1")

@@ -14,7 +14,12 @@ from scholion.plans.registry import query
 from scholion.plans.relational import r6
 from scholion.sources import files as S
 
-WORDS = T.tokens(F.col("text"))
+
+
+def text_words() -> F.Column:
+    return T.tokens(F.col("text"))
+
+
 _STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 _TOKENS = rf"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{Nd}}_]{{2,}}'), lambda t: NOT list_contains({_STOPS}, t) AND NOT regexp_matches(t, '^\p{{Nd}}+$'))"
 _TF = f"tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2)"
@@ -69,7 +74,7 @@ def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(WORDS)).alias("term"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text_words())).alias("term"))
 
 
 _Q = f"q AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark), len AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS length FROM tf GROUP BY 1)"
@@ -88,28 +93,28 @@ _BM25_PART = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DO
 
 @query("SRC12_search_all_terms", _search_sql(_TFIDF_PART, 20, True))
 def search_all(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), WORDS, 20, mode="all")
+    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20, mode="all")
 
 
 @query("TXT10_tfidf_search", _search_sql(_TFIDF_PART, 20))
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), WORDS, 20)
+    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20)
 
 
 @query("TXT11_bm25_search", _search_sql(_BM25_PART, 20))
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), WORDS, 20, "bm25")
+    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20, "bm25")
 
 
 @query("SRC13_scores_of_given", f"SELECT doc_id, coalesce(score, 0.0) AS score FROM labels LEFT JOIN (SELECT doc_id, max(score) AS score FROM ({_search_sql(_TFIDF_PART, 20)}) GROUP BY 1) USING (doc_id)")
 def scores_of_given(spark: SparkSession, d: str) -> DataFrame:
-    best = K.search(benchmark_terms(spark, d), texts(spark, d), WORDS, 20).groupBy("doc_id").agg(F.max("score").alias("score"))
+    best = K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20).groupBy("doc_id").agg(F.max("score").alias("score"))
     return table(spark, d, "labels").select("doc_id").join(best, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 @query("SRC14_explain", f"WITH {_TF}, {_VOCAB}, {_Q} SELECT query_id, doc_id, term, round({_TFIDF_PART}, 6) AS part FROM q JOIN tf USING (term) JOIN v USING (term) JOIN len USING (doc_id), c WHERE df < 20")
 def explain(spark: SparkSession, d: str) -> DataFrame:
-    tf, lengths, df = K.postings(texts(spark, d), WORDS)
+    tf, lengths, df = K.postings(texts(spark, d), text_words())
     idf = 1 + F.log(F.col("n") / (F.col("df") + 1))
     j = benchmark_terms(spark, d).join(tf, "term").join(df.where("df < 20"), "term").join(lengths, "doc_id")
     return j.select("query_id", "doc_id", "term", r6(F.sqrt("tf") * idf * idf / F.sqrt("length")).alias("part"))
@@ -117,7 +122,7 @@ def explain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT1_tokens", f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("doc_id", F.array_join(WORDS, " ").alias("tokens"))
+    return texts(spark, d).select("doc_id", F.array_join(text_words(), " ").alias("tokens"))
 
 
 @query("TXT1_stems")
@@ -127,22 +132,22 @@ def stems(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT2_filtered_tokens", f"SELECT doc_id, len(list_filter({_TOKENS}, lambda t: length(t) >= 3))::INT AS n FROM documents")
 def filtered_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("doc_id", F.size(T.filtered(WORDS)).alias("n"))
+    return texts(spark, d).select("doc_id", F.size(T.filtered(text_words())).alias("n"))
 
 
 @query("AG19_vocabulary", f"WITH {_TF}, {_VOCAB} SELECT term, df::BIGINT AS df, cf FROM v ORDER BY cf DESC, term LIMIT 1000")
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return K.vocabulary(K.term_counts(texts(spark, d), WORDS)).orderBy(F.desc("cf"), "term").limit(1000)
+    return K.vocabulary(K.term_counts(texts(spark, d), text_words())).orderBy(F.desc("cf"), "term").limit(1000)
 
 
 @query("SNK11_token_counts", f"WITH {_TF} SELECT doc_id, term, tf::BIGINT AS tf FROM tf")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return K.term_counts(texts(spark, d), WORDS)
+    return K.term_counts(texts(spark, d), text_words())
 
 
 @query("TXT3_tfidf", f"WITH {_TF}, {_VOCAB} SELECT doc_id, term, round(tf * (ln(n / (df + 1)) + 1), 6) AS value FROM tf JOIN v USING (term), c WHERE df >= 10")
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    tf = K.term_counts(texts(spark, d), WORDS)
+    tf = K.term_counts(texts(spark, d), text_words())
     v = K.kept_terms(K.vocabulary(tf), texts(spark, d).agg(F.count("*").alias("n")), 10)
     return K.tfidf(tf, v).withColumn("value", r6("value"))
 
@@ -155,12 +160,12 @@ gn AS MATERIALIZED (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY
 
 @query("TXT4_ngrams", f"WITH {_GRAMS} SELECT doc_id, term, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, term) AS r FROM (SELECT doc_id, term, round(value, 6) AS value FROM gn)) WHERE r <= 10")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return K.frequent_ngrams(texts(spark, d), WORDS, (1, 2), 5, 0.5, None, 10).drop("rank")
+    return K.frequent_ngrams(texts(spark, d), text_words(), (1, 2), 5, 0.5, None, 10).drop("rank")
 
 
 @query("TXT5_count_vectors", f"WITH {_TF}, {_VOCAB} SELECT doc_id, term, tf::BIGINT AS tf FROM tf WHERE term IN (SELECT term FROM v WHERE df >= 5 ORDER BY cf DESC, term LIMIT 20000)")
 def count_vectors(spark: SparkSession, d: str) -> DataFrame:
-    tf = K.term_counts(texts(spark, d), WORDS)
+    tf = K.term_counts(texts(spark, d), text_words())
     return tf.join(K.vocabulary(tf).where("df >= 5").orderBy(F.desc("cf"), "term").limit(20000), "term", "left_semi").select("doc_id", "term", "tf")
 
 
@@ -176,9 +181,9 @@ def cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarities(spark: SparkSession, d: str) -> DataFrame:
-    tf = K.term_counts(texts(spark, d), WORDS)
+    tf = K.term_counts(texts(spark, d), text_words())
     v = K.kept_terms(K.vocabulary(tf), texts(spark, d).agg(F.count("*").alias("n")))
-    items = K.term_counts(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), WORDS)
+    items = K.term_counts(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), text_words())
     return K.cosine(K.tfidf(items, v).withColumnRenamed("doc_id", "id"), K.tfidf(tf, v).withColumnRenamed("doc_id", "id"))
 
 
