@@ -1,0 +1 @@
+"""Structured Streaming extensions; the rankings themselves are batch queries."""
