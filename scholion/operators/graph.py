@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from scholion.runtime import checkpointed
 
 CUT_EVERY = 5
+#: A walk over at most so many edges may run in one process: a step on frames costs the same however small the graph.
+SMALL_EDGES = 500_000
 
 
 def transition(edges: DataFrame) -> DataFrame:
@@ -45,6 +47,7 @@ def pagerank(
     kind: str = "weighted",
     dangling: str = "uniform",
     start: DataFrame | None = None,
+    engine: str = "auto",
 ) -> DataFrame:
     """node, score, summing to 1; an empty graph gives an empty result.
 
@@ -54,6 +57,9 @@ def pagerank(
     source whose weights are all 0 keeps nothing of its mass. Stops after
     `iterations` steps if given, else once the L1 change is under `tolerance`;
     after most + 2 steps without that, it raises.
+
+    `engine` is frames, numpy, or auto: numpy for graphs whose edges and nodes
+    have been counted and are at most SMALL_EDGES, else frames.
     """
     d = 1 - teleport
     probabilities = checkpointed(metropolis(nodes, edges) if kind == "metropolis" else transition(edges))
@@ -72,6 +78,8 @@ def pagerank(
     else:
         state = state.withColumn("score", F.lit(1.0 / n))
     state = checkpointed(state)
+    if engine == "numpy" or (engine == "auto" and max(n, probabilities.count()) <= SMALL_EDGES):
+        return _walk_in_process(state, probabilities, teleport, iterations, tolerance, most, dangling)
     step, total = 0, 1.0
     lost = state.agg(F.sum(F.when(F.col("dangles"), F.col("score")))).first()[0] or 0.0
     while True:
@@ -91,6 +99,30 @@ def pagerank(
             raise RuntimeError(f"no convergence in {step} steps; the last change was {change}")
 
 
+def _walk_in_process(state: DataFrame, probabilities: DataFrame, teleport: float, iterations: int | None, tolerance: float, most: int, dangling: str) -> DataFrame:
+    """The steps of `pagerank` on counted, small tables."""
+    import numpy as np
+    import pandas as pd
+
+    x, e = state.toPandas(), probabilities.toPandas()
+    n, nodes = len(x), pd.Index(x["node"])
+    src, dst = nodes.get_indexer(e["src"]), nodes.get_indexer(e["dst"])
+    inside = (src >= 0) & (dst >= 0)
+    src, dst, p = src[inside], dst[inside], e["p"].to_numpy()[inside]
+    score, pers, dangles = x["score"].to_numpy(), x["pers"].to_numpy(), x["dangles"].to_numpy()
+    step = 0
+    while True:
+        lost = score[dangles].sum()
+        spread = lost / n if dangling == "uniform" else lost * pers
+        y = (1 - teleport) * (np.bincount(dst, weights=score[src] * p, minlength=n) + spread) + teleport * pers
+        y /= y.sum()
+        change, score, step = np.abs(y - score).sum(), y, step + 1
+        if step == iterations or (iterations is None and change < tolerance):
+            return state.sparkSession.createDataFrame(pd.DataFrame({"node": x["node"], "score": score}), state.select("node", "score").schema)
+        if iterations is None and step >= most + 2:
+            raise RuntimeError(f"no convergence in {step} steps; the last change was {change}")
+
+
 def small_pagerank(nodes: list, edges: list[tuple], teleport: float, personal: Mapping | None = None, iterations: int | None = None, tolerance: float = 1e-8, most: int = 100) -> dict:
     """The same walk in numpy, for graphs that fit one process; tests hold the two against each other."""
     import numpy as np

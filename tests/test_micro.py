@@ -41,15 +41,17 @@ def test_pagerank_zero_weight_row_leaks():
     assert small([*EDGES, ("D", "A", 0.0)]) == {"A": 0.172317, "B": 0.218040, "C": 0.437326, "D": 0.172317}
 
 
-def test_walk_on_frames_is_the_small_walk(spark, nodes):
+@pytest.mark.parametrize("engine", ["frames", "numpy"])
+def test_walks_are_the_small_walk(spark, nodes, engine):
     p = spark.createDataFrame([("A", 1.0)], "node string, weight double")
-    assert walk(spark, nodes, [*EDGES, ("D", "A", 0.0)], personal=p, iterations=3) == small([*EDGES, ("D", "A", 0.0)], personal={"A": 1.0}, iterations=3)
+    assert walk(spark, nodes, [*EDGES, ("D", "A", 0.0)], personal=p, iterations=3, engine=engine) == small([*EDGES, ("D", "A", 0.0)], personal={"A": 1.0}, iterations=3)
 
 
-def test_convergence(spark, nodes):
-    assert walk(spark, nodes, EDGES, tolerance=1e-2) == pytest.approx(small(EDGES), abs=0.02)
+@pytest.mark.parametrize("engine", ["frames", "numpy"])
+def test_convergence(spark, nodes, engine):
+    assert walk(spark, nodes, EDGES, tolerance=1e-2, engine=engine) == pytest.approx(small(EDGES), abs=0.02)
     with pytest.raises(RuntimeError):
-        walk(spark, nodes, EDGES, tolerance=-1.0, most=0)
+        walk(spark, nodes, EDGES, tolerance=-1.0, most=0, engine=engine)
 
 
 def test_metropolis(spark, nodes):
