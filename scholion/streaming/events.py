@@ -12,5 +12,6 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", slide: str | None
     Works on a stream (state ends with the watermark) and on a batch alike.
     """
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    d = events.withWatermark("ts", late) if events.isStreaming else events
+    d = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    d = d.withWatermark("ts", late) if events.isStreaming else d
     return d.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
