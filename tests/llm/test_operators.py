@@ -189,12 +189,37 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_within_small_buckets_links_all():
-    a = np.arange(100, dtype=np.uint64)
+def drifting(n=60):
+    """Each text is near the one before it, the far ones are not near each other."""
+    rng = random.Random(21)
+    words = sentence(rng, 300, 5000).split()
+    texts = []
+    for k in range(n):
+        words[(7 * k) % 300] = f"new{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_chains_of_near_duplicates_are_one_class(spark):
+    d = spark.createDataFrame(list(enumerate(drifting())), "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_duplicates(d).collect()} == {0}
+
+
+def test_split_buckets_link_no_strangers(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_OTHERS", 2)
+    texts = drifting() + [t.replace("w", "v").replace("n", "m") for t in drifting(3)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 63 and all((r["doc_id"] < 60) == (r["class_id"] < 60) for r in got)
+
+
+@pytest.mark.parametrize(("others", "part", "links"), [((True, True, True), 0, 1), ((True, True, True), 1, 0), ((True, False, False), 1, 1)])
+def test_within_links_classes_of_a_part(others, part, links):
+    a = np.arange(100, dtype=np.uint64) * np.uint64(1 << 57)
+    a += np.arange(100, dtype=np.uint64)
     b, c = a.copy(), a.copy() + np.uint64(1000)
     b[50] = 999
-    t = pa.table({"content": pa.array([b"a", b"b", b"c"], pa.binary()), "shingles": pa.array([x.tobytes() for x in (a, b, c)], pa.binary())})
-    assert near_dedup._within(0.8)(t).num_rows == 1
+    t = pa.table({"content": pa.array([b"a", b"b", b"c"], pa.binary()), "shingles": pa.array([x.tobytes() for x in (a, b, c)], pa.binary()), "root": pa.array([b"a", b"b", b"b" if not others[2] else b"c"], pa.binary()), "other": list(others), "part": [part] * 3})
+    assert near_dedup._within(0.8)(t).num_rows == links
 
 
 def test_quality_rules(spark, docs, empty):
