@@ -15,13 +15,13 @@ Scale: equal texts are one node from the first aggregation on. In each bucket
 a hub is compared with the others: the member with the most company in all its
 buckets, which is the original of a family of edited copies. That gives the
 first classes, and most buckets then hold one class only: they are closed. In
-an open bucket the members outside its largest class, if at most MOST_OTHERS,
-are compared with all others, the largest class being dealt out in parts of
-that many members, so the work is linear in the bucket. An open bucket with
-more of them is split by the next sketch of the ring, all members taking part,
-until no more than MOST_OTHERS remain; a part with more has another hub compared
-before it is split again. No larger group is gathered in a task; hubs with
-many members are salted. Broadcasts are behind a count.
+an open bucket the members outside its largest class are compared with each
+other and with all of that class, both dealt out in blocks of MOST_OTHERS
+members and every pair of blocks being a group, so a task gathers two blocks at
+most. The work is the product of the members outside and all members: linear
+in the bucket while few are outside, and no bucket is left out where many are.
+So every two texts that share a sketch are in one class or were compared. Hubs
+with many members are salted. Broadcasts are behind a count.
 
 A text without words (null, empty) is a class of its own row id. A text of
 fewer than five words is one shingle. Repeated rows share a class. Null ids are
@@ -50,7 +50,7 @@ TABLES = 14
 PICKS = 3
 #: At most so many ids are broadcast; beyond, the join shuffles.
 MOST_BROADCAST_ROWS = 1_000_000
-#: So many members of a bucket outside its largest class are compared with all others; beyond, the bucket is split.
+#: Members of a block of a bucket; a task gathers two blocks.
 MOST_OTHERS = 200
 #: One salt for so many members of a hub.
 MEMBERS_A_SALT = 2000
@@ -202,8 +202,8 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
     """Links between members of different classes in one part of a bucket.
 
     Texts whose lengths, or counts of shingles by leading bits, rule the
-    similarity out are not aligned, nor pairs that are connected already. Two
-    members outside the largest class meet in the first part only.
+    similarity out are not aligned, nor pairs that are connected already. In a
+    part after the first only members that differ in `other` meet.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -231,12 +231,25 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _compared(few: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
-    """Links a, b of the buckets' members outside the largest class with all members."""
-    parts = F.ceil(F.col("n_major") / MOST_OTHERS)
-    part = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), parts)))
-    dealt = few.select("table", "key", "content", "root", "other", part.alias("parts")).join(blobs, "content").withColumn("part", F.explode("parts")).drop("parts")
-    return dealt.groupBy("table", "key", "part").applyInArrow(_within(least), "a binary, b binary")
+def _compared(opened: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
+    """Links a, b of the buckets' members outside the largest class with all members.
+
+    The members outside are blocks 0 to n - 1, the largest class those from n
+    on. Block i < n meets itself in cell (i, i) and each later block j in cell
+    (i, j), where `other` then tells the two apart; cell (0, 0) of a bucket with
+    n = 1 also holds the first block of the largest class.
+    """
+    n, m = F.ceil((F.col("n") - F.col("n_major")) / MOST_OTHERS), F.ceil(F.col("n_major") / MOST_OTHERS)
+    place = F.xxhash64("content")
+    blocks = opened.select("table", "key", "content", "root", "other", n.alias("n"), m.alias("m")).withColumn("block", F.when(F.col("other"), F.pmod(place, "n")).otherwise(F.col("n") + F.pmod(place, "m")))
+    cells = F.expr("""
+        CASE WHEN n = 1 AND other THEN transform(sequence(0L, m - 1), k -> struct(0L AS i, k AS part, true AS other))
+             WHEN n = 1 THEN array(struct(0L AS i, block - 1 AS part, false AS other))
+             WHEN other THEN transform(sequence(0L, n + m - 1), k -> struct(least(k, block) AS i, greatest(k, block) - least(k, block) AS part, k >= block AS other))
+             ELSE transform(sequence(0L, n - 1), k -> struct(k AS i, block - k AS part, false AS other)) END""")
+    dealt = blocks.withColumn("cells", cells).select("table", "key", "content", "root", "cells").join(blobs, "content").withColumn("cell", F.explode("cells"))
+    dealt = dealt.select("table", "key", "content", "root", "shingles", "cell.*")
+    return dealt.groupBy("table", "key", "i", "part").applyInArrow(_within(least), "a binary, b binary")
 
 
 def _hub_links(members: DataFrame, rank: Column, blobs: DataFrame, least: float) -> DataFrame:
@@ -259,13 +272,21 @@ def _first_classes(links: DataFrame, company: DataFrame) -> DataFrame:
     return up.select(F.col("a").alias("content"), F.col("b").alias("root"))
 
 
+def _opened(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets with several classes: root, whether it is not the largest, counts of members and of the largest class."""
+    members = checkpointed(members.join(classes, "content", "left").withColumn("root", F.coalesce("root", "content")))
+    by_class = members.groupBy("table", "key", "root").agg(F.count("*").alias("n"))
+    sizes = by_class.groupBy("table", "key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"))
+    return checkpointed(members.join(sizes.where("n > n_major"), ["table", "key"]).withColumn("other", F.expr("root <> major")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id of every row; class_id is the smallest id of the row's class."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = checkpointed(texts.mapInArrow(_sketch, f"id {id_type}, content binary, sketches array<bigint>"))
     nodes = checkpointed(rows.where("content IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), F.any_value("sketches").alias("sketches")))
-    members = nodes.select("content", "sketches", F.posexplode("sketches").alias("table", "value")).select("content", "table", F.col("value").alias("key"), "sketches")
+    members = nodes.select("content", F.posexplode("sketches").alias("table", "value")).select("content", "table", F.col("value").alias("key"))
     counts = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(members.join(counts, ["table", "key"]))
     company = members.groupBy("content").agg(F.sum("n").alias("company"))
@@ -276,22 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blobs = checkpointed(texts.join(wanted, "id").select("content", "text").mapInArrow(_shingle_blobs, "content binary, shingles binary").dropDuplicates(["content"]))
     members = members.join(company, "content").drop("n")
     links = _hub_links(members, F.struct("company", "content"), blobs, least)
-    members = checkpointed(members.join(_first_classes(links, company), "content", "left").withColumn("root", F.coalesce("root", "content")))
-    for depth in range(1, TABLES + 1):
-        by_class = members.groupBy("table", "key", "root").agg(F.count("*").alias("n"))
-        sizes = by_class.groupBy("table", "key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"))
-        opened = checkpointed(members.join(sizes.where("n > n_major"), ["table", "key"]).withColumn("other", F.expr("root <> major")))
-        links = links.union(_compared(opened.where(F.expr("n - n_major") <= MOST_OTHERS), blobs, least))
-        many = opened.where(F.expr("n - n_major") > MOST_OTHERS)
-        if many.isEmpty():
-            break
-        if depth > 1:
-            links = links.union(_hub_links(many, F.struct("other", "company", "content"), blobs, least))
-        if depth == TABLES:
-            break
-        # the next sketch of the ring joins the key
-        finer = F.xxhash64("key", F.element_at("sketches", F.pmod(F.col("table") + depth, F.lit(TABLES)) + 1))
-        members = many.select("table", finer.alias("key"), "content", "sketches", "company", "root")
+    opened = _opened(members, _first_classes(links, company))
+    links = links.union(_compared(opened, blobs, least))
     classes = components(links)
     roots = classes.join(nodes.select(F.col("content").alias("node"), "id"), "node")
     least_id = roots.groupBy("root").agg(F.min("id").alias("class_id"))

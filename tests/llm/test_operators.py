@@ -212,6 +212,46 @@ def test_split_buckets_link_no_strangers(spark, monkeypatch):
     assert len(got) == 63 and all((r["doc_id"] < 60) == (r["class_id"] < 60) for r in got)
 
 
+def test_split_buckets_keep_a_chain_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_OTHERS", 2)
+    d = spark.createDataFrame(list(enumerate(drifting())), "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_duplicates(d).collect()} == {0}
+
+
+def test_pairs_that_share_one_sketch_of_a_large_bucket(spark, monkeypatch):
+    real = near_dedup._sketch
+
+    def one_shared(batches):
+        for b in real(batches):
+            values = [[7] + [100 * k + t for t in range(1, near_dedup.TABLES)] for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.int64())) if n == "sketches" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+    monkeypatch.setattr(near_dedup, "MOST_OTHERS", 2)
+    monkeypatch.setattr(near_dedup, "_sketch", one_shared)
+    texts = [t for seed in range(8) for t in [sentence(random.Random(seed), 100, 5000)] for t in (t, t + " end")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in near_dedup.near_duplicates(d).collect())
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 200])
+def test_blocks_of_a_bucket_meet_once(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "MOST_OTHERS", most)
+    monkeypatch.setattr(near_dedup, "_within", lambda least: lambda t: t.select(["content", "other", "part", "i"]))
+    grouped = type(spark.range(1).groupBy("id"))
+    real = grouped.applyInArrow
+    monkeypatch.setattr(grouped, "applyInArrow", lambda self, f, schema: real(self, f, "content binary, other boolean, part long, i long"))
+    names = [bytes([k]) for k in range(11)]
+    major = names[7:]
+    rows = [(0, 5, c, major[0] if c in major else c, c not in major, 4, 11) for c in names]
+    opened = spark.createDataFrame(rows, "table int, key long, content binary, root binary, other boolean, n_major long, n long")
+    blobs = spark.createDataFrame([(c, b"12345678") for c in names], "content binary, shingles binary")
+    cells = {}
+    for r in near_dedup._compared(opened, blobs, 0.8).collect():
+        cells.setdefault((r["i"], r["part"]), []).append((bytes(r["content"]), r["other"]))
+    met = Counter(frozenset((a, b)) for (_, part), held in cells.items() for k, (a, x) in enumerate(held) for b, y in held[k + 1 :] if x != y or part == 0)
+    assert {p: n for p, n in met.items() if not p <= set(major)} == {frozenset((a, b)): 1 for k, a in enumerate(names) for b in names[k + 1 :] if a not in major}
+
+
 @pytest.mark.parametrize(("others", "part", "links"), [((True, True, True), 0, 1), ((True, True, True), 1, 0), ((True, False, False), 1, 1)])
 def test_within_links_classes_of_a_part(others, part, links):
     a = np.arange(100, dtype=np.uint64) * np.uint64(1 << 57)
