@@ -1,6 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line, or overlapping runs of BLOCK_WORDS words of a longer line.
+A block is a line, or overlapping runs of BLOCK_WORDS words of a longer line;
+the same runs over all words of a text, across its lines, are blocks too, so
+that wrapped notices are found.
 Tokens are ordered by how many blocks of the whole corpus hold them, rarest
 first. A template T joins a block B if B holds at least `threshold` of T's
 distinct tokens. Any such block holds one of T's rarest |T| - need + 1 tokens
@@ -75,12 +77,17 @@ class Scanner:
 
     def block_tokens(self, data: np.ndarray, at: np.ndarray, code: np.ndarray, starts: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (block, code) pairs of known words, in order, and the document of each block."""
-        n = len(code)
-        breaks = np.zeros(n + 1, bool)
+        breaks = np.zeros(len(code) + 1, bool)
         breaks[words_at] = True
+        whole = self.runs(code, np.flatnonzero(breaks[:-1]), words_at)
         breaks[np.searchsorted(starts, np.flatnonzero(data == 10))] = True
-        line_at = np.flatnonzero(breaks[:n])
-        sizes = np.diff(np.concatenate([line_at, [n]]))
+        lines = self.runs(code, np.flatnonzero(breaks[:-1]), words_at)
+        after = lines[0][-1] + 1 if len(lines[0]) else 0
+        return np.concatenate([lines[0], whole[0] + after]), np.concatenate([lines[1], whole[1]]), np.concatenate([lines[2], whole[2]])
+
+    def runs(self, code: np.ndarray, line_at: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs and documents of the blocks of the lines that start at `line_at`."""
+        sizes = np.diff(np.concatenate([line_at, [len(code)]]))
         half = BLOCK_WORDS // 2
         # block k of a line has the words from k * half to k * half + BLOCK_WORDS
         count = np.maximum(1, -(-(sizes - half) // half))

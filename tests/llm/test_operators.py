@@ -286,6 +286,26 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("template", license_scan.TEMPLATES)
+def test_wrapped_license_notices(template):
+    label, text = template
+    words = text.split()
+    wrapped = "\n".join(" ".join(words[k : k + 2]) for k in range(0, len(words), 2))
+    got = []
+    scanner = license_scan.Scanner()
+    for t in (sentence(random.Random(3), 50) + "\n" + wrapped + "\n" + sentence(random.Random(4), 90), sentence(random.Random(5), 300)):
+        data, at = license_scan.X.text_buffer(pa.array([t]))
+        code, starts, words_at = scanner.codes(data, at)
+        got.append({scanner.labels[k] for k, _, _ in scanner.join(*scanner.block_tokens(data, at, code, starts, words_at)[:2])})
+    assert label in got[0] and not got[1]
+
+
+def test_license_scan_of_a_wrapped_notice(spark):
+    text = "Copyright\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files\n"
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, "a\nb")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert r[0]["labels"] == "mit" and r[0]["score"] == 1.0 and r[1]["labels"] == ""
+
+
 def test_lm_scoring(spark, docs, rows, empty):
     got = {r["doc_id"]: r for r in lm_scoring.score_texts(docs).collect()}
     tokens = {r[0]: [*("".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in spaced(r[1])), None] for r in rows}
