@@ -25,7 +25,8 @@ with many members are salted. Broadcasts are behind a count.
 
 A text without words (null, empty) is a class of its own row id. A text of
 fewer than five words is one shingle. Repeated rows share a class. Null ids are
-kept and share the class of equal texts.
+kept and share the class of equal texts. Rows are told apart by id and a hash
+of their text, so null and repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -156,8 +157,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = order_minhash(*labelled_shingles(h, words_at))
             flat = pa.array(sketches.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(_contents(h, words_at), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TABLES), flat)],
-                names=["id", "content", "sketches"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(_contents(h, words_at), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TABLES), flat)],
+                names=["id", "raw", "content", "sketches"],
             )
 
 
@@ -280,43 +281,55 @@ def _opened(members: DataFrame, classes: DataFrame) -> DataFrame:
     return checkpointed(members.join(sizes.where("n > n_major"), ["table", "key"]).withColumn("other", F.expr("root <> major")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id of every row; class_id is the smallest id of the row's class."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, raw (hash of the text), content of every row; content, pick (the first row) of every content; node, root of the linked ones."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = checkpointed(texts.mapInArrow(_sketch, f"id {id_type}, content binary, sketches array<bigint>"))
-    nodes = checkpointed(rows.where("content IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), F.any_value("sketches").alias("sketches")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw"))
+    rows = checkpointed(texts.mapInArrow(_sketch, f"id {id_type}, raw bigint, content binary, sketches array<bigint>"))
+    pick = F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")
+    nodes = checkpointed(rows.where("content IS NOT NULL").groupBy("content").agg(F.min(pick).alias("pick"), F.any_value("sketches").alias("sketches")))
     members = nodes.select("content", F.posexplode("sketches").alias("table", "value")).select("content", "table", F.col("value").alias("key"))
     counts = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(members.join(counts, ["table", "key"]))
     company = members.groupBy("content").agg(F.sum("n").alias("company"))
     found = nodes.join(company, "content")
     n_found = company.count()
-    wanted = found.select("id", "content")
+    wanted = found.select(F.col("pick.id").alias("wanted_id"), F.col("pick.raw").alias("wanted_raw"), "content")
     wanted = F.broadcast(wanted) if n_found <= MOST_BROADCAST_ROWS else wanted
-    blobs = checkpointed(texts.join(wanted, "id").select("content", "text").mapInArrow(_shingle_blobs, "content binary, shingles binary").dropDuplicates(["content"]))
+    blobs = checkpointed(texts.join(wanted, (F.col("raw") == F.col("wanted_raw")) & F.col("id").eqNullSafe(F.col("wanted_id"))).select("content", "text").mapInArrow(_shingle_blobs, "content binary, shingles binary").dropDuplicates(["content"]))
     members = members.join(company, "content").drop("n")
     links = _hub_links(members, F.struct("company", "content"), blobs, least)
     opened = _opened(members, _first_classes(links, company))
     links = links.union(_compared(opened, blobs, least))
-    classes = components(links)
-    roots = classes.join(nodes.select(F.col("content").alias("node"), "id"), "node")
-    least_id = roots.groupBy("root").agg(F.min("id").alias("class_id"))
+    return rows.select("id", "raw", "content"), nodes.select("content", "pick"), components(links)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id of every row; class_id is the smallest id of the row's class."""
+    rows, nodes, classes = _classes(docs, id_col, text_col, least)
+    alone = nodes.select("content", F.col("pick.id").alias("own"))
+    roots = classes.join(alone.withColumnRenamed("content", "node"), "node")
+    least_id = roots.groupBy("root").agg(F.min("own").alias("class_id"))
     by_content = roots.join(least_id, "root").select(F.col("node").alias("content"), "class_id")
-    alone = nodes.select("content", F.col("id").alias("own"))
     by_content = alone.join(by_content, "content", "left").select("content", F.coalesce("class_id", "own").alias("class_id"))
     return rows.select("id", "content").join(by_content, "content", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the smallest id, in the columns of `docs`; rows without words stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    if repeated:
-        first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-        left = left.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return left
+    """One row of each class, that with the smallest id, nulls last, in the columns of `docs`; rows without words stay."""
+    rows, nodes, classes = _classes(docs, id_col, text_col)
+    rooted = nodes.join(classes.withColumnRenamed("node", "content"), "content", "left")
+    first = rooted.groupBy(F.coalesce("root", "content")).agg(F.min("pick").alias("pick"))
+    kept = first.select(F.col("pick.id").alias("_id"), F.col("pick.raw").alias("_raw"), F.lit(True).alias("_worded"))
+    kept = checkpointed(kept.union(rows.where("content IS NULL").select("id", "raw", F.lit(False)).distinct()))
+    same = F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_raw") == F.xxhash64(docs[text_col]))
+    repeated = rows.where("content IS NOT NULL").groupBy("id", "raw").count().where("count > 1")
+    if repeated.isEmpty():
+        return docs.join(kept, same, "left_semi")
+    left = docs.join(kept, same)
+    nth = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_worded"))
+    once = left.where("_worded").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return once.unionByName(left.where("NOT _worded")).drop("_id", "_raw", "_worded")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,18 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_dropping_near_duplicates_with_null_and_repeated_ids(spark):
+    text = lambda seed: sentence(random.Random(seed), 80, 5000)
+    rows = [(None, text(1)), (None, text(1) + " end"), (None, text(2)), (None, None), (None, ""), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(5)), (None, text(5) + " end"), (7, ""), (None, text(6)), (None, text(6))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(d).collect())
+    assert sum(got[(None, t)] for t in (text(1), text(1) + " end")) == 1
+    want = Counter([(None, text(2)), (None, None), (None, ""), (5, text(3)), (5, text(4)), (6, text(5)), (7, ""), (None, text(6))])
+    assert {k: n for k, n in got.items() if (k[1] or "")[:200] != text(1)[:200]} == want
+    ids = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(d).where("doc_id IS NOT NULL").collect()}
+    assert ids == {5: 5, 6: 6, 7: 7}
+
+
 def drifting(n=60):
     """Each text is near the one before it, the far ones are not near each other."""
     rng = random.Random(21)
