@@ -267,7 +267,7 @@ def citerank(spark: SparkSession, d: str) -> DataFrame:
 @query("GR11_betweenness")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     n, e = affil_graph(spark, d)
-    edges = [(r["src"], r["dst"]) for r in e.where("weight > 2").select("src", "dst").collect()]  # institutions: at most 25 x 25
+    edges = [(r["src"], r["dst"]) for r in e.select("src", "dst").collect()]  # institutions: at most 25 x 25
     return spark.createDataFrame(sorted(G.betweenness(edges, [r[0] for r in n.collect()]).items()), "node int, score double")
 
 

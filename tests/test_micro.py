@@ -174,3 +174,13 @@ def test_learning():
 def test_high_runs_and_betweenness():
     assert TS.high_runs([1, 2, -5, 3], 3) == [(0, 1), (3, 3)]
     assert G.betweenness([("a", "b"), ("b", "c")]) == {"a": 0.0, "b": 0.5, "c": 0.0}
+
+
+def test_betweenness_takes_light_edges(spark, monkeypatch):
+    from scholion.plans import graphs
+
+    n = spark.createDataFrame([(1,), (2,), (3,)], "node int")
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0)], "src int, dst int, weight double")
+    monkeypatch.setattr(graphs, "affil_graph", lambda spark, d: (n, e))
+    got = {r["node"]: r["score"] for r in graphs.betweenness(spark, "").collect()}
+    assert got[2] > 0 == got[1] == got[3]
