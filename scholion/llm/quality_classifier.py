@@ -7,7 +7,7 @@ training, so the attention learns which passages decide it. The features see
 the text alone.
 
 Training takes a bounded sample (MOST_TRAINING_DOCS labelled documents outside
-the held-out fold, MOST_TRAINING_PASSAGES passages each) on the driver; scoring
+the held-out fold, all passages of each) on the driver; scoring
 is a map over all whole texts, with the small model broadcast.
 
 Null and empty texts are a bag of one empty passage, so they get a score too.
@@ -29,7 +29,6 @@ from scholion.llm import _text as X
 PASSAGE = 64
 HASHED = 32
 MOST_TRAINING_DOCS = 6000
-MOST_TRAINING_PASSAGES = 64
 CUTOFF = 0.3
 HIDDEN, ATTENTION = 24, 12
 STYLE = 16
@@ -176,15 +175,12 @@ class AttentionModel:
         return np.full(len(bags) - 1, self.constant) if self.constant is not None else self.forward(x, bags)["s"]
 
 
-def _encode(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in X.blocks(batch.column(0)):
-                x, bags = passages(*X.text_buffer(batch.column(0).slice(a, b - a)))
-                kept = [x[s : min(e, s + most)] for s, e in zip(bags[:-1], bags[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float32).tobytes() for v in kept], pa.binary()), batch.column(1).slice(a, b - a)], names=["x", "label"])
-
-    return run
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in X.blocks(batch.column(0)):
+            x, bags = passages(*X.text_buffer(batch.column(0).slice(a, b - a)))
+            kept = [x[s:e] for s, e in zip(bags[:-1], bags[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float32).tobytes() for v in kept], pa.binary()), batch.column(1).slice(a, b - a)], names=["x", "label"])
 
 
 def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,7 +199,7 @@ def fold(id_col: str, n: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_of: int = 5, most_docs: int = MOST_TRAINING_DOCS, most_passages: int = MOST_TRAINING_PASSAGES) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_of: int = 5, most_docs: int = MOST_TRAINING_DOCS) -> AttentionModel:
     """A model from at most `most_docs` labelled rows whose fold is not 0, those with the smallest hashes of their ids."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -213,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(most_docs)
     )
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col(text_col).alias("_text"), F.col("_label")).limit(2 * most_docs)
-    got = sorted((bytes(r[0]), r[1]) for r in rows.mapInArrow(_encode(most_passages), "x binary, label double").collect())
+    got = sorted((bytes(r[0]), r[1]) for r in rows.mapInArrow(_encode, "x binary, label double").collect())
     bag = [np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x, _ in got]
     x = np.concatenate(bag) if bag else np.zeros((0, WIDTH))
     bags = np.concatenate([[0], np.cumsum([len(b) for b in bag])]).astype(np.int64)

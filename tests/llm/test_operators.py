@@ -274,6 +274,14 @@ def test_within_links_classes_of_a_part(others, part, links):
     assert near_dedup._within(0.8)(t).num_rows == links
 
 
+def test_classifier_trains_on_all_passages(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality_classifier.AttentionModel, "fit", lambda self, x, bags, y: sizes.extend(np.diff(bags).tolist()) or self)
+    d = spark.createDataFrame([(k, sentence(random.Random(k), 70 * 64)) for k in range(4)], "doc_id long, text string")
+    quality_classifier.train(d, d.selectExpr("doc_id", "1 AS quality"))
+    assert sizes and set(sizes) == {70}
+
+
 def test_quality_rules(spark, docs, empty):
     extra = [(100, "SHOUT NOW!! " * 40, None, None, 0), (101, "home page log in\n" + "A plain line of words that ends well.\n" * 3 + sentence(random.Random(1), 80) + ".", "", "", 5), (102, "same line here.\nsame line here.\n\n", "", "", 3), (103, "a b c " * 60, "", "", 1)]
     d = docs.union(spark.createDataFrame(extra, DOCS))
