@@ -12,6 +12,8 @@ than space, tab, line feed, vertical tab, form feed and carriage return.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,40 +29,52 @@ MIN_SHOUT = 12
 MAX_DOUBLED = 0.2
 #: A navigation line has at most so many words.
 MAX_NAVIGATION_WORDS = 12
-SPACES = " \t\n\u000b\f\r"
+#: Bits of a window's place beside its hash.
+PLACE_BITS = 24
 SYMBOLS = "#*$%&|<>"
 NAVIGATION = r"(?i)\b(skip to (main )?content|main menu|toggle navigation|site map|log ?in|log ?out|sign ?up|sign ?in|next page|previous page|back to top|read more|click here|breadcrumb)\b"
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript|copyright \d{4}|subscribe to our newsletter|powered by)\b"
 STOPS = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}]"
+DOUBLED = r"[!?*#$%&]{2,}"
+CAPITALS_IN_A_ROW = "[A-Z][^A-Za-z]*[A-Z]"
 STOPS_SQL = "[.!?:;…。！？]"
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _flat(text: Column) -> Column:
+    """Spaces for tab, vertical tab, form feed and carriage return; a search that finds none copies nothing."""
+    for c in "\t\u000b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _words(flat: Column) -> Column:
+    return F.array_remove(F.split(flat, " "), "")
+
 
+def _count(text: Column, class_: str) -> Column:
+    """Characters of the class, such as A-Z; those of other characters are removed in runs."""
+    return F.char_length(F.regexp_replace(text, f"[^{class_}]+", ""))
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
+def _fails(line: Column, n: Column, flags: Column) -> Column:
+    """Whether a line of n words, one or more, fails a rule.
 
-def judge_line(line: Column) -> Column:
-    """words, fails of one line; a line without words never fails."""
-    squeezed = _without(line, SPACES)
-    n_chars = F.char_length(squeezed)
-    n_words = F.size(_words(line))
-    symbols = n_chars - F.char_length(_without(squeezed, SYMBOLS))
-    letters = F.regexp_count(line, F.lit("[A-Za-z]"))
-    capitals = F.regexp_count(line, F.lit("[A-Z]"))
-    doubled = F.regexp_count(line, F.lit(r"[!?*#$%&]{2,}"))
-    fails = (
-        ((symbols >= 3) & (symbols > n_chars * MAX_SYMBOLS))
-        | ((letters >= MIN_SHOUT) & (capitals > letters * MAX_CAPITALS))
-        | ((doubled >= 2) & (doubled > n_words * MAX_DOUBLED))
-        | ((n_words >= 5) & ~line.rlike(STOPS))
-        | ((n_words <= MAX_NAVIGATION_WORDS) & line.rlike(NAVIGATION))
-        | ((n_words <= 2 * MAX_NAVIGATION_WORDS) & line.rlike(BOILERPLATE))
+    `flags` of the whole text spare most lines the count of symbols, capitals
+    and doubled marks. Where capitals are over half of the letters, two of them
+    follow each other without another letter between.
+    """
+    symbols, letters = _count(line, SYMBOLS), _count(line, "A-Za-z")
+    many_symbols = (symbols >= 3) & (symbols > F.char_length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")) * MAX_SYMBOLS)
+    shouts = (letters >= MIN_SHOUT) & (_count(line, "A-Z") > letters * MAX_CAPITALS)
+    doubled = F.regexp_count(line, F.lit(DOUBLED))
+    return (
+        ((n >= 5) & ~line.rlike(STOPS))
+        | ((n <= MAX_NAVIGATION_WORDS) & line.rlike(NAVIGATION))
+        | ((n <= 2 * MAX_NAVIGATION_WORDS) & line.rlike(BOILERPLATE))
+        | (flags["symbols"] & many_symbols)
+        | (flags["capitals"] & line.rlike(CAPITALS_IN_A_ROW) & shouts)
+        | (flags["doubled"] & (doubled >= 2) & (doubled > n * MAX_DOUBLED))
     )
-    return F.struct(line.alias("line"), n_words.alias("n"), ((n_words > 0) & fails).alias("fails"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -68,40 +82,72 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _neighbours(ordered: str, key: Callable[[Column], Column]) -> Column:
+    """The entries of a sorted array whose key one of the next entries has too."""
+    return F.filter(ordered, lambda x, i: F.coalesce(key(x) == key(F.get(ordered, i + 1)), F.lit(False)) | F.when(i > 0, key(x) == key(F.get(ordered, i - 1))).otherwise(False))
+
+
+def _repeated_windows(d: DataFrame) -> DataFrame:
+    """`repeated`, the places of the windows that stand more than once, in place of their hashes `windows`.
+
+    Most texts repeat no window, which a set of the hashes tells. In others
+    equal windows are neighbours once sorted. A word of 64 bits with the low
+    bits of the hash over the place sorts fastest; should two windows share
+    those bits, or the places need more, hash and place are sorted in full.
+    """
+    n, place, none = F.size("windows"), (1 << PLACE_BITS) - 1, F.array().cast("array<bigint>")
+    d = _once(d, "n_distinct", F.size(F.array_distinct("windows")))
+    some = F.col("n_distinct") < n
+    short = F.transform("windows", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))
+    d = _once(d, "packed", F.when(some & (n <= place), F.sort_array(short)).otherwise(none))
+    key = lambda x: F.shiftright(x, PLACE_BITS)
+    n_keys = F.size(F.filter("packed", lambda x, i: F.coalesce(key(x) != key(F.get("packed", i + 1)), F.lit(True))))
+    d = _once(d, "unclear", some & (n_keys != F.col("n_distinct")))
+    full = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    d = _once(d, "full", F.when(F.col("unclear"), full).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
+    repeated = F.when(
+        F.col("unclear"), F.transform(_neighbours("full", lambda x: x["h"]), lambda x: x["i"])
+    ).otherwise(F.transform(_neighbours("packed", key), lambda x: x.bitwiseAND(F.lit(place))))
+    return _once(d.drop("windows", "n_distinct"), "repeated", repeated).drop("packed", "unclear", "full")
+
+
 def quality_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`row` (a struct of all columns of `docs`), the base counts, the lines' verdicts and `kept`."""
     d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = _once(d, "words", _words(F.col("text")))
-    d = d.withColumn("n_words", F.size("words").cast("long"))
-    windows = F.transform(
-        F.slice("words", F.lit(1), F.greatest(F.col("n_words").cast("int") - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
-    )
-    d = _once(d, "sorted", F.sort_array(windows)).drop("words")
-    n = F.size("sorted")
-    twice = F.filter(
-        F.transform("sorted", lambda x, i: F.when((x["h"] == F.get("sorted", i + 1)["h"]) | ((i > 0) & (x["h"] == F.get("sorted", i - 1)["h"])), x["i"])),
-        lambda p: p.isNotNull(),
+    d = _once(d, "words", _words(F.replace(_flat(F.col("text")), F.lit("\n"), F.lit(" "))))
+    n = F.size("words")
+    squeezed = F.array_join("words", "")
+    windows = F.transform(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    d = d.select(
+        "row",
+        "text",
+        n.cast("long").alias("n_words"),
+        F.char_length(squeezed).cast("long").alias("word_chars"),
+        _count(squeezed, SYMBOLS).cast("long").alias("n_symbols"),
+        F.explode(F.array(windows)).alias("windows"),
     )
-    d = _once(d, "twice", F.when(n > 0, twice).otherwise(F.array().cast("array<int>"))).drop("sorted")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("twice", lambda p: F.array(p, p + 1, p + 2)))))
-    d = d.withColumn("n_repeat_words", covered.cast("long")).drop("twice")
-    d = _once(d, "lines", F.transform(F.split("text", "\n"), judge_line))
+    d = _repeated_windows(d)
+    covered = F.array_union(F.array_union("repeated", F.transform("repeated", lambda i: i + 1)), F.transform("repeated", lambda i: i + 2))
+    d = d.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("repeated")
+    d = _once(d, "flags", F.struct((F.col("n_symbols") >= 3).alias("symbols"), F.col("text").rlike(CAPITALS_IN_A_ROW).alias("capitals"), F.col("text").rlike(DOUBLED).alias("doubled")))
+    counted = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.size(_words(_flat(x))).alias("n")))
+    judged = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), ((x["n"] > 0) & _fails(x["line"], x["n"], F.col("flags"))).alias("fails")))
+    d = _once(d, "lines", judged).drop("flags")
     real = F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["line"])
-    squeezed = _without(F.col("text"), SPACES)
     lost = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["fails"], x["n"]).otherwise(0))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    d = _once(d, "words_lost", lost)
     return d.select(
         "row",
         "lines",
         "n_words",
-        F.char_length(squeezed).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        "word_chars",
+        "n_symbols",
         (F.size(real) - F.size(F.array_distinct(real))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         base.alias("base_failed"),
-        lost.alias("words_lost"),
-        (~base & (lost <= F.col("n_words") * MOST_LOST)).alias("kept"),
+        "words_lost",
+        (~base & (F.col("words_lost") <= F.col("n_words") * MOST_LOST)).alias("kept"),
     )
 
 
@@ -145,7 +191,7 @@ WITH docs AS (
 ), counted AS (
   SELECT r, line, n, length(squeezed) AS c, {_sql_count("squeezed", "[#*$%&|<>]")} AS symbols,
     {_sql_count("line", "[A-Za-z]")} AS letters, {_sql_count("line", "[A-Z]")} AS capitals,
-    {_sql_count("line", "[!?*#$%&]{2,}")} AS doubled
+    {_sql_count("line", DOUBLED)} AS doubled
   FROM lines WHERE n > 0
 ), judged AS (
   SELECT r, line, n, ((symbols >= 3 AND symbols > c * {MAX_SYMBOLS}) OR (letters >= {MIN_SHOUT} AND capitals > letters * {MAX_CAPITALS})
