@@ -10,6 +10,9 @@ Pieces then take the place that belongs to their length and their rank among
 pieces of that length. Ranks come from counts per task, so no length, however
 frequent, is gathered in one task.
 
+Ids are those of the vocabulary's JSON file in `tokenizers`: its added tokens,
+as `<|endoftext|>`, have their own ids wherever a text holds them.
+
 A null text is empty; an empty text is one piece of the end token alone.
 Repeated rows are packed as often as they occur; other columns do not matter.
 An empty table gives an empty result.
@@ -17,6 +20,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,26 +37,42 @@ CAPACITY = 1024
 END_ID = 2
 
 
-def load_encoder(ranks_path: str, pattern: str):
-    """A byte-level BPE from a file of ranks; the ids equal those of the JSON file of the same vocabulary."""
-    import base64
+class Encoder:
+    """A byte-level BPE with the ids that the library `tokenizers` gives for the JSON file of the vocabulary.
+
+    `added` are strings with an id of their own wherever they stand in a text,
+    as `<|endoftext|>`; without them such strings are ordinary text.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
+        import base64
+
+        import tiktoken
+
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.added = set(added)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
 
-    import tiktoken
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary's JSON file."""
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
-def public_encoder(name: str = "byte_bpe_50k.tiktoken"):
+def public_encoder(name: str = "byte_bpe_50k") -> Encoder:
     import public_tokenizers
 
-    return load_encoder(public_tokenizers.path(name), public_tokenizers.PATTERN)
+    return Encoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path(f"{name}.json")))
 
 
 def _tokenise(encoder: Callable, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode_to_numpy
+        encode = encoder()
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         seen = np.zeros(capacity + 1, np.int64)
@@ -61,7 +81,7 @@ def _tokenise(encoder: Callable, capacity: int, end_id: int, keep_ids: bool) ->
                 ids = batch.column(0).slice(a, b - a)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
                 for k, text in enumerate(batch.column(1).slice(a, b - a).to_pylist()):
-                    tokens = np.append(encode(text or "", disallowed_special=()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    tokens = np.append(encode(text or "").astype("<u4"), np.uint32(end_id)).astype("<u4")
                     first = len(tokens) % capacity or capacity
                     at = [0, *range(first, len(tokens) + 1, capacity)]
                     for j, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -171,7 +191,7 @@ def _assign(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Callable = public_encoder, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Pieces with their place: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
-    `encoder` makes an object with `encode_to_numpy` on each executor. With
+    `encoder` makes a function from text to ids on each executor. With
     `keep_ids` the pieces' ids come along, from which `sequences` makes the
     token sequences.
     """
