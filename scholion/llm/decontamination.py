@@ -9,11 +9,14 @@ Occurrences are located by walking to sampled suffix positions, and the spans
 are merged per document.
 
 The documents are never shuffled. The benchmark is broadcast in blocks of at
-most `block_bytes` of text; each block is one more pass inside the same stage,
-so its size is bounded whatever the benchmark's.
-
-Nulls and texts without words have no hits; so does an empty benchmark.
-Repeated rows are each judged. Other columns are passed through untouched.
+most `block_bytes` of text, made one after another; a task loads one block at a
+time for each shard, so what driver and executors hold at once is bounded
+whatever the benchmark's size.
+
+Nulls and texts without words have no hits; so does an empty benchmark, and an
+empty table gives an empty result. A text longer than a shard is a shard of its
+own. Repeated rows are each judged. Item ids may have any type; items that share
+an id are one. Other columns are passed through untouched.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholion.llm import _text as X
 from scholion.llm._suffix import suffix_ranks
 
 SAMPLE_EVERY = 8
+SPAN_FIELDS = ("first", "last", "first_byte", "last_byte")
 
 
 class WaveletMatrix:
@@ -102,24 +108,27 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of one block of benchmark items, over the alphabet of their words."""
+    """The windows of one block of benchmark texts, over the alphabet of their words."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
-        column = pa.array([text for _, text in items], pa.string())
+    def __init__(self, texts: list[str], window: int) -> None:
+        column = pa.array(texts, pa.string())
         data, at = X.text_buffer(column)
         starts, ends, words_at = X.split_words(data, at)
         low = X.LOWER[data].tobytes()
         h = X.hash_words(data, starts, ends)
         self.vocabulary, first, code = np.unique(h, return_index=True, return_inverse=True)
         self.words = [low[s:e] for s, e in zip(starts[first], ends[first], strict=True)]
-        code = code + 1
-        groups: dict[int, dict[tuple, set[int]]] = {}
-        for k, (item, _) in enumerate(items):
-            own = code[words_at[k] : words_at[k + 1]].tolist()
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                phrase = tuple(own[i : i + window])
-                groups.setdefault(len(phrase), {}).setdefault(phrase, set()).add(item)
-        self.by_length = [(n, np.array(list(g), np.int64), [np.array(sorted(v), np.int64) for v in g.values()]) for n, g in sorted(groups.items())]
+        code = (code + 1).astype(np.int32)
+        n = np.diff(words_at)
+        #: (words a window, distinct windows as rows of codes, offsets of their owners, owners)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(np.minimum(n[n > 0], window)).tolist():
+            own = np.flatnonzero(n >= window if size == window else n == size)
+            count = n[own] - size + 1
+            place = np.arange(count.sum()) + np.repeat(words_at[own] - (np.cumsum(count) - count), count)
+            rows, which = np.unique(code[place[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(texts) + np.repeat(own, count))
+            self.by_length.append((size, rows.astype(np.int64), np.searchsorted(pairs, np.arange(len(rows) + 1) * len(texts)), pairs % len(texts)))
 
     def codes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Symbols of words, 0 for those that the block does not have."""
@@ -130,10 +139,8 @@ class Phrases:
         return np.where(self.vocabulary[place] == h, place + 1, 0)
 
 
-def find_spans(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Word starts, word ends, word offsets of documents, and hits: (document, first word, words, item ids) arrays."""
-    starts, ends, words_at = X.split_words(data, at)
-    low = X.LOWER[data]
+def find_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, words_at: np.ndarray, phrases: Phrases) -> list[np.ndarray]:
+    """Hits in a shard: (document, first word, words) of each, and (document, text) pairs."""
     code = phrases.codes(low, starts, ends)
     n = len(code)
     closes = np.zeros(n + 1, bool)  # a separator follows word i - 1
@@ -141,9 +148,9 @@ def find_spans(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.n
     known = code > 0
     closes[1:] |= ~known
     place = np.flatnonzero(known)
-    none = [np.zeros(0, np.int64)] * 3
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, 2), np.int64)]
     if not len(place) or not phrases.by_length:
-        return starts, ends, words_at, [*none, []]
+        return none
     ends_run = closes[place + 1] | np.concatenate([place[1:] != place[:-1] + 1, [True]])
     to = np.arange(len(place)) + np.concatenate([[0], np.cumsum(ends_run)[:-1]])
     text = np.zeros(len(place) + int(ends_run.sum()), np.int64)
@@ -152,7 +159,7 @@ def find_spans(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.n
     origin[to] = place
     index = FMIndex(text, len(phrases.vocabulary) + 1)
     docs, firsts, sizes, items = [], [], [], []
-    for size, rows, owners in phrases.by_length:
+    for size, rows, owner_at, owners in phrases.by_length:
         a, b = index.search(rows)
         hit = np.flatnonzero(b > a)
         if not len(hit):
@@ -170,28 +177,43 @@ def find_spans(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.n
         if wrong:
             good = ~np.isin(which, wrong)
             which, word = which[good], word[good]
-        docs.append(np.searchsorted(words_at, word, side="right") - 1)
+        doc = np.searchsorted(words_at, word, side="right") - 1
+        docs.append(doc)
         firsts.append(word)
         sizes.append(np.full(len(word), size))
-        items.extend(owners[k] for k in which.tolist())
+        pairs = np.unique(np.stack([doc, which], axis=1), axis=0)
+        items.extend(np.stack([np.full(owner_at[k + 1] - owner_at[k], d), owners[owner_at[k] : owner_at[k + 1]]], axis=1) for d, k in pairs.tolist())
     if not docs:
-        return starts, ends, words_at, [*none, []]
-    return starts, ends, words_at, [np.concatenate(docs), np.concatenate(firsts), np.concatenate(sizes), items]
+        return none
+    return [np.concatenate(docs), np.concatenate(firsts), np.concatenate(sizes), np.concatenate(items)]
+
 
+def _loaded(block: Broadcast) -> tuple[Phrases, list]:
+    """A block's phrases and ids; the worker does not keep the bytes, so that it holds one block at a time."""
+    out = pickle.loads(block.value)
+    if getattr(block, "_path", None):
+        vars(block).pop("_value", None)
+    return out
 
-def _searcher(shared, field: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _searcher(shared: list, field: str, shard_bytes: int, item_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = pickle.loads(shared.value)
+        only = _loaded(shared[0]) if len(shared) == 1 else None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(field))
             for a, b in X.blocks(column, shard_bytes):
-                part = batch.slice(a, b - a)
-                data, at = X.text_buffer(column.slice(a, b - a))
-                starts, ends, words_at, (doc, word, size, items) = find_spans(data, at, phrases)
                 n = b - a
+                data, at = X.text_buffer(column.slice(a, n))
+                starts, ends, words_at = X.split_words(data, at)
+                low = X.LOWER[data]
                 cover = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(cover, word, 1)
-                np.add.at(cover, word + size, -1)
+                found: set[tuple] = set()
+                for block in shared:
+                    phrases, ids = only or _loaded(block)
+                    _, word, size, pairs = find_spans(low, starts, ends, words_at, phrases)
+                    np.add.at(cover, word, 1)
+                    np.add.at(cover, word + size, -1)
+                    found.update((d, ids[i]) for d, i in pairs.tolist())
                 hit = np.cumsum(cover)[:-1] > 0
                 edge = hit.copy()
                 edge[1:] &= ~hit[:-1]
@@ -204,36 +226,33 @@ def _searcher(shared, field: str, shard_bytes: int) -> Callable[[Iterator[pa.Rec
                 froms, tos = np.flatnonzero(edge), np.flatnonzero(tail)
                 owner = np.searchsorted(words_at, froms, side="right") - 1
                 base = at[owner]
-                spans = np.stack([froms - words_at[owner], tos + 1 - words_at[owner], starts[froms] - base, ends[tos] - base], axis=1).astype(np.int64) if len(froms) else np.zeros((0, 4), np.int64)
-                span_at = np.searchsorted(owner, np.arange(n + 1)) * 4
-                pairs = sorted({(d, i) for d, own in zip(doc.tolist(), items, strict=True) for i in own.tolist()})
-                item_at = np.searchsorted(np.array([d for d, _ in pairs], np.int64), np.arange(n + 1))
+                spans = [froms - words_at[owner], tos + 1 - words_at[owner], starts[froms] - base, ends[tos] - base]
+                items = sorted(found)
                 new = [
                     pa.array(np.diff(words_at).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(span_at.astype(np.int32)), pa.array(spans.reshape(-1))),
-                    pa.ListArray.from_arrays(pa.array(item_at.astype(np.int32)), pa.array([i for _, i in pairs], pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in spans], names=SPAN_FIELDS)),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(np.array([d for d, _ in items], np.int64), np.arange(n + 1)).astype(np.int32)), pa.array([i for _, i in items], item_type)),
                 ]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "_n", "_s", "_i"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *new], names=["row", "n_words", "spans", "items"])
 
     return search
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        if text is None or item is None:
-            continue
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the items, some at a time; one block without items if there are none."""
+    ids, texts, size = [], [], 0
+    for item, text in benchmark.select(item_col, text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+        if ids and size + len(text) > block_bytes:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(item)
+        texts.append(text)
         size += len(text)
-    if block:
-        yield block
+    yield ids, texts
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_bytes: int = 4 << 20
 ) -> DataFrame:
     """`row` (a struct of all columns of `docs`), `n_words`, merged `spans` and `items`.
 
@@ -242,31 +261,13 @@ def benchmark_hits(
     of the items of which a window occurs. An item whose id or text is null has
     no windows.
     """
-    spark = docs.sparkSession
-    fields = T.StructType([T.StructField("_n", T.LongType()), T.StructField("_s", T.ArrayType(T.LongType())), T.StructField("_i", T.ArrayType(T.LongType()))])
-    frame = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<long>").alias("_items"))
-    blocks = list(map(lambda b: pickle.dumps(Phrases(b, window)), _item_blocks(benchmark, item_col, item_text_col, block_bytes))) or [pickle.dumps(Phrases([], window))]
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        blocks[k] = b""
-        schema = T.StructType([*frame.schema.fields, *fields.fields])
-        frame = frame.mapInArrow(_searcher(shared, "_text", shard_bytes), schema)
-        if k == 0:
-            frame = frame.select("row", "_text", F.col("_n").alias("_words"), F.col("_s").alias("_spans"), F.col("_i").alias("_items"))
-        else:
-            frame = frame.select("row", "_text", "_words", F.concat("_spans", "_s").alias("_spans"), F.array_union("_items", "_i").alias("_items"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_spans") - 4, F.lit(4)), lambda i: F.struct(*(F.element_at("_spans", (i + j + 1).cast("int")).alias(name) for j, name in enumerate(("first", "last", "first_byte", "last_byte")))))
-    spans = F.when(F.size("_spans") == 0, F.array().cast("array<struct<first:bigint,last:bigint,first_byte:bigint,last_byte:bigint>>")).otherwise(runs)
-    if len(blocks) > 1:
-        # runs of several blocks may touch: sort them and join those that overlap
-        spans = F.aggregate(
-            F.array_sort(spans),
-            F.array().cast("array<struct<first:bigint,last:bigint,first_byte:bigint,last_byte:bigint>>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"),
-                F.element_at(acc, -1)["first_byte"].alias("first_byte"), F.greatest(F.element_at(acc, -1)["last_byte"], x["last_byte"]).alias("last_byte"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-    return frame.select("row", F.col("_words").alias("n_words"), spans.alias("spans"), F.array_sort("_items").alias("items"))
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(pickle.dumps((Phrases(texts, window), ids))) for ids, texts in _item_blocks(benchmark, item_col, item_text_col, block_bytes)]
+    item_type = benchmark.schema[item_col].dataType
+    frame = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    span = T.StructType([T.StructField(name, T.LongType()) for name in SPAN_FIELDS])
+    fields = [T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item_type))]
+    return frame.mapInArrow(_searcher(shared, "text", shard_bytes, to_arrow_type(item_type)), T.StructType(fields))
 
 
 def hit_digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
