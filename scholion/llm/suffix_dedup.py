@@ -47,6 +47,8 @@ ANCHOR = 32
 SHARD_BYTES = 1 << 20
 #: A hash with more distinct segments than this is split by window.
 MOST_SEGMENTS = 4000
+#: A segment has at most so many windows; a longer run of windows with one hash is several segments.
+MOST_WINDOWS = 1 << 15
 SEPARATOR = 0
 
 _MULTIPLIERS = [X.U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -107,6 +109,13 @@ def segments(data: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.nda
     good = (starts < at[k + 1] - span + 1) & (sizes[k] >= span)
     starts, nexts, k = starts[good], nexts[good], k[good]
     value = least[starts]
+    # a periodic text is one segment, which is dealt in parts that share no window
+    parts = -(-(nexts - starts) // MOST_WINDOWS)
+    if len(parts) and parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, nexts = np.repeat(starts, parts) + nth * MOST_WINDOWS, np.repeat(nexts, parts)
+        nexts = np.minimum(nexts, starts + MOST_WINDOWS)
+        k, value = np.repeat(k, parts), np.repeat(value, parts)
     # the hash stands twice among a segment's anchors if it does so at two of the places where it is the least
     places = np.flatnonzero(np.concatenate([h[: len(least)] == least, np.zeros(len(h) - len(least), bool)]) | np.concatenate([np.zeros(len(h) - len(least), bool), h[w - 1 :] == least]))
     low, high = np.searchsorted(places, starts), np.searchsorted(places, nexts - 1 + w)
@@ -376,35 +385,38 @@ def _spans_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["place", "spans"])
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """`docs` with a `_place` that is unique and in the order of ids; the id itself where it will do."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`row` (a struct of all columns of `docs`) and a `place` that is unique and in the order of ids; the id itself where it will do."""
     kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.struct("*").alias("row"))
+    own = F.col("row")[id_col]
     if kind in ("bigint", "int", "smallint", "tinyint") and docs.groupBy(id_col).count().where(f"count > 1 OR `{id_col}` IS NULL").limit(1).count() == 0:
-        return docs.withColumn("_place", F.col(id_col).cast("long")), False
-    parts = checkpointed(docs.orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)).withColumn("_m", F.monotonically_increasing_id()))
-    counts = parts.groupBy(F.shiftright("_m", 33).alias("_part")).count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    base = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    numbered = parts.withColumn("_part", F.shiftright("_m", 33)).join(F.broadcast(base), "_part")
-    return numbered.withColumn("_place", F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_part", "_base", "_m"), True
+        return rows.select("row", own.cast("long").alias("place"))
+    parts = checkpointed(rows.orderBy(own.asc_nulls_first(), F.xxhash64(F.col("row")[text_col])).withColumn("m", F.monotonically_increasing_id()))
+    counts = parts.groupBy(F.shiftright("m", 33).alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    base = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    numbered = parts.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(base), "part")
+    return numbered.select("row", (F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
-#: Spans of at most so many documents are broadcast; beyond, the texts are shuffled to them.
-MOST_BROADCAST_ROWS = 400_000
+#: Spans of at most so many bytes are broadcast; beyond, the texts are shuffled to them.
+MOST_BROADCAST_BYTES = 32 << 20
 
 
 def repeated_spans(texts: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """place, spans (flat list of first and last byte) of the rows of `texts` (_place, text) that hold repeats."""
+    """place, spans (flat list of first and last byte) of the rows of `texts` (place, text) that hold repeats."""
     cut = texts.mapInArrow(_cut(span), "h long, content long, place long, start int, n int, twice boolean, again boolean")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # repeats are settled already, so they need not meet their hash
     dealt = cut.repartition(n, F.when(F.col("again"), F.xxhash64("place", "start")).otherwise(F.col("h")))
     decided = checkpointed(dealt.sortWithinPartitions("h", "content", "place", "start").mapInArrow(_decide, "place long, start int, n int, h long, kind byte"))
     contested = decided.where("kind = 1")
+    # a hot hash has over MOST_SEGMENTS rows, so there are few; they are small and their hash's rows stay where they are
     hot = contested.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select(F.col("h").alias("hot_h"))
     contested = contested.join(hot, F.col("h") == F.col("hot_h"), "left").select("place", F.struct("start", "n", "h", F.col("hot_h").isNotNull().alias("hot")).alias("s"))
     wanted = contested.groupBy("place").agg(F.collect_list("s").alias("segments"))  # at most the document's own
-    held = texts.join(wanted, texts["_place"] == wanted["place"]).select("place", "text", "segments")
+    held = texts.join(wanted, "place").select("place", "text", "segments")
     pieces = held.mapInArrow(_bytes_of(span), "h long, content long, place long, start int, piece binary")
     found = pieces.repartition(n, "h").sortWithinPartitions("h", "content", "place", "start").mapInArrow(_resolve(span, shard_bytes), "place long, start int, n int")
     spans = decided.where("kind = 0").select("place", "start", "n").union(found)
@@ -431,13 +443,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """`row` (a struct of all columns of `docs`) and `spans`, null for rows without repeats."""
-    names = docs.columns
-    numbered, _ = _numbered(docs, id_col, text_col)
-    spans = checkpointed(repeated_spans(numbered.select("_place", F.col(text_col).alias("text")), span))
-    few = spans.count() <= MOST_BROADCAST_ROWS
-    rows = numbered.select(F.struct(*(F.col(c) for c in names)).alias("row"), "_place")
-    side = F.broadcast(spans) if few else spans
-    return rows.join(side, rows["_place"] == side["place"], "left").select("row", "spans")
+    numbered = _numbered(docs, id_col, text_col)
+    spans = checkpointed(repeated_spans(numbered.select("place", F.col("row")[text_col].alias("text")), span))
+    n_bytes = spans.agg(F.sum(16 + 4 * F.size("spans"))).first()[0] or 0
+    side = F.broadcast(spans) if n_bytes <= MOST_BROADCAST_BYTES else spans
+    return numbered.join(side, "place", "left").select("row", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", span: int = SPAN) -> DataFrame:
