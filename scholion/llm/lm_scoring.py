@@ -12,13 +12,25 @@ order, so the answer is counts alone. Blocks then hold all counts of their
 tokens. A frequent n-gram is one entry for each block, and rows are never more
 than distinct n-grams.
 
-Unigrams are known by 64-bit hashes, bigrams by 47 bits. The input must give
-the same rows in the same partitions when it is scanned again, as files do;
-otherwise the answers do not fit, which is an error and never a wrong score.
+The number of ranges follows the bytes of the texts, so a range stays some
+megabytes; where there are more ranges than a block has n-grams, a row is one
+n-gram, so rows are at most the distinct n-grams of all blocks.
+
+Unigrams are known by 64-bit hashes, bigrams by 47 bits, so with B distinct
+bigrams a share of about B / 2^47 of them is counted together with another: one
+in 14,000 at 10^10. The input must give the same rows in the same blocks when it
+is scanned again, as files do; a checksum of each block's n-grams and of their
+counts tells, and other rows are an error and never a wrong score.
+
+EM sees a histogram of the tokens: context bucket, and the two probabilities
+rounded to a quarter of a power of two. Its weights differ from those of
+exact EM by less than 0.02 in the tests; each token is scored with its exact
+counts.
 
 Null texts are empty: one end token. Null ids train. Repeated rows count and
-are scored as often as they occur. Without training rows N is 0, and the model
-is uniform over the one unknown word.
+are scored as often as they occur. A text longer than a block is a block of its
+own. Without training rows N is 0, and the model is uniform over the one unknown
+word. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +50,11 @@ from scholion.runtime import checkpointed
 END, START = X.U(0x1B873593CC9E2D51), X.U(0x85EBCA6BC2B2AE35)
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ...
 BUCKETS = 24
-BINS = 48
+#: Probabilities are rounded to bins of a quarter of a power of two, down to 2^-31.
+BINS, PER_OCTAVE = 128, 4
 LEAST_RANGES = 128
+#: Bytes of text for each range of n-grams.
+RANGE_BYTES = 12 << 20
 BIGRAM_BITS = 47
 LEAST_WEIGHT = 1e-4
 BLOCK_BYTES = 8 << 20
@@ -79,7 +94,16 @@ class Block:
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         one = np.bincount(self.unigram_of[:-1][self.trains], minlength=len(self.unigrams))
         one[self.unigram_of[-1]] = self.n_train_docs
-        return one.astype(np.uint32), np.bincount(self.bigram_of[self.trains], minlength=len(self.bigrams)).astype(np.uint32)
+        return one, np.bincount(self.bigram_of[self.trains], minlength=len(self.bigrams))
+
+    def checksum(self) -> int:
+        """Equal for two blocks with the same n-grams and training counts."""
+        return sum(_checksum(k, c) for k, c in zip((self.unigrams, self.bigrams), self.counts(), strict=True)) % (1 << 64)
+
+
+def _checksum(keys: np.ndarray, counts: np.ndarray) -> int:
+    """A sum over the n-grams, so that parts of a block add up to the block's."""
+    return int((X.mix(keys.astype(np.uint64) + X.U(1)) * (2 * counts.astype(np.uint64) + X.U(1))).sum(dtype=np.uint64))
 
 
 def _bounds(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -87,12 +111,14 @@ def _bounds(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]])
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits, or in 64 if one of them needs more."""
+    wide = len(counts) > 0 and int(counts.max()) >= 1 << 32
+    return (b"\x08" if wide else b"\x04") + zstandard.compress(counts.astype("<u8" if wide else "<u4").tobytes(), 1)
 
 
-def _unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype)
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(memoryview(blob)[1:]), "<u8" if blob[0] == 8 else "<u4").astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -141,16 +167,18 @@ def _answer(ranges: int) -> Callable[[pa.Table], pa.Table]:
                 keys.append(wide.reshape(-1).view("<u8"))
         sizes = [len(k) for k in keys]
         every, which = np.unique(np.concatenate(keys), return_inverse=True)
-        sent = np.concatenate([_unpack(c, np.uint32) for c in rows.column("counts").to_pylist()])
-        total = np.bincount(which, weights=sent, minlength=len(every)).astype(np.int64)
+        sent = [_unpack(c) for c in rows.column("counts").to_pylist()]
+        low = X.U(0 if r < ranges else ((r - ranges) << BIGRAM_BITS) // ranges)
+        checks = [_checksum(k + low, c) for k, c in zip(keys, sent, strict=True)]
+        total = np.bincount(which, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)  # exact below 2^53
         blocks, answers = rows.column("block").to_pylist(), []
         for part in np.split(which, np.cumsum(sizes)[:-1]):
-            answers.append(_pack(total[part].astype(np.uint32)))
+            answers.append(_pack(total[part]))
         types = n = 0
         if r < ranges:
             words = total[every != START]
             types, n = int((words > 0).sum()), int(words.sum())
-        return pa.table({"r": pa.array([r] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "answer": pa.array(answers, pa.binary()), "types": pa.array([types, *[0] * (len(blocks) - 1)], pa.int64()), "n": pa.array([n, *[0] * (len(blocks) - 1)], pa.int64())})
+        return pa.table({"r": pa.array([r] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "answer": pa.array(answers, pa.binary()), "check": pa.array(np.array(checks, np.uint64).view(np.int64)), "types": pa.array([types, *[0] * (len(blocks) - 1)], pa.int64()), "n": pa.array([n, *[0] * (len(blocks) - 1)], pa.int64())})
 
     return run
 
@@ -159,8 +187,8 @@ def _cells(c12: np.ndarray, c1: np.ndarray, c2: np.ndarray, n: int) -> np.ndarra
     """Number of the histogram cell (context bucket, bigram probability, unigram probability) of each token."""
     bucket = np.minimum(np.ceil(np.log2(c1 + 1.0)).astype(np.int64), BUCKETS - 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(c12 > 0, np.clip(1 - np.log2(c12 / np.maximum(c1, 1)) * 2, 1, BINS - 1), 0).astype(np.int64)
-        one = np.where(c2 > 0, np.clip(1 - np.log2(c2 / max(n, 1)) * 1.5, 1, BINS - 1), 0).astype(np.int64)
+        two = np.where(c12 > 0, np.clip(1 - np.log2(c12 / np.maximum(c1, 1)) * PER_OCTAVE, 1, BINS - 1), 0).astype(np.int64)
+        one = np.where(c2 > 0, np.clip(1 - np.log2(c2 / max(n, 1)) * PER_OCTAVE, 1, BINS - 1), 0).astype(np.int64)
     return (bucket * BINS + two) * BINS + one
 
 
@@ -170,7 +198,7 @@ def learn_weights(cells: dict[int, int], types: int, rounds: int = 60) -> np.nda
     key = np.array(sorted(cells), np.int64)
     count = np.array([cells[k] for k in key.tolist()], float)
     bucket, two, one = key // (BINS * BINS), key // BINS % BINS, key % BINS
-    p = np.stack([np.where(two > 0, 2.0 ** (-(two - 0.5) / 2), 0), np.where(one > 0, 2.0 ** (-(one - 0.5) / 1.5), 0), np.full(len(key), 1 / (types + 1))], axis=1)
+    p = np.stack([np.where(two > 0, 2.0 ** (-(two - 0.5) / PER_OCTAVE), 0), np.where(one > 0, 2.0 ** (-(one - 0.5) / PER_OCTAVE), 0), np.full(len(key), 1 / (types + 1))], axis=1)
     for b in range(BUCKETS):
         own = bucket == b
         if b == 0:
@@ -201,10 +229,10 @@ def _meet(ranges: int, n: int, types: int) -> Callable[[pa.Table, pa.Table], pa.
         held_out = rows.column("held_out").to_numpy()
         block = Block(rows.column("text").combine_chunks(), held_out)
         got = sorted(zip(answers.column("r").to_pylist(), answers.column("answer").to_pylist(), strict=True))
-        empty = [np.zeros(0, np.uint32)]
-        one = np.concatenate([_unpack(x, np.uint32) for r, x in got if r < ranges] or empty).astype(np.int64)
-        two = np.concatenate([_unpack(x, np.uint32) for r, x in got if r >= ranges] or empty).astype(np.int64)
-        if len(one) != len(block.unigrams) or len(two) != len(block.bigrams):
+        empty = [np.zeros(0, np.int64)]
+        one = np.concatenate([_unpack(x) for r, x in got if r < ranges] or empty)
+        two = np.concatenate([_unpack(x) for r, x in got if r >= ranges] or empty)
+        if len(one) != len(block.unigrams) or len(two) != len(block.bigrams) or sum(answers.column("check").to_pylist()) % (1 << 64) != block.checksum():
             raise RuntimeError("the input gave other rows when it was scanned again; checkpoint it first")
         c2 = one[block.unigram_of[:-1]]
         c12 = two[block.bigram_of]
@@ -215,7 +243,7 @@ def _meet(ranges: int, n: int, types: int) -> Callable[[pa.Table, pa.Table], pa.
         heads = block.to[:-1]
         cell = np.bincount(_cells(np.maximum(c12 - 1, 0), np.maximum(c1 - 1, 0), np.maximum(c2 - 1, 0), n - 1)[block.trains], minlength=1)
         where = np.flatnonzero(cell)
-        packed = [_pack(np.concatenate([c12[a:b], c1[a:b], c2[a:b]]).astype(np.uint32)) for a, b in zip(block.to[:-1], block.to[1:], strict=True)]
+        packed = [_pack(np.concatenate([c12[a:b], c1[a:b], c2[a:b]])) for a, b in zip(block.to[:-1], block.to[1:], strict=True)]
         k = len(packed)
         return pa.table({
             "id": pa.concat_arrays([rows.column("id").combine_chunks(), pa.nulls(1, rows.column("id").type)]),
@@ -223,7 +251,7 @@ def _meet(ranges: int, n: int, types: int) -> Callable[[pa.Table, pa.Table], pa.
             "n_tokens": pa.array([*np.diff(block.to).tolist(), None], pa.int64()),
             "n_known": pa.array([*np.add.reduceat((c2 > 0).astype(np.int64), heads).tolist(), None], pa.int64()),
             "base_score": pa.array([*np.add.reduceat(base, heads).tolist(), None], pa.float64()),
-            "counts": pa.array([*packed, _pack(np.stack([where, cell[where]]))], pa.binary()),
+            "counts": pa.array([*packed, _pack(np.concatenate([where, cell[where]]))], pa.binary()),
             "is_doc": pa.array([True] * k + [False]),
         })
 
@@ -234,7 +262,7 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS * BINS * BINS, np.int64)
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            where, n = _unpack(blob, np.int64).reshape(2, -1)
+            where, n = _unpack(blob).reshape(2, -1)
             total[where] += n
     where = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], names=["cell", "n"])
@@ -245,7 +273,7 @@ def _score(weights: np.ndarray, n: int, types: int) -> Callable[[Iterator[pa.Rec
         for batch in batches:
             scores = []
             for blob in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                c12, c1, c2 = _unpack(blob, np.uint32).reshape(3, -1).astype(float)
+                c12, c1, c2 = _unpack(blob).reshape(3, -1).astype(float)
                 w = weights[np.minimum(np.ceil(np.log2(c1 + 1)).astype(np.int64), BUCKETS - 1)]
                 p = w[:, 0] * c12 / np.maximum(c1, 1) + w[:, 1] * c2 / max(n, 1) + w[:, 2] / (types + 1)
                 scores.append(float(np.log10(p).sum()))
@@ -261,9 +289,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if held_out is None:
         held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    ranges = max(LEAST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-n_bytes // RANGE_BYTES))
     sent = source.mapInArrow(_send(ranges), "r int, block long, keys binary, counts binary")
-    answers = checkpointed(sent.groupBy("r").applyInArrow(_answer(ranges), "r int, block long, answer binary, types long, n long"))
+    answers = checkpointed(sent.groupBy("r").applyInArrow(_answer(ranges), "r int, block long, answer binary, check long, types long, n long"))
     total = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n, types = int(total[0]), int(total[1])
 
@@ -273,7 +302,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     blocks = source.mapInArrow(number, f"id {id_type}, text string, held_out boolean, block long, nth long")
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, counts binary, is_doc boolean"
-    met = checkpointed(blocks.groupBy("block").cogroup(answers.select("r", "block", "answer").groupBy("block")).applyInArrow(_meet(ranges, n, types), schema))
+    # several times as many tasks as blocks, so that few blocks meet in one
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * (n_bytes // BLOCK_BYTES + 1))
+    sides = (d.repartition(dealt, "block").groupBy("block") for d in (blocks, answers.select("r", "block", "answer", "check")))
+    met = checkpointed(next(sides).cogroup(next(sides)).applyInArrow(_meet(ranges, n, types), schema))
     cells = met.where("NOT is_doc").select("counts").mapInArrow(_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # BUCKETS * BINS * BINS rows at most
     weights = learn_weights({r["cell"]: r["n"] for r in cells}, types)
     scored = met.where("is_doc").select("id", "held_out", "n_tokens", "n_known", "base_score", "counts").mapInArrow(_score(weights, n, types), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
