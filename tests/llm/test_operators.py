@@ -93,6 +93,10 @@ def test_decontamination(spark, docs, rows, empty, block_bytes):
     again = decontamination.brute_force([(k, t) for k, t in left.items()], [i for i in items if i[0] in (1, 6)])
     assert not any(r[5] for r in again) and left[0] is None
     assert decontamination.benchmark_hits(empty, bench).count() == 0
+    named = decontamination.benchmark_hits(docs.withColumn("spans", F.lit(1)).withColumn("items", F.lit(2)), bench.selectExpr("concat('item ', item_id) AS item_id", "text"), block_bytes=block_bytes)
+    found = {r["row"]["doc_id"]: (r["items"], r["row"]["spans"], r["row"]["items"]) for r in named.collect()}
+    assert found == {r["row"]["doc_id"]: ([f"item {i}" for i in r["items"]], 1, 2) for r in hits.collect()}
+    assert sorted(tuple(r) for r in decontamination.hit_digest(decontamination.benchmark_hits(docs.union(docs), bench)).collect()) == sorted(got + got)
     assert decontamination.hit_digest(decontamination.benchmark_hits(docs, bench.limit(0))).where("contaminated").count() == 0
 
 
@@ -101,7 +105,9 @@ def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    odd = [(300, "one<|endoftext|> two <|endoftext|><|endoftext|>", "", "", 0), (301, "日本語 テスト, naïve café\t\u3000 я люблю 👩‍👩 I'll 12345\n\n  x ", "", "", 0)]
+    rows = rows + odd
+    docs = docs.union(spark.createDataFrame(odd, DOCS))
     packed = packing.pack(docs.union(docs.where("doc_id < 3")), keep_ids=True).cache()
     got = packed.toPandas()
     for doc, text, *_ in rows:
@@ -296,6 +302,15 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.quality_columns(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [58, 3])
+def test_quality_rules_where_hashes_share_their_low_bits_or_texts_are_long(spark, docs, monkeypatch, bits):
+    docs = docs.union(spark.createDataFrame([(400, "a b c " * 60, "", "", 0), (401, sentence(random.Random(8), 300, 5), "", "", 0)], DOCS))
+    want = sorted(quality_rules.quality_columns(docs).select("row.doc_id", "n_repeat_words").collect())
+    assert any(r["n_repeat_words"] for r in want)
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
+    assert sorted(quality_rules.quality_columns(docs).select("row.doc_id", "n_repeat_words").collect()) == want
+
+
 def test_license_scan(spark, docs, empty):
     extra = [(200, "Released under the MIT License.\nThe Apache LICENSE too", "", "", 0), (201, "mit, license", "", "", 0), (202, "This work is licensed under the GNU General Public License, version 3", "", "", 0), (203, "the mit\nlicense released under", "", "", 0), (204, sentence(random.Random(2), 90) + " licensed under CC BY-NC 4.0", "", "", 0)]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs.union(spark.createDataFrame(extra, DOCS))).collect()}
@@ -342,6 +357,45 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.score_texts(alone, held_out=F.lit(True)).first()["train_tokens"] == 0
 
 
+def test_lm_scores_are_those_of_the_counts_and_weights_near_exact_em(spark, docs, rows, monkeypatch):
+    learned, real = [], lm_scoring.learn_weights
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda cells, types: learned.append(real(cells, types)) or learned[-1])
+    twice = docs.union(docs.where("doc_id = 9"))
+    got = sorted((r["doc_id"], r["score"]) for r in lm_scoring.score_texts(twice).collect())
+    texts = [(r[0], ["<s>", *("".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in spaced(r[1])), None]) for r in [*rows, rows[9]]]
+    trains = [t for k, t in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    one, two = Counter(w for t in trains for w in t), Counter(p for t in trains for p in zip(t, t[1:], strict=False))
+    n, types = sum(one.values()) - one["<s>"], len(one) - 1
+    bucket = lambda c: min(int(math.ceil(math.log2(c + 1))), lm_scoring.BUCKETS - 1)
+    parts = lambda v, w, less: (max(two[v, w] - less, 0) / max(one[v] - less, 1), max(one[w] - less, 0) / (n - less), 1 / (types + 1))
+    seen = {}
+    for t in trains:
+        for v, w in zip(t, t[1:], strict=False):
+            seen.setdefault(bucket(one[v] - 1), []).append(parts(v, w, 1))
+    for b, own in seen.items():
+        p, w = np.array(own), np.array([0, 0.5, 0.5] if b == 0 else [1 / 3] * 3)
+        for _ in range(60):
+            share = w * p
+            w = (share / share.sum(1, keepdims=True)).mean(0)
+        assert np.abs(learned[0][b] - w).max() < 0.02, b
+    want = sorted((k, sum(math.log10(sum(learned[0][bucket(one[v])] * parts(v, w, 0))) for v, w in zip(t, t[1:], strict=False))) for k, t in texts)
+    assert [k for k, _ in got] == [k for k, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_lm_counts_beyond_32_bits_and_other_rows():
+    for counts in ([1, 2], [1 << 32, 3], []):
+        assert lm_scoring._unpack(lm_scoring._pack(np.array(counts, np.int64))).tolist() == counts
+    block = lambda texts, held=(False, False): lm_scoring.Block(pa.array(texts), np.array(held)).checksum()
+    assert block(["a b", "c"]) == block(["c", "a b"]) != block(["a b", "d"])
+    assert block(["a b", "c"]) != block(["a b", "c"], (True, False))
+
+
+def test_lm_rows_that_change_between_scans_are_an_error(spark, docs):
+    shifting = docs.withColumn("text", F.udf(lambda t: f"{t} {random.random()}").asNondeterministic()("text"))
+    with pytest.raises(Exception, match="gave other rows"):
+        lm_scoring.score_texts(shifting).collect()
+
+
 def test_interpolation_weights_follow_the_counts():
     sure = lm_scoring._cells(np.array([8.0]), np.array([8.0]), np.array([1.0]), 1000)[0]
     w = lm_scoring.learn_weights({int(sure): 100}, 50)
@@ -359,6 +413,18 @@ def test_suffix_dedup(spark, docs, rows, empty, most, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 15, 50])
+def test_suffix_dedup_of_periodic_texts(spark, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_WINDOWS", most)
+    texts = ["a" * 1000, "b" + "a" * 600 + "c", "abc" * 400, "xyz" + "abc" * 300, "ab" * 90 + "a" * 200 + "abc" * 50]
+    d = spark.createDataFrame([(k, t, "mine", 1) for k, t in enumerate(texts)], "doc_id long, text string, _place string, place int")
+    found = suffix_dedup.with_spans(d)
+    got = sorted(found.select("row.doc_id", "row.text", "spans").mapInArrow(suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect())
+    assert [tuple(r)[1:] for r in got] == suffix_dedup.brute_force(texts)
+    left = suffix_dedup.remove_repeats(d)
+    assert left.columns == d.columns and {(r["_place"], r["place"]) for r in left.collect()} == {("mine", 1)}
+
+
 def test_suffix_dedup_with_repeated_and_null_ids(spark):
     text = sentence(random.Random(9), 60)
     d = spark.createDataFrame([(None, text), (5, text), (5, text), (5, "other"), (2, text)], "id long, text string")
