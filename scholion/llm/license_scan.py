@@ -1,19 +1,25 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line, or overlapping runs of BLOCK_WORDS words of a longer line;
-the same runs over all words of a text, across its lines, are blocks too, so
-that wrapped notices are found.
-Tokens are ordered by how many blocks of the whole corpus hold them, rarest
-first. A template T joins a block B if B holds at least `threshold` of T's
-distinct tokens. Any such block holds one of T's rarest |T| - need + 1 tokens
-(prefix filter), has at least `need` distinct tokens (length filter), and its
-first prefix match leaves enough of T to reach `need` (positional filter); the
-candidates are then counted exactly.
+A block is a run of words of a text, across its lines, so that wrapped notices
+are found. Runs overlap by half: at each scale of SCALES they have that many
+words, and hold whatever is no longer than half of that wherever it stands. A
+template belongs to the smallest scale of which it fills half a block at most.
+A template T joins a block B if B holds at least `threshold` of T's distinct
+words.
+
+Words are ordered by how often they occur in the whole corpus, rarest first. A
+block that joins T holds one of T's |T| - need + 1 rarest words, need being the
+least overlap (prefix filter). These words form an inverted index, and only
+blocks with one of them are looked at. Of these, the first prefix word that the
+block holds must leave need words of T (positional filter), the block must have
+need distinct words (length filter), and what is left is counted exactly.
 
 The templates are a fixed, small list, so they are broadcast and documents are
-never shuffled; only the counts of template tokens are, a row for each token
-and task. Null texts are empty; empty texts have no places and no labels.
-Repeated rows are judged alike, other columns do not matter.
+never shuffled; only the counts of template words are, a row for each word and
+task. Null texts are empty; empty texts have no places and no labels, an empty
+table gives an empty result. Long texts are scanned whole, as blocks of their
+own. Ties between templates give all their labels. Repeated rows are judged
+alike, other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,27 +35,41 @@ from scholion.llm import _text as X
 
 #: A phrase's words and its label.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Public license notices and their labels.
+#: Paragraphs of public licenses and of notices of them, and their labels.
 TEMPLATES = (
     ("mit", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("all-rights-reserved", "all rights reserved"),
 )
 THRESHOLD = 0.8
-BLOCK_WORDS = 64
+#: Words of a block at each scale.
+SCALES = (64, 256)
 
 
 class Scanner:
-    """Codes of the words that phrases and templates hold, and the templates as code sets."""
+    """Codes of the words that phrases and templates hold, the templates as code sets, and the index of their prefixes."""
 
     def __init__(self, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, phrases: tuple = PHRASES) -> None:
         self.threshold, self.labels = threshold, [label for label, _ in templates]
@@ -61,98 +81,90 @@ class Scanner:
         self.hashes = h[order]
         self.code = {words[k]: i + 1 for i, k in enumerate(order.tolist())}
         self.templates = [np.array(sorted({self.code[w] for w in t.split()}), np.int64) for _, t in templates]
+        longest = [len(t.split()) for _, t in templates]
+        if max(longest, default=0) > SCALES[-1] // 2:
+            raise ValueError(f"a template has more than {SCALES[-1] // 2} words")
+        self.scale = np.array([next(w for w in SCALES if n <= w // 2) for n in longest], np.int64)
+        self.size = np.array([len(t) for t in self.templates], np.int64)
+        self.need = np.ceil(threshold * self.size - 1e-9).astype(np.int64)
+        self.member = np.zeros((len(templates), len(words) + 1), bool)
+        for k, t in enumerate(self.templates):
+            self.member[k, t] = True
         self.phrases = [([self.code[w] for w in p.split()], label) for p, label in phrases]
-        self.rank = np.arange(len(words) + 1)
-
-    def need(self, template: np.ndarray) -> int:
-        return int(np.ceil(self.threshold * len(template) - 1e-9))
-
-    def codes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.order_by(np.zeros(len(words) + 1, np.int64))
+
+    def order_by(self, frequency: np.ndarray) -> None:
+        """Index the prefixes, words being ordered by their frequency in the corpus."""
+        rank = np.empty(len(frequency), np.int64)
+        rank[np.argsort(frequency, kind="stable")] = np.arange(len(frequency))
+        postings = [(w, k, i) for k, t in enumerate(self.templates) for i, w in enumerate(t[np.argsort(rank[t])][: self.size[k] - self.need[k] + 1].tolist())]
+        postings.sort()
+        self.posting_at = np.searchsorted(np.array([w for w, _, _ in postings], np.int64), np.arange(len(frequency) + 1))
+        self.posting_template, self.posting_place = (np.array([p[j] for p in postings], np.int64) for j in (1, 2))
+
+    def codes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each word, 0 where no template or phrase has it, and the word offsets of the documents."""
         starts, ends, words_at = X.split_words(data, at)
         if not len(starts):
-            return np.zeros(0, np.int64), starts, words_at
+            return np.zeros(0, np.int64), words_at
         h = X.hash_words(data, starts, ends)
         place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == h, place + 1, 0), starts, words_at
-
-    def block_tokens(self, data: np.ndarray, at: np.ndarray, code: np.ndarray, starts: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (block, code) pairs of known words, in order, and the document of each block."""
-        breaks = np.zeros(len(code) + 1, bool)
-        breaks[words_at] = True
-        whole = self.runs(code, np.flatnonzero(breaks[:-1]), words_at)
-        breaks[np.searchsorted(starts, np.flatnonzero(data == 10))] = True
-        lines = self.runs(code, np.flatnonzero(breaks[:-1]), words_at)
-        after = lines[0][-1] + 1 if len(lines[0]) else 0
-        return np.concatenate([lines[0], whole[0] + after]), np.concatenate([lines[1], whole[1]]), np.concatenate([lines[2], whole[2]])
-
-    def runs(self, code: np.ndarray, line_at: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs and documents of the blocks of the lines that start at `line_at`."""
-        sizes = np.diff(np.concatenate([line_at, [len(code)]]))
-        half = BLOCK_WORDS // 2
-        # block k of a line has the words from k * half to k * half + BLOCK_WORDS
-        count = np.maximum(1, -(-(sizes - half) // half))
-        block_at = np.concatenate([[0], np.cumsum(count)])
-        known = np.flatnonzero(code)
-        line = np.searchsorted(line_at, known, side="right") - 1
-        k = (known - line_at[line]) // half
-        last = count[line] - 1
-        pairs = np.concatenate([np.stack([block_at[line] + np.minimum(k, last), code[known]]), np.stack([block_at[line] + np.maximum(k - 1, 0), code[known]])], axis=1)
-        size = len(self.hashes) + 1
-        key = np.unique(pairs[0] * size + pairs[1])
-        block, token = key // size, key % size
-        doc = np.searchsorted(words_at, line_at[np.searchsorted(block_at, block, side="right") - 1], side="right") - 1
-        return block, token, doc
-
-    def join(self, block: np.ndarray, token: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(template, row of the pairs that stands for the block, containment) of every block that meets the threshold."""
-        out = []
-        if not len(block):
-            return out
-        fresh = np.concatenate([[True], block[1:] != block[:-1]])
-        nth = np.cumsum(fresh) - 1
-        first_row = np.flatnonzero(fresh)
-        held = np.bincount(nth)
-        for t, template in enumerate(self.templates):
-            need, size = self.need(template), len(template)
-            by_rank = template[np.argsort(self.rank[template])]
-            place = np.full(len(self.hashes) + 1, size)
-            place[by_rank] = np.arange(size)
-            inside = place[token]
-            prefix = inside < size - need + 1
-            first = np.full(len(first_row), size)
-            np.minimum.at(first, nth[prefix], inside[prefix])
-            candidate = (first < size) & (held >= need) & (size - first >= need)
-            own = candidate[nth] & (inside < size)
-            overlap = np.bincount(nth[own], minlength=len(first_row))
-            good = np.flatnonzero(candidate & (overlap >= need))
-            if len(good):
-                out.append((t, first_row[good], overlap[good] / size))
-        return out
-
-
-def _count_tokens(scanner: Scanner) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return np.where(self.hashes[place] == h, place + 1, 0), words_at
+
+    def join(self, code: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template, document and containment of every pair of a template and a block that meets the threshold."""
+        # words that the index holds, and what it says of them
+        word = np.flatnonzero(self.posting_at[code + 1] > self.posting_at[code])
+        count = (self.posting_at[code + 1] - self.posting_at[code])[word]
+        row = np.repeat(self.posting_at[code[word]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        template, place = self.posting_template[row], self.posting_place[row]
+        word = np.repeat(word, count)
+        doc = np.searchsorted(words_at, word, side="right") - 1
+        half = self.scale[template] // 2
+        blocks = np.maximum(1, -(-(words_at[doc + 1] - words_at[doc] - half) // half))
+        nth = (word - words_at[doc]) // half
+        both = [np.minimum(nth, blocks - 1), np.maximum(nth - 1, 0)]
+        # the first prefix word of each pair of block and template
+        key = np.concatenate([np.stack([doc, b, template, place]) for b in both], axis=1)
+        key = key[:, np.lexsort(key[::-1])]
+        fresh = np.ones(key.shape[1], bool)
+        fresh[1:] = (key[:3, 1:] != key[:3, :-1]).any(0)
+        doc, block, template, place = key[:, fresh]
+        left = self.size[template] - place >= self.need[template]
+        doc, block, template = doc[left], block[left], template[left]
+        first = words_at[doc] + block * (self.scale[template] // 2)
+        last = np.minimum(first + self.scale[template], words_at[doc + 1])
+        share = np.zeros(len(doc))
+        for k, (a, b, t) in enumerate(zip(first.tolist(), last.tolist(), template.tolist(), strict=True)):
+            if b - a >= self.need[t]:
+                held = np.unique(code[a:b])
+                overlap = int(self.member[t, held].sum())
+                share[k] = overlap / self.size[t] if overlap >= self.need[t] else 0.0
+        good = share > 0
+        return template[good], doc[good], share[good]
+
+
+def _count_words(scanner: Scanner) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(scanner.hashes) + 1, np.int64)
         for batch in batches:
             for a, b in X.blocks(batch.column(0)):
-                data, at = X.text_buffer(batch.column(0).slice(a, b - a))
-                code, starts, words_at = scanner.codes(data, at)
-                _, token, _ = scanner.block_tokens(data, at, code, starts, words_at)
-                total += np.bincount(token, minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["token", "n"])
+                code, _ = scanner.codes(*X.text_buffer(batch.column(0).slice(a, b - a)))
+                total += np.bincount(code, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
 
     return run
 
 
 def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner: Scanner = shared.value[0](**shared.value[1])
-        scanner.rank = shared.value[2]
+        make, arguments, frequency = shared.value
+        scanner: Scanner = make(**arguments)
+        scanner.order_by(frequency)
         for batch in batches:
             for a, b in X.blocks(batch.column(1)):
                 n = b - a
-                data, at = X.text_buffer(batch.column(1).slice(a, n))
-                code, starts, words_at = scanner.codes(data, at)
+                code, words_at = scanner.codes(*X.text_buffer(batch.column(1).slice(a, n)))
                 doc_of = X.doc_of(words_at)
                 n_base, base, labels = np.zeros(n, np.int64), [set() for _ in range(n)], [set() for _ in range(n)]
                 first, last, score = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
@@ -170,12 +182,10 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                     for d in np.unique(doc).tolist():
                         base[d].add(label)
                 score[n_base > 0] = 1.0
-                block, token, block_doc = scanner.block_tokens(data, at, code, starts, words_at)
-                for t, rows, containment in scanner.join(block, token):
-                    doc = block_doc[rows]
-                    np.maximum.at(score, doc, containment)
-                    for d in np.unique(doc).tolist():
-                        labels[d].add(scanner.labels[t])
+                template, doc, containment = scanner.join(code, words_at)
+                np.maximum.at(score, doc, containment)
+                for t, d in zip(template.tolist(), doc.tolist(), strict=True):
+                    labels[d].add(scanner.labels[t])
                 none = n_base == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -197,13 +207,11 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document; `score` is 1 with a base phrase, else the largest containment that meets the threshold, or 0."""
     arguments = {"templates": templates, "threshold": threshold}
-    counts = docs.select(text_col).mapInArrow(_count_tokens(Scanner(**arguments)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each template token
+    counts = docs.select(text_col).mapInArrow(_count_words(Scanner(**arguments)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the templates
     frequency = np.zeros(len(Scanner(**arguments).hashes) + 1, np.int64)
-    for token, n in counts:
-        frequency[token] = n
-    rank = np.empty(len(frequency), np.int64)
-    rank[np.argsort(frequency, kind="stable")] = np.arange(len(frequency))
-    shared = docs.sparkSession.sparkContext.broadcast((Scanner, arguments, rank))
+    for word, n in counts:
+        frequency[word] = n
+    shared = docs.sparkSession.sparkContext.broadcast((Scanner, arguments, frequency))
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(_scan(shared), f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
