@@ -321,18 +321,62 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def joined(scanner, texts):
+    code, words_at = scanner.codes(*license_scan.X.text_buffer(pa.array(texts)))
+    return scanner.join(code, words_at)
+
+
 @pytest.mark.parametrize("template", license_scan.TEMPLATES)
 def test_wrapped_license_notices(template):
     label, text = template
     words = text.split()
     wrapped = "\n".join(" ".join(words[k : k + 2]) for k in range(0, len(words), 2))
-    got = []
     scanner = license_scan.Scanner()
-    for t in (sentence(random.Random(3), 50) + "\n" + wrapped + "\n" + sentence(random.Random(4), 90), sentence(random.Random(5), 300)):
-        data, at = license_scan.X.text_buffer(pa.array([t]))
-        code, starts, words_at = scanner.codes(data, at)
-        got.append({scanner.labels[k] for k, _, _ in scanner.join(*scanner.block_tokens(data, at, code, starts, words_at)[:2])})
-    assert label in got[0] and not got[1]
+    t, doc, _ = joined(scanner, [sentence(random.Random(3), 50) + "\n" + wrapped + "\n" + sentence(random.Random(4), 90), sentence(random.Random(5), 300)])
+    assert label in {scanner.labels[k] for k in t.tolist()} and set(doc.tolist()) == {0}
+
+
+def test_license_join_finds_all_that_brute_force_finds():
+    rng = random.Random(17)
+    pool = [w for _, t in license_scan.TEMPLATES for w in t.split()]
+    texts = ["", "license", "all rights reserved"]
+    for k in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(pool) if rng.random() < 0.5 else f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 200))]
+            t = rng.choice(license_scan.TEMPLATES)[1].split()
+            words += [w if rng.random() > 0.1 * (k % 4) else "other" for w in t]
+        texts.append("\n".join(words))
+    scanner = license_scan.Scanner()
+    frequency = np.bincount(scanner.codes(*license_scan.X.text_buffer(pa.array(texts)))[0], minlength=len(scanner.hashes) + 1)
+    want = set()
+    for d, text in enumerate(texts):
+        words = text.split()
+        for k, (_, t) in enumerate(license_scan.TEMPLATES):
+            own, width = set(t.split()), next(w for w in license_scan.SCALES if len(t.split()) <= w // 2)
+            for a in range(0, max(1, len(words) - width // 2), width // 2):
+                share = len(own & set(words[a : a + width])) / len(own)
+                if share >= 0.8:
+                    want.add((k, d, round(share, 9)))
+    for by in (np.zeros_like(frequency), frequency):
+        scanner.order_by(by)
+        t, doc, share = joined(scanner, texts)
+        assert set(zip(t.tolist(), doc.tolist(), share.round(9).tolist(), strict=True)) == want
+    assert len(want) > 100
+
+
+def test_license_labels_and_base_places_against_brute_force(spark, docs, rows):
+    rng = random.Random(23)
+    words = ["mit", "license", "apache", "general", "public", "x"]
+    texts = [(500 + k, rng.choice([" ", "\n", ", "]).join(rng.choice(words) for _ in range(rng.randrange(0, 40))), "", "", 0) for k in range(60)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs.union(spark.createDataFrame([*texts, texts[3]], DOCS))).collect()}
+    for k, text, *_ in [*rows, *texts]:
+        w = alnum(text)
+        places = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        r = got[k]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and (r["score"] == 1 or not places)
 
 
 def test_license_scan_of_a_wrapped_notice(spark):
@@ -488,6 +532,34 @@ def test_url_filter(spark):
     assert got[8]["rule"] == "net/es/" and got[9]["rule"] is None and got[10]["rule"] == "net/fr/"
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
     assert url_filter.filter_urls(d.limit(0)).count() == 0
+    assert {r["row"]["host"] for r in got.values()} == {"x"}
+
+
+def rule_of(url):
+    """Host, path, longest fitting rule and its verdict, rule by rule."""
+    found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in found[1]), found[2]) if found else ("", "")
+    fits = [(len(h) + len(p), h + p, kind) for kind, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_url_rules_and_trees(spark):
+    """Rules against brute force on a whole table, trees on a fold that they have not seen, both verdicts where no rule decides."""
+    rng = random.Random(29)
+    odd = ["".join(rng.choice(["://", "/", "?", "#", ".", "com", "net", "example", "www", "en/", "/es/", "/fr/", "A", "é", ":"]) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
+    fold = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    got = url_filter.filter_urls(pages, held_out=fold).select("row.page_id", "row.url", "host", "path", "rule", "verdict", "score").collect()
+    assert len(got) == pages.count()
+    for r in got:
+        host, path, rule, verdict = rule_of(r["url"])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+    assert {r["verdict"] for r in got if r["rule"] is None and r["page_id"] < 10**6} == {"allow", "block"}
+    for label in ("allow", "block"):
+        held = [r for r in got if r["rule"] and r["verdict"] == label and zlib.crc32(r["url"].encode()) % 5 == 0 and r["page_id"] < 10**6]
+        right = sum((r["score"] >= 0.5) == (label == "block") for r in held)
+        print(label, len(held), right / len(held))
+        assert right >= 0.8 * len(held) > 20
 
 
 def test_pipeline_stages(spark, tmp_path):
