@@ -260,7 +260,7 @@ def jaro_winkler_similarity(a: str, b: str, scale: float = 0.1) -> float:
     m = len(matched)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(matched, (b[j] for j in range(len(b)) if used[j]), strict=True)) / 2
+    moved = sum(x != y for x, y in zip(matched, (b[j] for j in range(len(b)) if used[j]), strict=True)) // 2  # whole transpositions
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * scale * (1 - jaro) if jaro > 0.7 else jaro

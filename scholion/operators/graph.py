@@ -3,7 +3,7 @@
 Edges are rows (src, dst, weight), nodes rows (node); a layered graph has
 (src_layer, src, dst_layer, dst, weight). Walks are driver loops over one
 aggregation a step; the edges' transition probabilities are computed once, and
-lineage is cut every few steps with a written table.
+lineage is cut with written tables, which are deleted when no step needs them.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.runtime import checkpointed
+from scholion.runtime import bucketed, checkpointed, discard
 
 CUT_EVERY = 5
-#: A walk over at most so many edges may run in one process: a step on frames costs the same however small the graph.
-SMALL_EDGES = 500_000
 
 
 def transition(edges: DataFrame) -> DataFrame:
@@ -47,7 +45,7 @@ def pagerank(
     kind: str = "weighted",
     dangling: str = "uniform",
     start: DataFrame | None = None,
-    engine: str = "auto",
+    engine: str = "frames",
 ) -> DataFrame:
     """node, score, summing to 1; an empty graph gives an empty result.
 
@@ -58,11 +56,15 @@ def pagerank(
     `iterations` steps if given, else once the L1 change is under `tolerance`;
     after most + 2 steps without that, it raises.
 
-    `engine` is frames, numpy, or auto: numpy for graphs whose edges and nodes
-    have been counted and are at most SMALL_EDGES, else frames.
+    The edges are written once in buckets of their source, so a step moves the
+    vector and one partial sum for each task and target. It is one write of the
+    vector and one aggregation over it: the change of a step is known one step
+    later, when its vector has been divided by its sum. `engine="numpy"` runs
+    the same steps in the driver's process, for graphs known to be small.
     """
     d = 1 - teleport
-    probabilities = checkpointed(metropolis(nodes, edges) if kind == "metropolis" else transition(edges))
+    spark = nodes.sparkSession
+    probabilities = bucketed(metropolis(nodes, edges) if kind == "metropolis" else transition(edges), "src", int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
@@ -74,33 +76,34 @@ def pagerank(
         state = state.withColumn("pers", F.lit(1.0 / n))
     if start is not None:
         total = start.agg(F.sum("weight")).first()[0]
-        state = state.join(start.select("node", F.col("weight").alias("_s")), "node", "left").withColumn("score", F.coalesce("_s", F.lit(0.0)) / total).drop("_s")
+        state = state.join(start.select("node", F.col("weight").alias("_s")), "node", "left").withColumn("_y", F.coalesce("_s", F.lit(0.0)) / total).drop("_s")
     else:
-        state = state.withColumn("score", F.lit(1.0 / n))
-    state = checkpointed(state)
-    if engine == "numpy" or (engine == "auto" and max(n, probabilities.count()) <= SMALL_EDGES):
-        return _walk_in_process(state, probabilities, teleport, iterations, tolerance, most, dangling)
-    step, total = 0, 1.0
-    lost = state.agg(F.sum(F.when(F.col("dangles"), F.col("score")))).first()[0] or 0.0
+        state = state.withColumn("_y", F.lit(1.0 / n))
+    written = checkpointed(state.withColumn("_x", F.lit(0.0)))
+    if engine == "numpy":
+        return _walk_in_process(written.withColumnRenamed("_y", "score").drop("_x"), probabilities, teleport, iterations, tolerance, most, dangling)
+    step = 0
     while True:
+        # of vector `step`: its sum, what dangles of it, and how far the two vectors before it lie apart
+        total, lost, change = written.agg(F.sum("_y"), F.sum(F.when(F.col("dangles"), F.col("_y"))), F.sum("_c") if step > 1 else F.lit(None)).first()
+        if iterations is None and step > 1 and change < tolerance:
+            return written.select("node", F.col("_x").alias("score"))
+        if step == iterations:
+            return written.select("node", (F.col("_y") / total).alias("score"))
+        if iterations is None and step > most + 2:
+            raise RuntimeError(f"no convergence in {step - 1} steps; the last change was {change}")
+        lost = (lost or 0.0) / total
+        state = written.select("node", "dangles", "pers", (F.col("_y") / total).alias("score"), F.abs(F.col("_y") / total - F.col("_x")).alias("_c"))
         spread = F.lit(lost / n) if dangling == "uniform" else lost * F.col("pers")
         flow = probabilities.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("_f"))
-        moved = state.join(flow.withColumnRenamed("dst", "node"), "node", "left").withColumn("_y", d * (F.coalesce("_f", F.lit(0.0)) + spread) + teleport * F.col("pers")).drop("_f")
-        # one write and one action a step; a step's vector is divided by its sum as the next step reads it
-        moved = checkpointed(moved)
-        total, lost = moved.agg(F.sum("_y"), F.sum(F.when(F.col("dangles"), F.col("_y")))).first()
-        lost = (lost or 0.0) / total
-        change = None if iterations is not None else moved.agg(F.sum(F.abs(F.col("_y") / total - F.col("score")))).first()[0]
-        state = moved.withColumn("score", F.col("_y") / total).drop("_y")
+        moved = state.join(flow.withColumnRenamed("dst", "node"), "node", "left").withColumn("_y", d * (F.coalesce("_f", F.lit(0.0)) + spread) + teleport * F.col("pers"))
+        last, written = written, checkpointed(moved.select("node", "dangles", "pers", "_y", F.col("score").alias("_x"), "_c"))
+        discard(last)
         step += 1
-        if step == iterations or (change is not None and change < tolerance):
-            return state.select("node", "score")
-        if iterations is None and step >= most + 2:
-            raise RuntimeError(f"no convergence in {step} steps; the last change was {change}")
 
 
 def _walk_in_process(state: DataFrame, probabilities: DataFrame, teleport: float, iterations: int | None, tolerance: float, most: int, dangling: str) -> DataFrame:
-    """The steps of `pagerank` on counted, small tables."""
+    """The steps of `pagerank` in this process."""
     import numpy as np
     import pandas as pd
 
@@ -155,9 +158,8 @@ def layer_weights(edges: DataFrame, rho: Mapping[tuple[str, str], float], norm:
         raise ValueError("layer weights must not be negative")
     pairs = [(a, b, v) for (a, b), v in rho.items() if v]
     r = edges.sparkSession.createDataFrame(pairs, "src_layer string, dst_layer string, rho double")
-    top = (F.max if norm == "max" else F.sum)("weight").alias("_m")
-    tops = edges.groupBy("src_layer", "src", "dst_layer").agg(top)
-    w = edges.join(tops, ["src_layer", "src", "dst_layer"]).join(F.broadcast(r), ["src_layer", "dst_layer"])
+    top = (F.max if norm == "max" else F.sum)("weight").over(Window.partitionBy("src_layer", "src", "dst_layer"))
+    w = edges.join(F.broadcast(r), ["src_layer", "dst_layer"]).withColumn("_m", top)
     return w.select("src_layer", "src", "dst_layer", "dst", F.coalesce(F.try_divide(F.col("weight") * F.col("rho"), F.col("_m")), F.lit(0.0)).alias("weight"))
 
 

@@ -130,25 +130,34 @@ def pairs_in_group(df: DataFrame, group: str, item: str) -> DataFrame:
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-#: A dictionary of at most so many entries is broadcast; a larger one is joined by token.
+#: A dictionary of at most so many entries is broadcast whole; a larger one is joined by token, with the same result.
 MOST_ENTRIES = 5000
 
 
 def token_subset_join(texts: DataFrame, text: str, dictionary: DataFrame, tokens: str = "tokens", priority: str = "priority") -> DataFrame:
-    """The dictionary entry of the smallest priority whose tokens are all words of the text."""
+    """The dictionary entry of the smallest priority whose tokens are all words of the text; an entry without tokens fits nothing.
+
+    In a large dictionary texts meet an entry by its rarest token, that which
+    the fewest entries have, so common words pair nothing; the other tokens are
+    then looked for in the text. Equal texts are matched once.
+    """
     split = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    entry = F.struct(priority, tokens, *(c for c in dictionary.columns if c not in (priority, tokens)))
+    rest = [c for c in dictionary.columns if c not in (priority, tokens)]
+    entries = dictionary.where(F.size(tokens) > 0).select(F.struct(priority, tokens, *rest).alias("_m"))
+    fits = lambda e: F.forall(e[tokens], lambda t: F.array_contains("_words", t))
     if dictionary.count() <= MOST_ENTRIES:
-        listed = dictionary.agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+        listed = entries.agg(F.array_sort(F.collect_list("_m")).alias("_entries"))
         met = texts.select("*", F.explode(F.array(split)).alias("_words")).crossJoin(F.broadcast(listed))
-        met = met.withColumn("_m", F.get(F.filter("_entries", lambda e: F.forall(e[tokens], lambda t: F.array_contains("_words", t))), F.lit(0)))
+        met = met.withColumn("_m", F.get(F.filter("_entries", fits), F.lit(0))).where("_m IS NOT NULL")
     else:
-        keyed = texts.withColumn("_key", F.md5(text))
-        words = keyed.select("_key", F.explode(split).alias("_w")).distinct()
-        wanted = dictionary.select(entry.alias("_m"), F.size(F.array_distinct(tokens)).alias("_n"), F.explode(F.array_distinct(tokens)).alias("_w"))
-        full = words.join(wanted, "_w").groupBy("_key", "_m", "_n").agg(F.count("*").alias("_c")).where("_c = _n")
-        met = keyed.join(full.groupBy("_key").agg(F.min_by("_m", F.col(f"_m.{priority}")).alias("_m")), "_key").drop("_key")
-    return met.where("_m IS NOT NULL").select(*texts.columns, *(F.col(f"_m.{c}").alias(c) for c in dictionary.columns))
+        spread = entries.select("_m", F.explode(F.array_distinct(F.col("_m")[tokens])).alias("_w"))
+        common = spread.groupBy("_w").agg(F.count("*").alias("_n"))
+        rarest = spread.join(common, "_w").groupBy("_m").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+        keyed = texts.where(F.col(text).isNotNull()).withColumn("_key", F.md5(text))
+        words = keyed.select("_key", split.alias("_words")).dropDuplicates(["_key"])
+        found = words.select("_key", "_words", F.explode("_words").alias("_w")).join(rarest, "_w").where(fits(F.col("_m")))
+        met = keyed.join(found.groupBy("_key").agg(F.min("_m").alias("_m")), "_key")
+    return met.select(*texts.columns, *(F.col("_m")[c].alias(c) for c in dictionary.columns))
 
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries over layered graphs and random walks.
 
-The SQL twins unroll a fixed number of steps; the walks' convergence is tested
-on micro graphs.
+All walks run until their L1 change is under 1e-8; so do the SQL twins, which
+unroll their steps.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +18,32 @@ from scholion.operators import relational as R
 from scholion.plans.registry import query
 from scholion.plans.relational import CREDIT, DECAY_SQL, _project_sql, author_to_affil, project, r6
 
-STEPS = 5
-
-
 def r9(c: str) -> F.Column:
     return F.round(F.col(c), 9)
 
 
-def walk_sql(teleport: float, steps: int = STEPS, personal: str | None = None, p: str | None = None, dangling: str = "uniform", start: bool = False) -> str:
-    """CTEs that walk over n(node) and e(src, dst, weight); the last, x, is (node, score)."""
+def steps_to(teleport: float, tolerance: float = 1e-8) -> int:
+    """Steps after which a walk has surely converged: a step shrinks the L1 change to 1 - teleport of it, from 2 at most."""
+    return math.ceil(math.log(tolerance / 2) / math.log(1 - teleport)) + 2
+
+
+def walk_sql(teleport: float, personal: str | None = None, p: str | None = None, dangling: str = "uniform", start: bool = False) -> str:
+    """CTEs that walk over n(node) and e(src, dst, weight) until the L1 change is under 1e-8; the last, x, is (node, score).
+
+    As many steps are unrolled as any graph can need; once the change is small
+    enough, the later ones hand the vector on.
+    """
     p = p or "SELECT src, dst, coalesce(weight / nullif(sum(weight) OVER (PARTITION BY src), 0), 0) AS p FROM e"
     pers = f"coalesce((SELECT weight FROM ({personal}) q WHERE q.node = n.node), 0) / (SELECT sum(weight) FROM ({personal}))" if personal else "1.0::DOUBLE / (SELECT count(*) FROM n)"
     out = f"""p AS MATERIALIZED ({p}),
-x0 AS MATERIALIZED (SELECT node, {pers if start else "1.0::DOUBLE / (SELECT count(*) FROM n)"} AS score, {pers} AS pers, node NOT IN (SELECT src FROM p) AS dangles FROM n)"""
+x0 AS MATERIALIZED (SELECT node, {pers if start else "1.0::DOUBLE / (SELECT count(*) FROM n)"} AS score, {pers} AS pers, node NOT IN (SELECT src FROM p) AS dangles, false AS done FROM n)"""
+    steps = steps_to(teleport)
+    spread = "lost / (SELECT count(*) FROM n)" if dangling == "uniform" else "lost * pers"
     for k in range(steps):
-        spread = "lost / (SELECT count(*) FROM n)" if dangling == "uniform" else "lost * pers"
         out += f""",
-y{k} AS MATERIALIZED (SELECT node, pers, dangles, (1 - {teleport}::DOUBLE) * (coalesce(f, 0) + {spread}) + {teleport}::DOUBLE * pers AS y FROM x{k}
-  LEFT JOIN (SELECT dst AS node, sum(score * p) AS f FROM p JOIN x{k} ON src = node GROUP BY 1) USING (node), (SELECT coalesce(sum(score) FILTER (dangles), 0) AS lost FROM x{k})),
-x{k + 1} AS MATERIALIZED (SELECT node, pers, dangles, y / sum(y) OVER () AS score FROM y{k})"""
+y{k} AS MATERIALIZED (SELECT node, pers, dangles, done, score, (1 - {teleport}::DOUBLE) * (coalesce(f, 0) + {spread}) + {teleport}::DOUBLE * pers AS y FROM x{k}
+  LEFT JOIN (SELECT dst AS node, sum(score * p) AS f FROM p JOIN x{k} ON src = node WHERE NOT done GROUP BY 1) USING (node), (SELECT coalesce(sum(score) FILTER (dangles), 0) AS lost FROM x{k})),
+x{k + 1} AS MATERIALIZED (SELECT node, pers, dangles, CASE WHEN done THEN score ELSE y / t END AS score, done OR sum(abs(y / t - score)) OVER () < 1e-8 AS done FROM y{k}, (SELECT sum(y) AS t FROM y{k}))"""
     return out + f", x AS (SELECT node, score FROM x{steps})"
 
 
@@ -55,7 +64,7 @@ def author_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("GR1_pagerank", f"{_AFFIL_GRAPH}, {walk_sql(0.3, personal='SELECT node, node + 1 AS weight FROM n')} SELECT node, round(score, 9) AS score FROM x")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     n, e = affil_graph(spark, d)
-    return G.pagerank(n, e, 0.3, n.select("node", (F.col("node") + 1.0).alias("weight")), STEPS).select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.3, n.select("node", (F.col("node") + 1.0).alias("weight"))).select("node", r9("score").alias("score"))
 
 
 _METROPOLIS = """WITH o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), s AS (
@@ -67,13 +76,13 @@ SELECT * FROM s UNION ALL SELECT src, src, 1 - sum(p) FROM s GROUP BY 1 UNION AL
 @query("GR2_metropolis", f"{_AFFIL_GRAPH}, {walk_sql(0.3, p=_METROPOLIS)} SELECT node, round(score, 9) AS score FROM x")
 def metropolis(spark: SparkSession, d: str) -> DataFrame:
     n, e = affil_graph(spark, d)
-    return G.pagerank(n, e, 0.3, iterations=STEPS, kind="metropolis").select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.3, kind="metropolis").select("node", r9("score").alias("score"))
 
 
 @query("GR3_single_layer", f"{_AUTHOR_GRAPH}, {walk_sql(0.9)} SELECT node, round(score, 9) AS score FROM x")
 def single_layer(spark: SparkSession, d: str) -> DataFrame:
     n, e = author_graph(spark, d)
-    return G.pagerank(n, e, 0.9, iterations=STEPS).select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.9).select("node", r9("score").alias("score"))
 
 
 _PRIOR = "SELECT node, 0.7::DOUBLE * coalesce(s, 0) / (SELECT sum(score) FROM credit) + 0.3::DOUBLE / (SELECT count(*) FROM n) AS weight FROM n LEFT JOIN (SELECT affil_id AS node, sum(score) AS s FROM credit GROUP BY 1) USING (node)"
@@ -83,7 +92,7 @@ _PRIOR = "SELECT node, 0.7::DOUBLE * coalesce(s, 0) / (SELECT sum(score) FROM cr
 def projected_affil(spark: SparkSession, d: str) -> DataFrame:
     n, e = affil_graph(spark, d)
     scores = C.with_zero(candidates(spark, d), C.fractional_credit(fact(spark, d))).select(F.col("affil_id").alias("node"), "score")
-    return G.pagerank(n, e, 0.7, G.mixed_prior(scores, 0.7, n.count()), STEPS).select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.7, G.mixed_prior(scores, 0.7, n.count())).select("node", r9("score").alias("score"))
 
 
 def _layers_sql(rho: dict[tuple[str, str], float], layered: str) -> str:
@@ -139,7 +148,7 @@ def priors(scores: DataFrame, layer: str, key: str, share: float) -> DataFrame:
 def author_affil(spark: SparkSession, d: str) -> DataFrame:
     authors = authorship(spark, d).groupBy("author_id").agg(F.count("*").cast("double").alias("score"))
     p = priors(authors, "author", "author_id", 0.5).union(priors(C.fractional_credit(fact(spark, d)), "affil", "affil_id", 0.5))
-    return rank_out(G.rank_layers(two_layers(spark, d), _RHO2, 0.9, p, STEPS))
+    return rank_out(G.rank_layers(two_layers(spark, d), _RHO2, 0.9, p))
 
 
 _RHO3 = G.institution_rho(0.99, 0.01, 0.9) | {("affil", "author"): 0.9, ("affil", "affil"): 0.1}
@@ -174,12 +183,12 @@ def three_layers(spark: SparkSession, d: str) -> DataFrame:
 @query("GR6_paper_author_affil", f"WITH {ctes('fact', 'citations')}, {CREDIT}, {_layers_sql(_RHO3, _THREE)}, {walk_sql(0.4, personal=_PRIOR3)} {_OUT}")
 def paper_author_affil(spark: SparkSession, d: str) -> DataFrame:
     p = priors(C.fractional_credit(fact(spark, d)), "affil", "affil_id", 0.5)
-    return rank_out(G.rank_layers(three_layers(spark, d), _RHO3, 0.4, p, STEPS))
+    return rank_out(G.rank_layers(three_layers(spark, d), _RHO3, 0.4, p))
 
 
 @query("GR7_multi_layered", f"WITH {ctes('fact', 'citations')}, {_layers_sql(_RHO7, _THREE)}, {walk_sql(0.4)} {_OUT}")
 def multi_layered(spark: SparkSession, d: str) -> DataFrame:
-    return rank_out(G.rank_layers(three_layers(spark, d), _RHO7, 0.4, iterations=STEPS))
+    return rank_out(G.rank_layers(three_layers(spark, d), _RHO7, 0.4))
 
 
 _RHO8 = G.star_rho({"paper": 0.25, "author": 0.25, "venue": 0.25, "affil": 0.25}, "paper")
@@ -198,7 +207,7 @@ def query_layers(spark: SparkSession, d: str) -> DataFrame:
         (_as_edges(fact(spark, d).select("paper_id", "affil_id").distinct(), "paper_id", "affil_id"), "paper", "affil", True),
     )
     p = priors(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), "paper", "o_orderkey", 0.3)
-    return rank_out(G.rank_layers(layers, _RHO8, 0.3, p, STEPS))
+    return rank_out(G.rank_layers(layers, _RHO8, 0.3, p))
 
 
 @query("LW1_layer_weights", f"WITH {ctes('fact', 'citations')}, {_layers_sql(_RHO7, _THREE)} SELECT src, dst, round(weight, 6) AS weight FROM e")
@@ -251,7 +260,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 @query("GR9_stock_pagerank", f"{_PAPER_GRAPH}, {walk_sql(0.15, dangling='personal')} SELECT node, round(score, 9) AS score FROM x")
 def stock(spark: SparkSession, d: str) -> DataFrame:
     n, e = paper_graph(spark, d)
-    return G.pagerank(n, e, 0.15, iterations=STEPS, dangling="personal").select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.15, dangling="personal").select("node", r9("score").alias("score"))
 
 
 _CITERANK = "SELECT paper_id AS node, exp((year - 2001) / 2.6::DOUBLE) AS weight FROM papers"
@@ -261,7 +270,7 @@ _CITERANK = "SELECT paper_id AS node, exp((year - 2001) / 2.6::DOUBLE) AS weight
 def citerank(spark: SparkSession, d: str) -> DataFrame:
     n, e = paper_graph(spark, d)
     w = papers(spark, d).select(F.col("paper_id").alias("node"), F.exp((F.col("year") - 2001) / 2.6).alias("weight"))
-    return G.pagerank(n, e, 0.5, w, STEPS, dangling="personal").select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.5, w, dangling="personal").select("node", r9("score").alias("score"))
 
 
 @query("GR11_betweenness")
@@ -329,11 +338,11 @@ def weighted_citations(spark: SparkSession, d: str) -> DataFrame:
 def seeded_walk(spark: SparkSession, d: str) -> DataFrame:
     n, e = affil_graph(spark, d)
     seeds = n.where("node % 5 = 0").withColumn("weight", F.lit(1.0))
-    return G.pagerank(n, e, 0.3, seeds, STEPS, start=seeds).select("node", r9("score").alias("score"))
+    return G.pagerank(n, e, 0.3, seeds, start=seeds).select("node", r9("score").alias("score"))
 
 
 @query("GR21_projection_pipeline", f"{_AUTHOR_GRAPH}, {walk_sql(0.9)} SELECT affil_id, round(sum(score), 9) AS score FROM x JOIN affiliation ON author_id = node GROUP BY 1")
 def projection_pipeline(spark: SparkSession, d: str) -> DataFrame:
     n, e = author_graph(spark, d)
-    x = G.pagerank(n, e, 0.9, iterations=STEPS)
+    x = G.pagerank(n, e, 0.9)
     return x.join(affiliation(spark, d), F.col("node") == F.col("author_id")).groupBy("affil_id").agg(F.round(F.sum("score"), 9).alias("score"))

@@ -355,19 +355,19 @@ def _answer_sql(cte: str, scores: str) -> str:
 
 @query("QRY3_multi_layered", _answer_sql(f"WITH {ctes('fact', 'citations')}, {PG._layers_sql(PG._RHO7, PG._THREE)}, {PG.walk_sql(0.4)}", "SELECT substr(node, 7)::INT AS affil_id, round(score, 9) AS score FROM x WHERE node LIKE 'affil:%'"))
 def multi_layered(spark: SparkSession, d: str) -> DataFrame:
-    x = G.rank_layers(PG.three_layers(spark, d), PG._RHO7, 0.4, iterations=PG.STEPS).where("layer = 'affil'")
+    x = G.rank_layers(PG.three_layers(spark, d), PG._RHO7, 0.4).where("layer = 'affil'")
     return answer(spark, d, x.select(F.col("id").cast("int").alias("affil_id"), "score"), 9)
 
 
 @query("QRY4_projected", _answer_sql(f"{PG._AFFIL_GRAPH}, {PG.walk_sql(0.7)}", "SELECT node AS affil_id, round(score, 9) AS score FROM x"))
 def projected(spark: SparkSession, d: str) -> DataFrame:
     n, e = PG.affil_graph(spark, d)
-    return answer(spark, d, G.pagerank(n, e, 0.7, iterations=PG.STEPS).withColumnRenamed("node", "affil_id"), 9)
+    return answer(spark, d, G.pagerank(n, e, 0.7).withColumnRenamed("node", "affil_id"), 9)
 
 
 def author_walk_scores(spark: SparkSession, d: str) -> DataFrame:
     n, e = PG.author_graph(spark, d)
-    x = G.pagerank(n, e, 0.9, iterations=PG.STEPS)
+    x = G.pagerank(n, e, 0.9)
     return x.join(affiliation(spark, d), F.col("node") == F.col("author_id")).groupBy("affil_id").agg(F.sum("score").alias("score"))
 
 
@@ -381,7 +381,7 @@ def author_walk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("QRY6_author_affil_walk", _answer_sql(f"{PG._WITH_TWO}, {PG._layers_sql(PG._RHO2, PG._TWO)}, {PG.walk_sql(0.9)}", "SELECT substr(node, 7)::INT AS affil_id, round(score, 9) AS score FROM x WHERE node LIKE 'affil:%'"))
 def author_affil_walk(spark: SparkSession, d: str) -> DataFrame:
-    x = G.rank_layers(PG.two_layers(spark, d), PG._RHO2, 0.9, iterations=PG.STEPS).where("layer = 'affil'")
+    x = G.rank_layers(PG.two_layers(spark, d), PG._RHO2, 0.9).where("layer = 'affil'")
     return answer(spark, d, x.select(F.col("id").cast("int").alias("affil_id"), "score"), 9)
 
 

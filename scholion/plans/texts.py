@@ -12,6 +12,7 @@ from scholion.operators import corpus as K
 from scholion.operators import credit as C
 from scholion.plans.registry import query
 from scholion.plans.relational import r6
+from scholion.runtime import checkpointed
 from scholion.sources import files as S
 
 
@@ -106,18 +107,24 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20, "bm25")
 
 
-@query("SRC13_scores_of_given", f"SELECT doc_id, coalesce(score, 0.0) AS score FROM labels LEFT JOIN (SELECT doc_id, max(score) AS score FROM ({_search_sql(_TFIDF_PART, 20)}) GROUP BY 1) USING (doc_id)")
+_SCORES = f"""WITH {_TF}, {_VOCAB}, {_Q}, parts AS MATERIALIZED (SELECT query_id, doc_id, term, {_TFIDF_PART} AS part FROM q JOIN tf USING (term) JOIN v USING (term) JOIN len USING (doc_id), c),
+s AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM parts GROUP BY 1, 2)"""
+
+
+@query("SRC13_scores_of_given", f"{_SCORES} SELECT doc_id, coalesce(max(score), 0.0) AS score FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN s USING (doc_id) GROUP BY 1")
 def scores_of_given(spark: SparkSession, d: str) -> DataFrame:
-    best = K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20).groupBy("doc_id").agg(F.max("score").alias("score"))
-    return table(spark, d, "labels").select("doc_id").join(best, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """The best score that any query gives to each labelled document, 0 where it has none of their terms."""
+    given = table(spark, d, "labels").select("doc_id").distinct()
+    best = K.scores(benchmark_terms(spark, d), texts(spark, d), text_words(), given=given).groupBy("doc_id").agg(F.max("score").alias("score"))
+    return given.join(best, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-@query("SRC14_explain", f"WITH {_TF}, {_VOCAB}, {_Q} SELECT query_id, doc_id, term, round({_TFIDF_PART}, 6) AS part FROM q JOIN tf USING (term) JOIN v USING (term) JOIN len USING (doc_id), c WHERE df < 20")
+@query("SRC14_explain", f"{_SCORES}, top AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 20) SELECT query_id, doc_id, term, round(part, 6) AS part FROM parts JOIN top USING (query_id, doc_id)")
 def explain(spark: SparkSession, d: str) -> DataFrame:
-    tf, lengths, df = K.postings(texts(spark, d), text_words())
-    idf = 1 + F.log(F.col("n") / (F.col("df") + 1))
-    j = benchmark_terms(spark, d).join(tf, "term").join(df.where("df < 20"), "term").join(lengths, "doc_id")
-    return j.select("query_id", "doc_id", "term", r6(F.sqrt("tf") * idf * idf / F.sqrt("length")).alias("part"))
+    """All terms' parts of the scores of a search's results."""
+    parts = checkpointed(K.query_parts(benchmark_terms(spark, d), texts(spark, d), text_words()))
+    s = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return parts.join(C.top_k(s, ("query_id",), "score", "doc_id", 20), ["query_id", "doc_id"]).select("query_id", "doc_id", "term", r6("part").alias("part"))
 
 
 @query("TXT1_tokens", f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,24 +14,62 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
+_scratch: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a run in one process gets a temporary folder; on a
+    cluster it is an error, as executors do not see each other's disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="scholion-")
         atexit.register(shutil.rmtree, named, True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; Spark's file system deletes it when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark).rstrip('/')}/scholion/{context.applicationId}"
+    if folder not in _scratch.get(context, ()):
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch.setdefault(context, set()).add(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/scholion/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `checkpointed` frame that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows of df, written once in buckets of `key`: joins on that key then move the other side only."""
+    spark = df.sparkSession
+    name = f"scholion_{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def ship(spark: SparkSession) -> None:

@@ -37,8 +37,11 @@ AUTHOR_TAGS = {"#index": "id", "#n": "name", "#a": "affil", "#pc": "papers", "#c
 
 
 def read_tagged(spark: SparkSession, path: str, tags: dict[str, str], repeated: tuple[str, ...] = ()) -> DataFrame:
-    """Records separated by a blank line; the last counts whether or not a blank line follows."""
-    return split_tagged(spark.read.option("lineSep", "\n\n").text(path), tags, repeated)
+    """Records of files; each begins with a line of the first tag, so the kinds of line ends and blank lines do not matter."""
+    first = next(iter(tags))
+    d = spark.read.option("lineSep", f"\n{first} ").text(path)
+    # what the separator took away is given back, but to the head of a file
+    return split_tagged(d.select(F.when(F.startswith(F.ltrim("value"), F.lit(first)), F.col("value")).otherwise(F.concat(F.lit(f"{first} "), F.col("value"))).alias("value")), tags, repeated)
 
 
 def split_pairs(lines: DataFrame, names: tuple[str, ...], skip_first_character: bool = False, value: str = "value") -> DataFrame:
