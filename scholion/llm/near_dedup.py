@@ -7,9 +7,10 @@ sketches. Texts that share a sketch meet in a bucket.
 
 Similarity is m / (n1 + n2 - m) with m the longest common subsequence of the
 labelled shingles; so it counts order, and a block move costs. Whatever reaches
-0.8 leaves at most (n1 + n2) / 9 shingles unmatched, so all its matches lie in
-a band of that half-width, and within it labelled shingles are unique, so the
-alignment is a longest increasing run. Verified links join texts into classes.
+a threshold t leaves at most (n1 + n2) (1 - t) / (1 + t) shingles unmatched, so
+all its matches lie in a band of that half-width, and within it labelled
+shingles are unique, so the alignment is a longest increasing run. Verified
+links join texts into classes.
 
 Scale: equal texts are one node from the first aggregation on. In each bucket
 a hub is compared with the others: the member with the most company in all its
@@ -20,13 +21,18 @@ other and with all of that class, both dealt out in blocks of MOST_OTHERS
 members and every pair of blocks being a group, so a task gathers two blocks at
 most. The work is the product of the members outside and all members: linear
 in the bucket while few are outside, and no bucket is left out where many are.
-So every two texts that share a sketch are in one class or were compared. Hubs
-with many members are salted. Broadcasts are behind a count.
+So every two texts that share a sketch are in one class or were compared. A
+block is bounded in shingles, too, but for a text that is longer by itself. Hubs
+are salted by their company, which bounds their members. Broadcasts are behind
+a count.
 
 A text without words (null, empty) is a class of its own row id. A text of
 fewer than five words is one shingle. Repeated rows share a class. Null ids are
 kept and share the class of equal texts. Rows are told apart by id and a hash
-of their text, so null and repeated ids do no harm.
+of their text, so null and repeated ids do no harm. Ties between hubs and
+between classes go to the larger content hash, ties between survivors to the
+smaller text hash. Very long texts are sketched and aligned whole. An empty
+table gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.llm import _text as X
@@ -51,8 +57,9 @@ TABLES = 14
 PICKS = 3
 #: At most so many ids are broadcast; beyond, the join shuffles.
 MOST_BROADCAST_ROWS = 1_000_000
-#: Members of a block of a bucket; a task gathers two blocks.
+#: Members of a block of a bucket, and shingles; a task gathers two blocks.
 MOST_OTHERS = 200
+MOST_SHINGLES = 2_000_000
 #: One salt for so many members of a hub.
 MEMBERS_A_SALT = 2000
 
@@ -114,19 +121,19 @@ def order_minhash(s: np.ndarray, to: np.ndarray, tables: int = TABLES, picks: in
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Banded alignment of two labelled shingle sequences; values under SIMILARITY are lower bounds."""
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Banded alignment of two labelled shingle sequences; exact from `least` on, and under `least` wherever the exact value is."""
     na, nb = len(a), len(b)
-    if not na or not nb or min(na, nb) < SIMILARITY * max(na, nb):
+    if not na or not nb or min(na, nb) < least * max(na, nb):
         return 0.0
     oa, ob = np.argsort(a), np.argsort(b)
     place = np.searchsorted(b[ob], a[oa])
     place = np.minimum(place, nb - 1)
     hit = b[ob][place] == a[oa]
     ia, ib = oa[hit], ob[place[hit]]
-    near = np.abs(ia - ib) <= (na + nb) / 9
+    near = np.abs(ia - ib) <= (na + nb) * (1 - least) / (1 + least) + 1e-9
     ia, ib = ia[near], ib[near]
-    if len(ia) < SIMILARITY * (na + nb - len(ia)):
+    if len(ia) < least * (na + nb - len(ia)):
         return len(ia) / (na + nb - len(ia))
     run = ib[np.argsort(ia)]
     if (run[1:] > run[:-1]).all():
@@ -154,11 +161,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = X.text_buffer(batch.column(1).slice(a, b - a))
             starts, ends, words_at = X.split_words(data, at)
             h = X.hash_words(data, starts, ends)
-            sketches = order_minhash(*labelled_shingles(h, words_at))
+            shingles, to = labelled_shingles(h, words_at)
+            sketches = order_minhash(shingles, to)
             flat = pa.array(sketches.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(_contents(h, words_at), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TABLES), flat)],
-                names=["id", "raw", "content", "sketches"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(_contents(h, words_at), pa.binary()), pa.array(np.diff(to)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TABLES), flat)],
+                names=["id", "raw", "content", "size", "sketches"],
             )
 
 
@@ -180,19 +188,19 @@ def _verify(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3), strict=True)
-            good = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "similar"])
+            good = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) >= least for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4)], names=["a", "b", "company"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _links(edges: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
-    """a, b, similar for each edge (a, b), b being a hub."""
-    salts = edges.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS_A_SALT).alias("salts"))
-    left = edges.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
-    left = left.join(blobs.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
-    hubs = salts.join(blobs.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b").select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    return left.join(hubs, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a binary, b binary, similar boolean")
+    """The edges (a, b, company) whose ends are similar, b being a hub with so much company."""
+    salts = F.ceil(F.col("company") / MEMBERS_A_SALT)
+    left = edges.withColumn("salt", F.pmod(F.xxhash64("a"), salts)).join(blobs.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
+    hubs = edges.select("b", "company").distinct().join(blobs.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
+    hubs = hubs.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return left.join(hubs, ["b", "salt"]).select("a", "b", "sa", "sb", "company").mapInArrow(_verify(least), "a binary, b binary, company bigint")
 
 
 def _bins(s: np.ndarray) -> np.ndarray:
@@ -223,7 +231,7 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
             near = i + 1 + np.flatnonzero(open_to)
             most = np.minimum(bins[i], bins[near]).sum(1)
             for j in near[most >= least * (size[i] + size[near] - most)].tolist():
-                if root[i] != root[j] and similarity(texts[i], texts[j]) >= least:
+                if root[i] != root[j] and similarity(texts[i], texts[j], least) >= least:
                     root[root == root[j]] = root[i]
                     a.append(names[i])
                     b.append(names[j])
@@ -240,9 +248,8 @@ def _compared(opened: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
     (i, j), where `other` then tells the two apart; cell (0, 0) of a bucket with
     n = 1 also holds the first block of the largest class.
     """
-    n, m = F.ceil((F.col("n") - F.col("n_major")) / MOST_OTHERS), F.ceil(F.col("n_major") / MOST_OTHERS)
     place = F.xxhash64("content")
-    blocks = opened.select("table", "key", "content", "root", "other", n.alias("n"), m.alias("m")).withColumn("block", F.when(F.col("other"), F.pmod(place, "n")).otherwise(F.col("n") + F.pmod(place, "m")))
+    blocks = opened.select("table", "key", "content", "root", "other", "n", "m").withColumn("block", F.when(F.col("other"), F.pmod(place, "n")).otherwise(F.col("n") + F.pmod(place, "m")))
     cells = F.expr("""
         CASE WHEN n = 1 AND other THEN transform(sequence(0L, m - 1), k -> struct(0L AS i, k AS part, true AS other))
              WHEN n = 1 THEN array(struct(0L AS i, block - 1 AS part, false AS other))
@@ -253,20 +260,20 @@ def _compared(opened: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("table", "key", "i", "part").applyInArrow(_within(least), "a binary, b binary")
 
 
-def _hub_links(members: DataFrame, rank: Column, blobs: DataFrame, least: float) -> DataFrame:
-    """Links a, b of the buckets' members with b, the member that ranks highest."""
-    hubs = members.groupBy("table", "key").agg(F.max_by("content", rank).alias("b"))
-    edges = members.join(hubs, ["table", "key"]).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
-    return checkpointed(_links(checkpointed(edges), blobs, least).where("similar").select("a", "b"))
+def _hub_links(members: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
+    """Links a, b, company of the buckets' members with b, the member with the most company."""
+    hubs = members.groupBy("table", "key").agg(F.max(F.struct("company", "content")).alias("hub")).select("table", "key", F.col("hub.content").alias("b"), F.col("hub.company").alias("hub_company"))
+    edges = members.join(hubs, ["table", "key"]).where("content <> b").select(F.col("content").alias("a"), "b", F.col("hub_company").alias("company")).distinct()
+    return checkpointed(_links(checkpointed(edges), blobs, least))
 
 
-def _first_classes(links: DataFrame, company: DataFrame) -> DataFrame:
+def _first_classes(links: DataFrame) -> DataFrame:
     """content, root of the texts with a hub: the best hub's best hub, four steps up at most.
 
     Hubs rank above their members, so steps never turn back; equal roots are
     connected, but not all that is connected has the same root yet.
     """
-    up = links.join(company.select(F.col("content").alias("b"), "company"), "b").groupBy("a").agg(F.max_by("b", F.struct("company", "b")).alias("b"))
+    up = links.groupBy("a").agg(F.max_by("b", F.struct("company", "b")).alias("b"))
     for _ in range(2):
         top = up.select(F.col("a").alias("b"), F.col("b").alias("top"))
         up = up.join(top, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
@@ -274,21 +281,23 @@ def _first_classes(links: DataFrame, company: DataFrame) -> DataFrame:
 
 
 def _opened(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the buckets with several classes: root, whether it is not the largest, counts of members and of the largest class."""
+    """Members of the buckets with several classes: root, whether it is not the largest, and blocks of members outside the largest class and in it."""
     members = checkpointed(members.join(classes, "content", "left").withColumn("root", F.coalesce("root", "content")))
-    by_class = members.groupBy("table", "key", "root").agg(F.count("*").alias("n"))
-    sizes = by_class.groupBy("table", "key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"))
-    return checkpointed(members.join(sizes.where("n > n_major"), ["table", "key"]).withColumn("other", F.expr("root <> major")))
+    by_class = members.groupBy("table", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes = by_class.groupBy("table", "key").agg(F.max(F.struct("n", "root", "size")).alias("major"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > major.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / MOST_OTHERS), F.ceil(size / MOST_SHINGLES))
+    sizes = sizes.select("table", "key", F.col("major.root").alias("major"), blocks(F.col("n") - F.col("major.n"), F.col("size") - F.col("major.size")).alias("n"), blocks(F.col("major.n"), F.col("major.size")).alias("m"))
+    return checkpointed(members.join(sizes, ["table", "key"]).withColumn("other", F.expr("root <> major")))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """id, raw (hash of the text), content of every row; content, pick (the first row) of every content; node, root of the linked ones."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw"))
-    rows = checkpointed(texts.mapInArrow(_sketch, f"id {id_type}, raw bigint, content binary, sketches array<bigint>"))
+    rows = checkpointed(texts.mapInArrow(_sketch, f"id {id_type}, raw bigint, content binary, size bigint, sketches array<bigint>"))
     pick = F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")
-    nodes = checkpointed(rows.where("content IS NOT NULL").groupBy("content").agg(F.min(pick).alias("pick"), F.any_value("sketches").alias("sketches")))
-    members = nodes.select("content", F.posexplode("sketches").alias("table", "value")).select("content", "table", F.col("value").alias("key"))
+    nodes = checkpointed(rows.where("content IS NOT NULL").groupBy("content").agg(F.min(pick).alias("pick"), F.any_value("size").alias("size"), F.any_value("sketches").alias("sketches")))
+    members = nodes.select("content", "size", F.posexplode("sketches").alias("table", "key"))
     counts = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(members.join(counts, ["table", "key"]))
     company = members.groupBy("content").agg(F.sum("n").alias("company"))
@@ -298,9 +307,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILAR
     wanted = F.broadcast(wanted) if n_found <= MOST_BROADCAST_ROWS else wanted
     blobs = checkpointed(texts.join(wanted, (F.col("raw") == F.col("wanted_raw")) & F.col("id").eqNullSafe(F.col("wanted_id"))).select("content", "text").mapInArrow(_shingle_blobs, "content binary, shingles binary").dropDuplicates(["content"]))
     members = members.join(company, "content").drop("n")
-    links = _hub_links(members, F.struct("company", "content"), blobs, least)
-    opened = _opened(members, _first_classes(links, company))
-    links = links.union(_compared(opened, blobs, least))
+    links = _hub_links(members, blobs, least)
+    opened = _opened(members, _first_classes(links))
+    links = links.select("a", "b").union(_compared(opened, blobs, least))
     return rows.select("id", "raw", "content"), nodes.select("content", "pick"), components(links)
 
 
@@ -315,21 +324,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", "content").join(by_content, "content", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest id, nulls last, in the columns of `docs`; rows without words stay."""
-    rows, nodes, classes = _classes(docs, id_col, text_col)
+    rows, nodes, classes = _classes(docs, id_col, text_col, least)
     rooted = nodes.join(classes.withColumnRenamed("node", "content"), "content", "left")
     first = rooted.groupBy(F.coalesce("root", "content")).agg(F.min("pick").alias("pick"))
-    kept = first.select(F.col("pick.id").alias("_id"), F.col("pick.raw").alias("_raw"), F.lit(True).alias("_worded"))
+    kept = first.select("pick.id", "pick.raw", F.lit(True).alias("worded"))
     kept = checkpointed(kept.union(rows.where("content IS NULL").select("id", "raw", F.lit(False)).distinct()))
-    same = F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_raw") == F.xxhash64(docs[text_col]))
+    own = docs.select(F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("row")[id_col]) & (F.col("raw") == F.xxhash64(F.col("row")[text_col]))
     repeated = rows.where("content IS NOT NULL").groupBy("id", "raw").count().where("count > 1")
     if repeated.isEmpty():
-        return docs.join(kept, same, "left_semi")
-    left = docs.join(kept, same)
-    nth = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_worded"))
-    once = left.where("_worded").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return once.unionByName(left.where("NOT _worded")).drop("_id", "_raw", "_worded")
+        return own.join(kept, same, "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    left = own.join(kept, same)
+    nth = F.row_number().over(Window.partitionBy("id", "raw").orderBy("worded"))
+    once = left.where("worded").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return once.unionByName(left.where("NOT worded")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
