@@ -207,6 +207,48 @@ def test_dropping_near_duplicates_with_null_and_repeated_ids(spark):
     assert ids == {5: 5, 6: 6, 7: 7}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.8, 0.95])
+def test_banded_alignment_is_exact_from_its_threshold_on(least):
+    rng = random.Random(31)
+    above = 0
+    for _ in range(300):
+        a = rng.sample(range(1000), rng.randrange(1, 60))
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), 1000 + rng.randrange(10**6))
+        if rng.random() < 0.3:
+            cut = rng.randrange(len(b) + 1)
+            b = b[cut:] + b[:cut]
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        m = int(table[-1, -1])
+        want, got = m / (len(a) + len(b) - m) if b else 0.0, near_dedup.similarity(np.array(a, np.uint64), np.array(b, np.uint64), least)
+        assert (got >= least) == (want >= least) and (want < least or got == want)
+        above += want >= least
+    assert above > 10
+
+
+def test_near_duplicates_keep_columns_of_any_name_and_other_thresholds(spark):
+    words = sentence(random.Random(33), 200, 5000).split()
+    edited = list(words)
+    for k in (20, 60, 100, 140, 180):
+        edited[k] = "changed"
+    rows = [(1, " ".join(words), "x"), (2, " ".join(edited), "y"), (3, " ".join(words), "z")]
+    d = spark.createDataFrame(rows, "id long, text string, raw string")
+    kept = near_dedup.drop_near_duplicates(d, "id")
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect())) == rows[:2]
+    assert [tuple(r) for r in near_dedup.drop_near_duplicates(d, "id", least=0.7).collect()] == rows[:1]
+
+
+@pytest.mark.parametrize("most", [1, 10**9])
+def test_blocks_bounded_in_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "MOST_SHINGLES", most)
+    d = spark.createDataFrame(list(enumerate(drifting(30))), "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_duplicates(d).collect()} == {0}
+
+
 def drifting(n=60):
     """Each text is near the one before it, the far ones are not near each other."""
     rng = random.Random(21)
@@ -260,8 +302,8 @@ def test_blocks_of_a_bucket_meet_once(spark, monkeypatch, most):
     monkeypatch.setattr(grouped, "applyInArrow", lambda self, f, schema: real(self, f, "content binary, other boolean, part long, i long"))
     names = [bytes([k]) for k in range(11)]
     major = names[7:]
-    rows = [(0, 5, c, major[0] if c in major else c, c not in major, 4, 11) for c in names]
-    opened = spark.createDataFrame(rows, "table int, key long, content binary, root binary, other boolean, n_major long, n long")
+    rows = [(0, 5, c, major[0] if c in major else c, c not in major, -(-7 // most), -(-4 // most)) for c in names]
+    opened = spark.createDataFrame(rows, "table int, key long, content binary, root binary, other boolean, n long, m long")
     blobs = spark.createDataFrame([(c, b"12345678") for c in names], "content binary, shingles binary")
     cells = {}
     for r in near_dedup._compared(opened, blobs, 0.8).collect():
