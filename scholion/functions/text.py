@@ -96,15 +96,25 @@ def sentence_limits(text: Column, at: Column) -> Column:
     return F.struct(first.alias("first"), F.when(step > 0, at + step).otherwise(F.char_length(text)).alias("last"))
 
 
-#: Weights of phrases that mark contributions.
-CONTRIBUTION_WEIGHTS = ((r"\bin this (paper|work|article|study)\b", 1.0), (r"\bwe (propose|present|introduce|describe|develop|show|demonstrate)\b", 1.0), (r"\b(contribution|contributions|novel)\b", 1.0), (r"\b(licen[sc]e|permission|copyright)", -1.0), (r"^\d+\.?\s", -0.5), (r"\backnowledg", -1.5))
+#: Marks of contributions, and their weights.
+CONTRIBUTION_VERBS = "show|prove|describe|give|provide|present|demonstrate|explore|implement|derive|introduce|investigate|extend|address|conclude|evaluate|propose|develop|study|focus"
+CONTRIBUTION_WEIGHTS = (
+    (r"this\s+(paper|work|article|chapter|tutorial)", 0.5),
+    (r"(\s|^)+we\s+", 0.2),
+    (r"contribution(s)?", 1.0),
+    (r"\s+our\s+(result(s)+|methodology|framework|architecture)", 0.5),
+    (rf"(\s|^)+we\s+(.*)({CONTRIBUTION_VERBS})", 1.0),
+    (r"license|copy", -1.0),
+    (r"section", -0.5),
+    (r"supported|funded|grant|thank", -1.5),
+)
 
 
 def contribution_score(sentence: Column) -> Column:
     """The weights of all marks in the sentence; -0.5 without any."""
     s = F.lower(F.trim(sentence))
-    total = sum((F.when(s.rlike(p), w).otherwise(0.0) for p, w in CONTRIBUTION_WEIGHTS), F.lit(0.0))
-    return F.when(total == 0, -0.5).otherwise(total)
+    total = sum((F.when(s.rlike(f"(?d){p}"), w).otherwise(0.0) for p, w in CONTRIBUTION_WEIGHTS), F.lit(0.0))
+    return F.when(F.abs(total) < 1e-9, -0.5).otherwise(total)
 
 
 def expanded_numbers(marker: Column) -> Column:
@@ -161,15 +171,25 @@ def python_title(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
 
 
-#: Institution patterns, in the order in which they are tried.
-AFFIL_PATTERNS = (r"\b(?:\p{Lu}[\p{L}-]*\s)*(?:University|Academy)(?:\s(?:Of|At)\s(?:The\s)?\p{Lu}[\p{L}-]*(?:\s\p{Lu}[\p{L}-]*)*)?", r"\b(?:\p{Lu}[\p{L}-]*\s)*Institute(?:\sOf\s\p{Lu}[\p{L}-]*(?:\s\p{Lu}[\p{L}-]*)*)?", r"\b(?:\p{Lu}[\p{L}-]*\s)*College(?:\sOf\s\p{Lu}[\p{L}-]*)?")
+#: Kinds of institutions, and what may follow their name.
+AFFIL_KINDS = ("University|Universidade|Academy|Council", "Institute", "College|Centre|Center")
+AFFIL_ENDS = (r"(?=,|\d|;|<|:|-|\.)", "$")
+#: Institution patterns in the order in which they are tried: all kinds before a mark, then all at the end of the line.
+AFFIL_PATTERNS = tuple(rf"([A-Z][^\s,.:;>]+[.]?\s[(]?)*({kind})[^,<;:.\d]*{end}" for end in AFFIL_ENDS for kind in AFFIL_KINDS)
 
 
 def affil_name(text: Column) -> Column:
-    """The university, academy, institute or college that an affiliation line names; empty without one."""
-    t = F.replace(F.replace(python_title(text), F.lit("Univ."), F.lit("University")), F.lit("Umversity"), F.lit("University"))
+    """The institution that an affiliation line names; empty without one."""
+    t = python_title(text)
+    for old, new in (("Univ.", "University"), ("Umversity", "University"), ("Universit", "University"), ("Universityy", "University")):
+        t = F.replace(t, F.lit(old), F.lit(new))
     found = F.coalesce(*(F.nullif(F.regexp_extract(t, p, 0), F.lit("")) for p in AFFIL_PATTERNS), F.lit(""))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(found, "-()", " "), r"\bThe\b", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.replace(F.replace(found, F.lit("-"), F.lit(" ")), F.lit("The"), F.lit("")), "()", ""), r"\s+", " "))
+
+
+def host_tokens(url: Column) -> Column:
+    """The parts of a URL's scheme and host, between dots and slashes."""
+    return F.split(F.translate(F.regexp_extract(url, r"^https*://([.a-z^/][^/]+[.a-z^/])?", 0), "/", "."), r"\.")
 
 
 def porter_stem(word: str) -> str:

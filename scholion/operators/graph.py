@@ -217,18 +217,26 @@ def star_rho(relevance: Mapping[str, float], centre: str) -> dict[tuple[str, str
     return out | {(k, centre): v for k, v in r.items() if k != centre} | {(k, k): 1 - v for k, v in r.items() if k != centre}
 
 
-def hits(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """node, hub, authority, each summing to 1."""
-    ends = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+def hits(edges: DataFrame, iterations: int | None = None, tolerance: float = 1e-8, most: int = 500) -> DataFrame:
+    """node, hub, authority, each summing to 1; stops once the hubs' L1 change is under `tolerance`, raises after `most` steps without that."""
+    ends = checkpointed(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     state = checkpointed(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct().withColumn("hub", F.lit(1.0)))
-    for _ in range(iterations):
+    step, written = 0, None
+    while True:
         authority = ends.join(state.select(F.col("node").alias("src"), "hub"), "src").groupBy("dst").agg(F.sum(F.col("hub") * F.col("weight")).alias("authority"))
         hub = ends.join(authority, "dst").groupBy("src").agg(F.sum(F.col("authority") * F.col("weight")).alias("hub"))
-        nxt = state.select("node").join(authority.withColumnRenamed("dst", "node"), "node", "left").join(hub.withColumnRenamed("src", "node"), "node", "left").fillna(0.0)
-        nxt = checkpointed(nxt)
-        top = nxt.agg(F.sum("hub"), F.sum("authority")).first()
-        state = nxt.select("node", (F.col("hub") / top[0]).alias("hub"), (F.col("authority") / top[1]).alias("authority"))
-    return state
+        nxt = state.select("node", F.col("hub").alias("_x")).join(authority.withColumnRenamed("dst", "node"), "node", "left").join(hub.withColumnRenamed("src", "node"), "node", "left").fillna(0.0)
+        last, written = written, checkpointed(nxt)
+        if last is not None:
+            discard(last)
+        top = written.agg(F.sum("hub"), F.sum("authority")).first()
+        state = written.select("node", (F.col("hub") / top[0]).alias("hub"), (F.col("authority") / top[1]).alias("authority"))
+        change = None if iterations is not None else written.agg(F.sum(F.abs(F.col("hub") / top[0] - F.col("_x")))).first()[0]
+        step += 1
+        if step == iterations or (change is not None and change < tolerance):
+            return state
+        if iterations is None and step >= most:
+            raise RuntimeError(f"no convergence in {step} steps; the last change was {change}")
 
 
 def katz(nodes: DataFrame, edges: DataFrame, alpha: float = 0.01, beta: float = 1.0, iterations: int = 20) -> DataFrame:

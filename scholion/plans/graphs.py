@@ -237,24 +237,25 @@ def _katz_sql(steps: int) -> str:
     return f"{out} SELECT node, round(score / sqrt((SELECT sum(score * score) FROM k{steps})), 9) AS score FROM k{steps}"
 
 
-@query("GR9_katz", f"{_PAPER_GRAPH}, {_katz_sql(5)}")
+@query("GR9_katz", f"{_PAPER_GRAPH}, {_katz_sql(20)}")
 def katz(spark: SparkSession, d: str) -> DataFrame:
     n, e = paper_graph(spark, d)
-    return G.katz(n, e, iterations=5).select("node", r9("score").alias("score"))
+    return G.katz(n, e).select("node", r9("score").alias("score"))
 
 
 def _hits_sql(steps: int) -> str:
-    out = "h0 AS (SELECT node, 1.0::DOUBLE AS hub, 0.0::DOUBLE AS authority FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))"
+    out = "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS hub, 0.0::DOUBLE AS authority, false AS done FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))"
     for k in range(steps):
         out += f""", a{k} AS MATERIALIZED (SELECT dst AS node, sum(hub * weight) AS a FROM e JOIN h{k} ON src = node GROUP BY 1),
 b{k} AS MATERIALIZED (SELECT src AS node, sum(a * weight) AS b FROM e JOIN a{k} ON dst = node GROUP BY 1),
-h{k + 1} AS MATERIALIZED (SELECT node, coalesce(b, 0) / (SELECT sum(b) FROM b{k}) AS hub, coalesce(a, 0) / (SELECT sum(a) FROM a{k}) AS authority FROM h0 LEFT JOIN a{k} USING (node) LEFT JOIN b{k} USING (node))"""
+h{k + 1} AS MATERIALIZED (SELECT node, CASE WHEN done THEN hub ELSE h END AS hub, CASE WHEN done THEN authority ELSE u END AS authority, done OR sum(abs(h - hub)) OVER () < 1e-8 AS done
+  FROM (SELECT node, hub, authority, done, coalesce(b, 0) / (SELECT sum(b) FROM b{k}) AS h, coalesce(a, 0) / (SELECT sum(a) FROM a{k}) AS u FROM h{k} LEFT JOIN a{k} USING (node) LEFT JOIN b{k} USING (node)))"""
     return f"{out} SELECT node, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h{steps}"
 
 
-@query("GR9_hits", f"{_AFFIL_GRAPH}, {_hits_sql(3)}")
+@query("GR9_hits", f"{_AFFIL_GRAPH}, {_hits_sql(60)}")
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return G.hits(affil_graph(spark, d)[1], 3).select("node", r9("hub").alias("hub"), r9("authority").alias("authority"))
+    return G.hits(affil_graph(spark, d)[1]).select("node", r9("hub").alias("hub"), r9("authority").alias("authority"))
 
 
 @query("GR9_stock_pagerank", f"{_PAPER_GRAPH}, {walk_sql(0.15, dangling='personal')} SELECT node, round(score, 9) AS score FROM x")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.fixtures import affiliation, authorship, candidates, citations, ctes, fact, papers, table, texts
+from scholion.functions import dictionaries as D
 from scholion.functions import text as T
 from scholion.operators import corpus as K
 from scholion.operators import credit as C
@@ -134,10 +135,14 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, d, lambda t, n: L.fit_trees(t, n, "target"))
 
 
+#: Models that are fitted in the driver learn from at most so many rows, those whose keys have the smallest md5.
+MOST_TRAINING_ROWS = 10_000
+
+
 @query("ML8_pairwise_ranker")
 def pairwise(spark: SparkSession, d: str) -> DataFrame:
     train, names = training(spark, d)
-    t = train.toPandas()  # institutions times years
+    t = R.sampled(train.withColumn("_k", F.concat_ws("|", "affil_id", "year")), "_k", MOST_TRAINING_ROWS).toPandas()
     x = t[names].to_numpy(float)
     scale = x.max(0) + 1e-9
     w = L.pairwise_ranker(x / scale, t["target"].to_numpy().round(1), t["year"].to_numpy())
@@ -153,7 +158,8 @@ def strengths(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(s.items()), "affil_id int, score double")
 
 
-RUNS, DRAWS = 5, 40
+#: The simulation's papers a run, and runs.
+RUNS, DRAWS = 20, 200
 _SIM = f"""WITH {ctes("fact")}, sizes AS (SELECT k, row_number() OVER (ORDER BY k) AS i, round({DRAWS} * n / sum(n) OVER ())::INT AS c FROM (SELECT k, count(*) AS n FROM (SELECT paper_id, count(*) AS k FROM authorship GROUP BY 1) GROUP BY 1)),
 draws AS (SELECT run::INT AS run, k * 1000 + j AS draw, k FROM sizes, range({RUNS}) AS r(run), range(c) AS t(j)),
 w AS (SELECT author_id AS member, count(*)::DOUBLE AS weight FROM authorship GROUP BY 1),
@@ -197,7 +203,7 @@ def keyword_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", PT.text_words().alias("words"))
     x = HashingTF(inputCol="words", outputCol="features", numFeatures=256).transform(docs)
     indexed = StringIndexer(inputCol="lang", outputCol="label").fit(x).transform(x)
-    model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(indexed.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(2000))
+    model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(R.sampled(indexed, "doc_id", MOST_TRAINING_ROWS))
     return model.transform(indexed).select("doc_id", "label", "prediction")
 
 
@@ -289,41 +295,80 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
     return M.ndcg(*ranked_and_truth(spark, d), 20).select(r6("ndcg").alias("ndcg")).agg(F.round(F.avg("ndcg"), 5).alias("mean"), F.round(F.stddev_pop("ndcg"), 5).alias("deviation"))
 
 
-ENTRIES = [(1, ["ibm"], "IBM"), (2, ["mit"], "Massachusetts Institute of Technology"), (3, ["nation", "7"], "Seven")]
+def resolved(lines: DataFrame, affils: DataFrame) -> DataFrame:
+    """id, name, by, affil_id: companies and short forms first, then the patterns of names, then other names; affil_id where `affils` (affil_id, name) has the name."""
+    a = R.token_subset_join(lines, "line", D.institutions(lines.sparkSession)).select("id", F.col("found").alias("dictionary"))
+    other = F.create_map(*(F.lit(x) for pair in D.OTHER_NAMES.items() for x in pair))
+    d = lines.join(a, "id", "left").withColumn("pattern", F.nullif(T.affil_name(F.col("line")), F.lit("")))
+    d = d.withColumn("other", F.try_element_at(other, F.lower("pattern")))
+    name, by = F.coalesce("dictionary", "other", "pattern"), F.when(F.col("dictionary").isNotNull(), "dictionary").when(F.col("other").isNotNull(), "other").when(F.col("pattern").isNotNull(), "pattern")
+    known = affils.groupBy(F.lower("name").alias("_low")).agg(F.min("affil_id").alias("affil_id"))
+    return d.select("id", name.alias("name"), by.alias("by")).join(known, F.lower("name") == F.col("_low"), "left").drop("_low")
 
 
-def resolved(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """id, name, by: dictionary entries first, then the patterns of names; null where nothing fits."""
-    entries = spark.createDataFrame(ENTRIES, "priority int, tokens array<string>, found string")
-    a = R.token_subset_join(lines, "line", entries).select("id", F.col("found").alias("dictionary"))
-    d = lines.join(a, "id", "left").withColumn("pattern", F.nullif(T.affil_name(F.col("line")), F.lit("")))
-    return d.select("id", F.coalesce("dictionary", "pattern").alias("name"), F.when(F.col("dictionary").isNotNull(), "dictionary").when(F.col("pattern").isNotNull(), "pattern").alias("by"))
+#: Affiliation lines of homepages, what they resolve to, and how.
+HOMEPAGES = (
+    ("ibm research, zurich", "ibm", "dictionary"), ("dept. of maths, university of rome, 12345", "University Of Rome", "pattern"), ("csail, MIT", "Massachusetts Institute of Technology", "dictionary"),
+    ("nowhere", None, None), ("universidade federal do amazonas", "Federal University of Amazonas", "other"), ("EECS, UC Berkeley", "University of California Berkeley", "dictionary"),
+    ("instruments of texas", "texas instruments", "dictionary"), ("MIT and IBM", "ibm", "dictionary"), ("imperial college, london", "Imperial College", "pattern"),
+)
+#: Institutions that have an id.
+KNOWN = ((1, "IBM"), (2, "university of rome"), (3, "Massachusetts Institute of Technology"), (4, "Federal University of Amazonas"), (9, "IBM"))
+
 
+def author_lines(spark: SparkSession, d: str) -> DataFrame:
+    """id, line of the authors whose name, or another one, a homepage has; every seventh homepage knows the author by another name, every eleventh author has none."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    k = F.col("id")
+    line = F.get(F.array(*(F.lit(x) for x, _, _ in HOMEPAGES)), (k % len(HOMEPAGES)).cast("int"))
+    names = F.when(k % 7 == 0, F.concat(F.lit("J. Doe/"), "s_name")).otherwise(F.concat("s_name", F.lit("/J. Doe")))
+    homepages = s.where("id % 11 > 0").select(F.explode(F.split(names, "/")).alias("name"), line.alias("line"))
+    return s.join(homepages, T.key_name(F.col("s_name")) == T.key_name(F.col("name"))).select("id", "line")
 
-def affil_lines(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey") % 4
-    line = F.when(k == 0, "ibm research, zurich").when(k == 1, "dept. of maths, university of rome, 12345").when(k == 2, "csail, mit").otherwise("nowhere")
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), line.alias("line"))
 
+_RESOLVED = "SELECT s_suppkey AS id, CASE s_suppkey % {n} {names} END AS name, CASE s_suppkey % {n} {by} END AS \"by\" FROM supplier WHERE s_suppkey % 11 > 0".format(
+    n=len(HOMEPAGES), names=" ".join(f"WHEN {k} THEN '{x}'" for k, (_, x, _) in enumerate(HOMEPAGES) if x), by=" ".join(f"WHEN {k} THEN '{x}'" for k, (_, _, x) in enumerate(HOMEPAGES) if x)
+)
+_KNOWN = "SELECT min(affil_id)::INT AS affil_id, low FROM (VALUES " + ", ".join(f"({k}, lower('{name}'))" for k, name in KNOWN) + ") AS t(affil_id, low) GROUP BY low"
 
-@query("ER1_affiliations", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'IBM' WHEN 1 THEN 'University Of Rome' WHEN 2 THEN 'Massachusetts Institute of Technology' END AS name, CASE s_suppkey % 4 WHEN 0 THEN 'dictionary' WHEN 1 THEN 'pattern' WHEN 2 THEN 'dictionary' END AS by FROM supplier")
+
+def known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(KNOWN), "affil_id int, name string")
+
+
+@query("ER1_affiliations", f"SELECT id, name, \"by\", affil_id FROM ({_RESOLVED}) LEFT JOIN ({_KNOWN}) ON low = lower(name)")
 def affiliations(spark: SparkSession, d: str) -> DataFrame:
-    return resolved(spark, affil_lines(spark, d))
+    return resolved(author_lines(spark, d), known(spark))
 
 
-@query("ER2_confirmed_by_title", f"WITH {ctes('authorship')} SELECT DISTINCT author_id AS id, CASE author_id % 4 WHEN 0 THEN 'IBM' WHEN 1 THEN 'University Of Rome' WHEN 2 THEN 'Massachusetts Institute of Technology' END AS name FROM authorship JOIN orders ON paper_id = o_orderkey WHERE o_totalprice > 300000 AND author_id % 4 < 3")
+@query("ER2_confirmed_by_title", f"""
+WITH t AS (SELECT l_orderkey AS paper_id, l_suppkey AS id, p_name AS title, o_totalprice FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)
+SELECT DISTINCT t.paper_id, r.id, r.name FROM t JOIN ({_RESOLVED}) r USING (id) WHERE name IS NOT NULL AND (id, title) IN (SELECT id, title FROM t WHERE o_totalprice > 200000)""")
 def confirmed(spark: SparkSession, d: str) -> DataFrame:
-    titled = authorship(spark, d).join(table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("paper_id")), "paper_id", "left_semi").select(F.col("author_id").alias("id")).distinct()
-    return resolved(spark, affil_lines(spark, d)).where("name IS NOT NULL").join(titled, "id", "left_semi").select("id", "name")
+    """Of a paper's authors those whose homepage lists a publication of that title, in any case and with or without a full stop."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_totalprice")
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("p_partkey")).join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title")), "p_partkey")
+    listed = t.join(o.where("o_totalprice > 200000"), "paper_id").select("id", F.concat(F.upper("title"), F.lit(".")).alias("listed"))
+    same = lambda c: F.rtrim(F.lower(c), F.lit("."))
+    own = t.select("paper_id", "id", same("title").alias("_t")).distinct().join(listed.select("id", same("listed").alias("_t")).distinct(), ["id", "_t"], "left_semi")
+    return own.select("paper_id", "id").distinct().join(resolved(author_lines(spark, d), known(spark)).where("name IS NOT NULL").select("id", "name"), "id")
+
+
+@query("ER3_dictionaries", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{' '.join(tokens)}', '{found}')" for k, (tokens, found) in enumerate(D.companies() + D.short_forms(), 1)) + ") AS t(priority, tokens, found)")
+def dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    return D.institutions(spark).select("priority", F.array_join("tokens", " ").alias("tokens"), "found")
 
 
-@query("ER4_venue_matching", "SELECT s_suppkey, s_name AS venue FROM supplier")
+@query("ER4_venue_matching", "SELECT s_suppkey, s_name AS venue FROM supplier WHERE s_suppkey % 5 > 0")
 def venue_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Publications' venues among the known ones; a clear winner is needed, so venues of which no word but a common one is known have none."""
     s = table(spark, d, "supplier")
     names = s.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"))
-    q = s.select(F.col("s_suppkey").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("s_name"), F.lit(r"(?U)\w+"), F.lit(0))).alias("term"))
-    found = K.search(q, names, F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), 3)
-    best = PR.winners(found, "query_id", "doc_id", "score", 0.0, 1.0)
+    raw = F.concat(F.lit("Proc. of the Supplier "), F.when(F.col("s_suppkey") % 5 > 0, F.substring_index("s_name", "#", -1)).otherwise("unknown"), F.lit(" (1999)"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    q = s.select(F.col("s_suppkey").alias("query_id"), F.explode(words(T.venue_name(raw))).alias("term"))
+    found = K.search(q, names, words("text"), 3)
+    best = PR.winners(found, "query_id", "doc_id", "score", 0.0, 1.1)
     return best.join(names, "doc_id").select(F.col("query_id").alias("s_suppkey"), F.col("text").alias("venue"))
 
 

@@ -10,6 +10,7 @@ from scholion.fixtures import table, texts
 from scholion.functions import text as T
 from scholion.operators import corpus as K
 from scholion.operators import credit as C
+from scholion.operators import relational as R
 from scholion.plans.registry import query
 from scholion.plans.relational import r6
 from scholion.runtime import checkpointed
@@ -258,12 +259,13 @@ def dehyphenated(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("doc_id", F.char_length(T.dehyphenated(F.replace("text", F.lit(" "), F.lit("-\n")))).alias("n"))
 
 
-@query("TXT17_contributions", r"""SELECT doc_id, CASE WHEN s = 0 THEN -0.5 ELSE s END::DOUBLE AS score FROM (SELECT doc_id,
-CASE WHEN regexp_matches(lower(trim(text)), '\bin this (paper|work|article|study)\b') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(lower(trim(text)), '\bwe (propose|present|introduce|describe|develop|show|demonstrate)\b') THEN 1.0 ELSE 0 END
-+ CASE WHEN regexp_matches(lower(trim(text)), '\b(contribution|contributions|novel)\b') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(lower(trim(text)), '\b(licen[sc]e|permission|copyright)') THEN -1.0 ELSE 0 END
-+ CASE WHEN regexp_matches(lower(trim(text)), '^\d+\.?\s') THEN -0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(trim(text)), '\backnowledg') THEN -1.5 ELSE 0 END AS s FROM documents)""")
+_MARKS = " + ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN {w}::DOUBLE ELSE 0 END" for p, w in T.CONTRIBUTION_WEIGHTS)
+
+
+@query("TXT17_contributions", rf"SELECT conv_id, turn, role, round(CASE WHEN abs(score) < 1e-9 THEN -0.5 ELSE score END, 6) AS score FROM (SELECT conv_id, turn, role, {_MARKS} AS score FROM (SELECT *, lower(trim(CASE turn % 4 WHEN 0 THEN 'In this paper we present ' WHEN 1 THEN 'thanks, our results and a license: ' WHEN 2 THEN 'We now ' ELSE '' END || text)) AS s FROM conversations))")
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("doc_id", T.contribution_score(F.col("text")).cast("double").alias("score"))
+    head = F.when(F.col("turn") % 4 == 0, "In this paper we present ").when(F.col("turn") % 4 == 1, "thanks, our results and a license: ").when(F.col("turn") % 4 == 2, "We now ").otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", r6(T.contribution_score(F.concat(head, "text")).cast("double")).alias("score"))
 
 
 @query("TXT18_title_query", rf"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\s]', '', 'g')), '\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w)), ' ') AS query FROM benchmark")
@@ -277,9 +279,17 @@ def venue_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", T.venue_name(raw).alias("name"))
 
 
-@query("TXT20_affil_names", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'University Of Rome' WHEN 1 THEN 'Georgia Institute Of Technology' ELSE '' END AS name FROM supplier")
+#: Lines and the institutions that they name.
+AFFIL_LINES = (
+    ("dept. of maths, univ. of rome, 12345", "University Of Rome"), ("georgia institute of technology, (atlanta)", "Georgia Institute Of Technology"), ("nowhere 7", ""),
+    ("the polish academy of sciences", "Polish Academy Of Sciences"), ("universita di pisa; italy", "Universitya Di Pisa"), ("imperial college-london: uk", "Imperial College London"),
+    ("data centre", "Data Centre"), ("inst. x, umversity of y <b>", "University Of Y"), ("national research council", "National Research Council"),
+)
+
+
+@query("TXT20_affil_names", "SELECT s_suppkey, CASE s_suppkey % " + str(len(AFFIL_LINES)) + " " + " ".join(f"WHEN {k} THEN '{name}'" for k, (_, name) in enumerate(AFFIL_LINES)) + " END AS name FROM supplier")
 def affil_names(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("s_suppkey") % 3 == 0, "dept. of maths, univ. of rome, 12345").when(F.col("s_suppkey") % 3 == 1, "georgia institute of technology, (atlanta)").otherwise("nowhere 7")
+    raw = F.get(F.array(*(F.lit(line) for line, _ in AFFIL_LINES)), (F.col("s_suppkey") % len(AFFIL_LINES)).cast("int"))
     return table(spark, d, "supplier").select("s_suppkey", T.affil_name(raw).alias("name"))
 
 
@@ -293,6 +303,16 @@ def host_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.split(F.regexp_extract("url", r"://([^/?#]*)", 1), r"\.")).alias("token"))
 
 
+HOSTS = [(1, ["blog", "org"], "Blogs Organisation"), (2, ["blog"], "Blog House"), (3, ["m", "example"], "Mobile Institute"), (4, ["org"], "Example Organisation")]
+
+
+@query("TXT22_url_affils", "WITH u AS (SELECT page_id, string_split(translate(regexp_extract(url, '^https*://([.a-z^/][^/]+[.a-z^/])?', 0), '/', '.'), '.') AS t FROM pages) SELECT page_id, CASE " + " ".join(f"WHEN list_has_all(t, {tokens}) THEN '{found}'" for _, tokens, found in HOSTS) + " END AS found FROM u WHERE " + " OR ".join(f"list_has_all(t, {tokens})" for _, tokens, _ in HOSTS))
+def url_affils(spark: SparkSession, d: str) -> DataFrame:
+    entries = spark.createDataFrame(HOSTS, "priority int, tokens array<string>, found string")
+    p = table(spark, d, "pages").select("page_id", F.array_join(T.host_tokens(F.col("url")), " ").alias("host"))
+    return R.token_subset_join(p, "host", entries).select("page_id", "found")
+
+
 @query("TXT23_merged", "SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_size > 25 THEN p_type END) AS text FROM part")
 def merged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.merged(F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_type"))).alias("text"))

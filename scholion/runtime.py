@@ -46,10 +46,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_file(spark: SparkSession) -> str:
+    """A new path in the application's folder."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the shared folder."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_file(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

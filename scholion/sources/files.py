@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,9 @@ def split_tsv(lines: DataFrame, schema: T.StructType, value: str = "value") -> D
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, key: str | None = None) -> DataFrame:
-    """A TSV file without header; with `key`, one row for each value of it."""
+    """A TSV file without header; with `key`, for each of its values the smallest row."""
     d = split_tsv(spark.read.text(path), schema)
-    return d.dropDuplicates([key]) if key else d
+    return d.groupBy(key).agg(F.min(F.struct(*d.columns)).alias("_r")).select("_r.*") if key else d
 
 
 def split_tagged(records: DataFrame, tags: dict[str, str], repeated: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -73,9 +73,33 @@ def read_result_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """row, column, value of a grid of numbers, a line a row, each from 0."""
-    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
-    return d.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("column", "value")).withColumn("value", F.col("value").cast("double"))
+    """row, column, value of a grid of numbers, a line a row, each from 0; several files follow each other by name.
+
+    Lines are numbered by the splits of the files, so a grid need not fit a task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")).where(F.trim("value") != "")
+    splits = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    bases = splits.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1
+    numbered = lines.withColumn("_nth", nth).join(F.broadcast(bases), ["_f", "_b"])
+    return numbered.select((F.col("_base") + F.col("_nth")).alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("column", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def create_table(spark: SparkSession, name: str, schema: T.StructType, drop: bool = False) -> None:
+    """Create a table unless it is there; with `drop`, an old one goes first."""
+    if drop:
+        spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema.toDDL()}) USING parquet")
+
+
+def insert(rows: DataFrame, name: str) -> None:
+    rows.write.insertInto(name)
+
+
+def read_ranking(spark: SparkSession, path: str) -> DataFrame:
+    """conf_id, affil_id, score, as `write_ranking` has them."""
+    return spark.read.option("sep", "\t").schema("conf_id string, affil_id string, score double").csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:

@@ -184,3 +184,39 @@ def test_betweenness_takes_light_edges(spark, monkeypatch):
     monkeypatch.setattr(graphs, "affil_graph", lambda spark, d: (n, e))
     got = {r["node"]: r["score"] for r in graphs.betweenness(spark, "").collect()}
     assert got[2] > 0 == got[1] == got[3]
+
+
+def test_token_joins_of_small_and_large_dictionaries_agree(spark, monkeypatch):
+    from scholion.operators import relational as R
+
+    texts = spark.createDataFrame([(1, "IBM research, MIT"), (2, "mit"), (2, "mit"), (3, ""), (4, None), (5, "the uc of berkeley"), (6, "uc")], "id int, line string")
+    entries = spark.createDataFrame([(3, ["ibm"], "I"), (1, ["mit"], "M"), (2, ["uc", "berkeley"], "B"), (0, [], "nothing"), (4, ["uc"], "U"), (5, ["uc", "uc"], "V")], "priority int, tokens array<string>, found string")
+    want = [(1, "M"), (2, "M"), (2, "M"), (5, "B"), (6, "U")]
+    for most in (5000, 0):
+        monkeypatch.setattr(R, "MOST_ENTRIES", most)
+        assert sorted(tuple(r) for r in R.token_subset_join(texts, "line", entries).select("id", "found").collect()) == want
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from scholion import runtime
+
+    unset = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            runtime.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    kept = runtime.checkpointed(spark.range(3))
+    assert kept.count() == 3
+    runtime.discard(kept)
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found"):
+        spark.read.parquet(kept._scratch)
+
+
+def test_walks_on_frames_and_in_process_agree_when_they_converge(spark):
+    n = spark.createDataFrame([(k,) for k in range(30)], "node int")
+    e = spark.createDataFrame([(k, (k * k + j) % 30, 1.0 + j) for k in range(27) for j in range(3)], "src int, dst int, weight double")
+    seeds = n.where("node < 4").withColumn("weight", F.lit(2.0))
+    for options in ({}, {"kind": "metropolis"}, {"dangling": "personal", "personal": seeds, "start": seeds}):
+        a, b = ({r["node"]: r["score"] for r in G.pagerank(n, e, 0.4, engine=x, **options).collect()} for x in ("frames", "numpy"))
+        assert a == pytest.approx(b, abs=1e-12) and sum(a.values()) == pytest.approx(1.0)
