@@ -11,8 +11,10 @@ the held-out fold, all passages of each) on the driver; scoring
 is a map over all whole texts, with the small model broadcast.
 
 Null and empty texts are a bag of one empty passage, so they get a score too.
-Repeated rows are judged alike. Labels that are null are not used; without
-labels of both kinds every score is the share of label 1, or 0.5.
+Very long texts are scored whole, as a bag of many passages. Repeated rows are
+judged alike; null ids are scored and never train. Labels that are null are not
+used; without labels of both kinds, or of any, every score is the share of label
+1, or 0.5. An empty table gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -200,7 +202,11 @@ def fold(id_col: str, n: int) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_of: int = 5, most_docs: int = MOST_TRAINING_DOCS) -> AttentionModel:
-    """A model from at most `most_docs` labelled rows whose fold is not 0, those with the smallest hashes of their ids."""
+    """A model from at most `most_docs` labels whose fold is not 0, those with the smallest hashes of their ids.
+
+    Where ids repeat, at most twice as many rows train, those with the smallest
+    hashes of ids and texts.
+    """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .where(fold(id_col, held_out_of) != 0)
@@ -208,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label")
         .limit(most_docs)
     )
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col(text_col).alias("_text"), F.col("_label")).limit(2 * most_docs)
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col(text_col).alias("_text"), "_label", F.xxhash64(F.col("_id").cast("string"), text_col).alias("_h"))
+    rows = rows.orderBy("_h", "_label").limit(2 * most_docs).select("_text", "_label")
     got = sorted((bytes(r[0]), r[1]) for r in rows.mapInArrow(_encode, "x binary, label double").collect())
     bag = [np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x, _ in got]
     x = np.concatenate(bag) if bag else np.zeros((0, WIDTH))
