@@ -1,6 +1,5 @@
 """The ten operators against brute force, on small tables with odd rows."""
 
-import hashlib
 import math
 import random
 import re
@@ -546,6 +545,39 @@ def test_classifier(spark):
     assert quality_classifier.score_quality(d, none).first()["score"] == 0.5
 
 
+def test_classifier_scores_against_plain_loops(spark, docs, rows):
+    """Every document's score, passage by passage, with the formulas of the docstring."""
+    model = quality_classifier.AttentionModel()
+    rng = np.random.default_rng(2)
+    model.mean, model.scale = rng.normal(size=quality_classifier.WIDTH), 1 + rng.random(quality_classifier.WIDTH)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_quality(docs.withColumn("score", F.lit(9)), model).collect()}
+    assert len(got) == len(rows) and quality_classifier.score_quality(docs.limit(0), model).count() == 0
+    for k, text, *_ in rows:
+        words = spaced(text)
+        x, bags = quality_classifier.passages(*quality_classifier.X.text_buffer(pa.array([text], pa.string())))
+        assert bags.tolist() == [0, max(1, math.ceil(len(words) / quality_classifier.PASSAGE))]
+        hidden, logits = [], []
+        for row in x:
+            h = np.tanh(((row - model.mean) / model.scale) @ model.p["W"] + model.p["b"])
+            gate = np.tanh(h @ model.p["V"]) / (1 + np.exp(-(h @ model.p["U"])))
+            hidden.append(h)
+            logits.append(float(gate @ model.p["w"]))
+        a = np.exp(np.array(logits) - max(logits))
+        m = sum(w * h for w, h in zip(a / a.sum(), hidden, strict=True))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-float(m @ model.p["c"] + model.p["d"][0]))), abs=1e-9)
+
+
+def test_classifier_on_the_held_out_fold(spark):
+    """Labels that training has not seen, on a whole table."""
+    sf = "/root/testdata/sf0.01"
+    got = quality_classifier.op1_quality_classifier(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    held = got.where("held_out").join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
+    assert sum(r["predicted"] == r["quality"] for r in held) >= 0.9 * len(held) > 40
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     m = quality_classifier.AttentionModel()
@@ -635,6 +667,54 @@ def test_pipeline_stages(spark, tmp_path):
             hit = {r[0]: r for r in decontamination.brute_force(list(before.items()), bench)}
             assert all((kept.get(k) == t) == (hit[k][2] == 0) for k, t in before.items())
         else:
-            sizes = after.groupBy("doc_id").agg(F.sum("length")).count()
-            assert sizes == len(before) and hashlib.sha256(b"").hexdigest()
+            from public_tokenizers import path
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+            got = after.toPandas()
+            assert set(got.doc_id) == set(before)
+            for k, text in before.items():
+                ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+                own = got[got.doc_id == k].sort_values("piece")
+                assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() == len(ids)
+                assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length, strict=True)]
+            for _, q in got.sort_values("offset").groupby("sequence_id"):
+                assert q.offset.tolist() == [0, *q.length.cumsum().tolist()[:-1]] and q.length.sum() <= 1024
+            assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 1024) + 1
+            last = sorted(map(tuple, after.drop("sequence_id", "offset").collect()))
         docs = after
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect())) == last
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = "\n".join(sentence(random.Random(k), 30, 5000) + "." for k in range(4))
+    for k, rows in enumerate(([], [(None, None, None, None, None), (1, "", "", "", 0), (None, good, "en", "s", 5), (2, good, "en", "s", 5), (2, good, "en", "s", 5)])):
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        (tmp_path / str(k) / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()} == ({2} if rows else set())
+
+
+@pytest.mark.parametrize("operator", ["benchmark", "packing", "near", "suffix", "license", "lm", "classifier", "rules", "sharding", "urls"])
+def test_empty_tables_null_ids_and_repeated_rows(spark, operator):
+    """Rows in, rows out, with null ids, null texts, repeated rows and further columns of names that the operators use."""
+    text = sentence(random.Random(41), 120, 5000) + "."
+    rows = [(None, text, 1, "x"), (None, None, 2, "y"), (7, text, 3, None), (7, text, 3, None), (8, "", 4, "z"), (9, text + " more words", 5, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans int, h string")
+    bench = spark.createDataFrame([(1, text[:80]), (None, text), (2, None)], "item_id long, text string")
+    run = {
+        "benchmark": lambda x: decontamination.benchmark_hits(x, bench),
+        "packing": lambda x: packing.pack(x),
+        "near": lambda x: near_dedup.near_duplicates(x),
+        "suffix": lambda x: suffix_dedup.with_spans(x),
+        "license": lambda x: license_scan.scan_licenses(x),
+        "lm": lambda x: lm_scoring.score_texts(x),
+        "classifier": lambda x: quality_classifier.score_quality(x, quality_classifier.AttentionModel()),
+        "rules": lambda x: quality_rules.quality_columns(x),
+        "sharding": lambda x: sharding.shard(x),
+        "urls": lambda x: url_filter.filter_urls(x.withColumn("url", F.concat(F.lit("http://a.com/"), "h"))),
+    }[operator]
+    assert run(d).count() == len(rows)
+    assert run(d.limit(0)).count() == 0
