@@ -16,13 +16,17 @@ def decay(year: Column, age_relev: float, current_year: int, old_year: int) -> C
 
 
 def fractional_credit(fact: DataFrame, by: tuple[str, ...] = ("affil_id",), weight: Column | None = None) -> DataFrame:
-    """score: each paper's weight in equal parts to its authors, and each part in equal parts to the author's affiliations."""
+    """score: each paper's weight in equal parts to its authors, and each part in equal parts to the author's affiliations.
+
+    Distinct rows, affiliations of an author and authors of a paper all come
+    from one shuffle by paper.
+    """
     extra = [c for c in by if c not in ("affil_id",)]
-    f = fact.where("affil_id IS NOT NULL").select("paper_id", "author_id", "affil_id", "year", *[c for c in extra if c != "year"]).distinct()
-    per_author = f.groupBy("paper_id", "author_id").agg(F.count("affil_id").alias("_nf"))
-    per_paper = per_author.groupBy("paper_id").agg(F.count("*").alias("_na"))
+    f = fact.where("affil_id IS NOT NULL").select("paper_id", "author_id", "affil_id", "year", *[c for c in extra if c != "year"]).repartition("paper_id").distinct()
+    n_affils = F.count("*").over(Window.partitionBy("paper_id", "author_id"))
+    n_authors = F.size(F.collect_set("author_id").over(Window.partitionBy("paper_id")))  # a paper's own authors
     w = F.lit(1.0) if weight is None else weight
-    shares = f.join(per_author, ["paper_id", "author_id"]).join(per_paper, "paper_id")
+    shares = f.withColumns({"_nf": n_affils, "_na": n_authors})
     return shares.groupBy(*by).agg(F.sum(w / (F.col("_na") * F.col("_nf"))).alias("score"))
 
 
