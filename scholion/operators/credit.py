@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.operators.relational import running_total
+
 
 def decay(year: Column, age_relev: float, current_year: int, old_year: int) -> Column:
     """exp(-age_relev (current - year)), the year clipped to [old, current]."""
@@ -36,7 +38,9 @@ def with_zero(candidates: DataFrame, scores: DataFrame, key: str = "affil_id", s
 
 
 def ranked(scores: DataFrame, key: str, score: str = "score", within: tuple[str, ...] = ()) -> DataFrame:
-    """rank from 1: by score, largest first, ties by key."""
+    """rank from 1: by score, largest first, ties by key; over all rows without `within`."""
+    if not within:
+        return running_total(scores, [F.desc(score), F.asc(key)], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), F.asc(key))))
 
 

@@ -160,6 +160,19 @@ def token_subset_join(texts: DataFrame, text: str, dictionary: DataFrame, tokens
     return met.select(*texts.columns, *(F.col("_m")[c].alias(c) for c in dictionary.columns))
 
 
+def running_total(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """`name`: the sum of `value` over the rows up to this one, in an order without ties.
+
+    Rows are sorted into ranges; a range adds the sums of those before it, so
+    no task has more than its range.
+    """
+    parts = checkpointed(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_value": value}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = parts.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_own", own).join(F.broadcast(sums), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     """SQL over the given tables, which are named only for this call."""
     return spark.sql(sql, **tables)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.operators.relational import running_total
+from scholion.runtime import checkpointed
+
 
 def trimmed_series(series: DataFrame, key: str) -> DataFrame:
     """(key, step, score) rows from one step before the first positive score; series without one have none."""
@@ -40,10 +43,11 @@ def rolling(series: DataFrame, key: str, window: int = 3) -> DataFrame:
 
 
 def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
-    """value, share of rows with at most that value: a window over the distinct values alone."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    """value, share of rows with at most that value, from a running total over the distinct values."""
+    counts = checkpointed(df.groupBy(value).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n").alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).select(value, (F.sum("_n").over(Window.orderBy(value)) / F.col("_t")).alias("share"))
+    running = running_total(counts, [F.col(value)], F.col("_n"), "_r")
+    return running.crossJoin(F.broadcast(total)).select(value, (F.col("_r") / F.col("_t")).alias("share"))
 
 
 def autoregression(series: DataFrame, key: str) -> DataFrame:
