@@ -241,7 +241,7 @@ def test_near_duplicates_keep_columns_of_any_name_and_other_thresholds(spark):
     assert [tuple(r) for r in near_dedup.drop_near_duplicates(d, "id", least=0.7).collect()] == rows[:1]
 
 
-@pytest.mark.parametrize("most", [1, 10**9])
+@pytest.mark.parametrize("most", [1000])
 def test_blocks_bounded_in_shingles(spark, monkeypatch, most):
     monkeypatch.setattr(near_dedup, "MOST_SHINGLES", most)
     d = spark.createDataFrame(list(enumerate(drifting(30))), "doc_id long, text string")
