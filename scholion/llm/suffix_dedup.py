@@ -412,9 +412,9 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
     dealt = cut.repartition(n, F.when(F.col("again"), F.xxhash64("place", "start")).otherwise(F.col("h")))
     decided = checkpointed(dealt.sortWithinPartitions("h", "content", "place", "start").mapInArrow(_decide, "place long, start int, n int, h long, kind byte"))
     contested = decided.where("kind = 1")
-    # a hot hash has over MOST_SEGMENTS rows, so there are few; they are small and their hash's rows stay where they are
-    hot = contested.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select(F.col("h").alias("hot_h"))
-    contested = contested.join(hot, F.col("h") == F.col("hot_h"), "left").select("place", F.struct("start", "n", "h", F.col("hot_h").isNotNull().alias("hot")).alias("s"))
+    # a hot hash has over MOST_SEGMENTS rows, so hot ones are few, and the rows of all stay where they are
+    hot = checkpointed(contested.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select(F.col("h").alias("hot_h")))
+    contested = contested.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST_BYTES // 64 else hot, F.col("h") == F.col("hot_h"), "left").select("place", F.struct("start", "n", "h", F.col("hot_h").isNotNull().alias("hot")).alias("s"))
     wanted = contested.groupBy("place").agg(F.collect_list("s").alias("segments"))  # at most the document's own
     held = texts.join(wanted, "place").select("place", "text", "segments")
     pieces = held.mapInArrow(_bytes_of(span), "h long, content long, place long, start int, piece binary")
