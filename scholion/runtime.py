@@ -68,13 +68,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """The rows of df, written once in buckets of `key`: joins on that key then move the other side only."""
+def bucketed(df: DataFrame, key: str | list[str], buckets: int) -> DataFrame:
+    """The rows of df, written once in buckets of `key`: joins on that key then move the other side only.
+
+    `drop_bucketed` takes table and files away again.
+    """
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else key
     name = f"scholion_{uuid.uuid4().hex}"
     path = f"{scratch_folder(spark)}/{name}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._table, out._scratch = name, path
+    return out
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Drop the table of a `bucketed` frame that nothing reads any more, and its files."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
+    discard(df)
 
 
 def ship(spark: SparkSession) -> None:
