@@ -6,6 +6,8 @@ from scholion.llm.lexical_search import op11_lexical_search
 from scholion.llm.license_scan import op7_license_scan
 from scholion.llm.lm_scoring import op8_lm_scoring
 from scholion.llm.near_dedup import op5_minhash_near_dedup
+from scholion.llm.ngram_join import ORACLE_SQL as OP12_SQL
+from scholion.llm.ngram_join import op12_ngram_join
 from scholion.llm.packing import op3_best_fit_packing
 from scholion.llm.prefix_trie import ORACLE_SQL as OP13_SQL
 from scholion.llm.prefix_trie import op13_prefix_trie
@@ -31,7 +33,8 @@ QUERIES = {
         op9_suffix_array_dedup,
         op10_url_filter,
         op11_lexical_search,
+        op12_ngram_join,
         op13_prefix_trie,
     )
 }
-ORACLES: dict[str, str] = {"op4_sharding": OP4_SQL, "op6_quality_rules": OP6_SQL, "op11_lexical_search": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_sharding": OP4_SQL, "op6_quality_rules": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_prefix_trie": OP13_SQL}
