@@ -196,7 +196,7 @@ class DualSorted:
                 top, rest = top[:many], top[many:]
             else:
                 top, rest = np.arange(len(alive)), np.zeros(0, np.int64)
-            many = min(MOST_NODES, 2 * many)
+            many = min(MOST_NODES, 2 * many if len(best) == k else many + 2)
             self.opened += len(top)
             at, lo, hi = level[top][:, None], low[top], high[top]
             lo0, hi0 = self.zeros[at, lo].astype(np.int64), self.zeros[at, hi].astype(np.int64)

@@ -19,10 +19,11 @@ other and that class, in cells of BLOCK by BLOCK members.
 
 Elements that many unlinked sets share (a common passage) are hot: a tile with
 more than MOST_OTHERS members outside its largest class. Its members are joined
-once more among themselves, in an order in which hot elements come last, and
-again while new hot ones turn up; two sets whose shared first elements are all
-hot are both among those members, so no link is lost. An element that is hot
-although all others were taken before it is compared in full.
+once more among themselves, in an order in which the elements that more than
+MOST_OTHERS of them have come last. Two sets whose shared first elements are all
+hot are both among those members, so no link is lost, and the join of the other
+tiles stands. An element that is still first, all others being taken before it,
+is compared in full.
 
 Scale: equal sets are one node. First elements move as 64-bit keys, those of one
 set only are dropped by an aggregation; signatures move with the tiles that are
@@ -39,7 +40,6 @@ whole. An empty table gives an empty result. Other columns may have any name.
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,16 +57,15 @@ SHINGLE = 4
 #: Two sets link from this many hundredths on.
 PERCENT = 85
 #: Members outside a tile's largest class, beyond which its element is hot.
-MOST_OTHERS = 200
+MOST_OTHERS = 4000
 #: Members of a block of a tile; a cell has two.
-BLOCK = 200
+BLOCK = 500
 #: Hot elements that are broadcast to be put last.
 MOST_HOT = 1 << 20
 #: At most so many rows are broadcast in a join; beyond, it shuffles.
 MOST_BROADCAST_ROWS = 1_000_000
 #: Pairs of one node that meet in one task.
 PAIRS_A_SALT = 2000
-MOST_ROUNDS = 12
 _BAND = math.log(100 / (PERCENT - 0.1))
 LEAST_BITS = 64
 
@@ -129,22 +128,26 @@ def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(rows, pa.int64())), pa.array([own[k].tobytes() for k in rows], pa.binary())], names=["node", "elements"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All elements of the sets (node, elements) as keys."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]) if len(batch) else np.zeros(0, np.int64))], names=["key"])
+
+
 def _late(hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The first elements of the sets (node, elements) in the order in which hot ones come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.sort(np.frombuffer(pickle.loads(hot.value), np.int64).view(np.uint64))
+        last = np.sort(np.frombuffer(hot.value, np.int64).view(np.uint64))
         for batch in batches:
-            nodes, keys, forced = [], [], []
+            nodes, keys = [], []
             for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
-                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                first = np.concatenate([s[~late], s[late]])[: firsts(len(s))]
-                keys.append(first.view(np.int64))
-                forced.append(np.arange(len(first)) >= int((~late).sum()))
-                nodes.append(np.full(len(first), node))
+                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                keys.append(np.concatenate([s[~late], s[late]])[: firsts(len(s))].view(np.int64))
+                nodes.append(np.full(len(keys[-1]), node))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(forced))], names=["node", "key", "forced"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
 
     return run
 
@@ -266,11 +269,11 @@ class _Join:
         self.links: list[DataFrame] = []
 
     def members(self, keyed: DataFrame) -> DataFrame:
-        """key, band, home, node, n, forced: members of tiles with two at least, one at home, from node, key, forced."""
+        """key, band, home, node, n, c: members of tiles with two at least, one at home, from node, key; c is their number."""
         shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         met = keyed.join(shared, "key").join(self.nodes.select("node", "n", "band"), "node")
         tiles = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home"))))
-        met = checkpointed(met.select("key", "node", "n", "forced", tiles.alias("x")).select("key", F.col("x.tile").alias("band"), "x.home", "node", "n", "forced"))
+        met = checkpointed(met.select("key", "node", "n", tiles.alias("x")).select("key", F.col("x.tile").alias("band"), "x.home", "node", "n"))
         filled = met.groupBy("key", "band").agg(F.count("*").alias("c"), F.max("home").alias("some")).where("c > 1 AND some").select("key", "band", "c")
         return checkpointed(met.join(filled, ["key", "band"]))
 
@@ -336,22 +339,23 @@ class _Join:
 
     def run(self) -> DataFrame:
         """content, component of the nodes, by pick."""
-        members = self.members(self.nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("forced")))
+        members = self.members(self.nodes.select("node", F.explode("keys").alias("key")))
         sets = self.elements(members.select("node").distinct())
-        hot: bytes = b""
-        for round_ in range(MOST_ROUNDS):
-            self.links.append(self.verified(self.hub_pairs(members), sets))
-            opened = self.opened(members, components(self.found()))
-            hottest = opened.where(f"others > {MOST_OTHERS} AND NOT forced") if round_ + 1 < MOST_ROUNDS else opened.limit(0)
-            keys = [r[0] for r in hottest.groupBy("key").agg(F.max("others").alias("o")).orderBy(F.desc("o"), "key").limit(MOST_HOT).select("key").collect()]
-            cold = opened.where(f"others <= {MOST_OTHERS} OR forced") if keys else opened
-            self.links.append(self.verified(checkpointed(self.tile_pairs(cold)), sets))
-            if not keys:
-                break
-            hot = hot + np.array(keys, np.int64).tobytes()
-            shared = members.sparkSession.sparkContext.broadcast(pickle.dumps(hot))
-            again = sets.join(hottest.select("node").distinct(), "node", "left_semi")
-            members = self.members(checkpointed(again.mapInArrow(_late(shared), "node bigint, key bigint, forced boolean")))
+        self.links.append(self.verified(self.hub_pairs(members), sets))
+        opened = self.opened(members, components(self.found()))
+        hot = opened.where(f"others > {MOST_OTHERS}").select("node").distinct()
+        if hot.isEmpty():
+            self.links.append(self.verified(checkpointed(self.tile_pairs(opened)), sets))
+            return components(self.found())
+        self.links.append(self.verified(checkpointed(self.tile_pairs(opened.where(f"others <= {MOST_OTHERS}"))), sets))
+        again = checkpointed(sets.join(hot, "node", "left_semi").select("node", "elements"))
+        counts = again.mapInArrow(_elements, "key bigint").groupBy("key").count().where(f"count > {MOST_OTHERS}")
+        last = [r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key").collect()]
+        shared = again.sparkSession.sparkContext.broadcast(np.array(last, np.int64).tobytes())
+        members = self.members(checkpointed(again.mapInArrow(_late(shared), "node bigint, key bigint")))
+        self.links.append(self.verified(self.hub_pairs(members), sets))
+        opened = self.opened(members, components(self.found()))
+        self.links.append(self.verified(checkpointed(self.tile_pairs(opened)), sets))
         return components(self.found())
 
 
