@@ -41,10 +41,12 @@ class Encoder:
     """A byte-level BPE with the ids that the library `tokenizers` gives for the JSON file of the vocabulary.
 
     `added` are strings with an id of their own wherever they stand in a text,
-    as `<|endoftext|>`; without them such strings are ordinary text.
+    as `<|endoftext|>`; without them such strings are ordinary text. A text that
+    the fast encoder's pattern gives up on (runs of about a million blanks) is
+    left to `tokenizers` itself, which reads `json_path`.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int], json_path: str | None = None) -> None:
         import base64
 
         import tiktoken
@@ -52,10 +54,19 @@ class Encoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-        self.added = set(added)
+        self.added, self.json_path, self.slow = set(added), json_path, None
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
+        except ValueError:
+            if self.json_path is None:
+                raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.json_path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def added_tokens(json_path: str) -> dict[str, int]:
@@ -67,7 +78,8 @@ def added_tokens(json_path: str) -> dict[str, int]:
 def public_encoder(name: str = "byte_bpe_50k") -> Encoder:
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path(f"{name}.json")))
+    json_path = public_tokenizers.path(f"{name}.json")
+    return Encoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, added_tokens(json_path), json_path)
 
 
 def _tokenise(encoder: Callable, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
