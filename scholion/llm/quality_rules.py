@@ -6,12 +6,16 @@ text come first. All of it is a projection: no shuffle, no state, one row in
 and one row out.
 
 A null text has no words, lines or symbols, so it fails the base rules, as do
-empty texts. Repeated rows are judged alike. Words are runs of characters other
+empty texts. Repeated rows are judged alike. An empty table gives an empty
+result, other columns do not matter. Very long texts are judged whole, the
+windows of one being sorted in memory. Sentences may end with the marks of any
+script, and those of Thai and Lao with none. Words are runs of characters other
 than space, tab, line feed, vertical tab, form feed and carriage return.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +38,20 @@ PLACE_BITS = 24
 SYMBOLS = "#*$%&|<>"
 NAVIGATION = r"(?i)\b(skip to (main )?content|main menu|toggle navigation|site map|log ?in|log ?out|sign ?up|sign ?in|next page|previous page|back to top|read more|click here|breadcrumb)\b"
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript|copyright \d{4}|subscribe to our newsletter|powered by)\b"
-STOPS = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}]"
+#: Marks that end a sentence or clause in the scripts of Unicode, as code points.
+STOP_MARKS = """
+0021 002E 003A 003B 003F 037E 0589 061B 061D 061E 061F 06D4 0700 0701 0702 07F9 0837 0839 083D 083E
+0964 0965 0E2F 0E5A 0F08 0F0D 0F0E 0F11 104A 104B 1361 1362 1364 1365 1366 1367 1368 166E 1735 1736
+17D4 17D5 17D6 1803 1809 1944 1945 1AA8 1AA9 1AAA 1AAB 1B5A 1B5B 1B5E 1B5F 1C3B 1C3C 1C7E 1C7F 2026
+203C 203D 2047 2048 2049 2E2E 3002 A4FF A60E A60F A6F3 A6F7 A876 A877 A8CE A8CF A92F A9C8 A9C9 AA5D
+AA5E AA5F AAF0 AAF1 ABEB FE52 FE54 FE55 FE56 FE57 FF01 FF0E FF1A FF1B FF1F FF61
+"""
+#: Thai and Lao prose has no such marks; a line with their letters has a stop.
+UNMARKED = r"\u0E01-\u0E2E\u0E81-\u0EAE"
+STOPS = "[" + "".join(f"\\u{m}" for m in STOP_MARKS.split()) + UNMARKED + "]"
 DOUBLED = r"[!?*#$%&]{2,}"
 CAPITALS_IN_A_ROW = "[A-Z][^A-Za-z]*[A-Z]"
-STOPS_SQL = "[.!?:;…。！？]"
+STOPS_SQL = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", STOPS)
 
 
 def _flat(text: Column) -> Column:
