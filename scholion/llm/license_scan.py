@@ -5,7 +5,9 @@ are found. Runs overlap by half: at each scale of SCALES they have that many
 words, and hold whatever is no longer than half of that wherever it stands. A
 template belongs to the smallest scale of which it fills half a block at most.
 A template T joins a block B if B holds at least `threshold` of T's distinct
-words.
+words, all those of T that name a license, and none that VOID has for T's label.
+Templates have ten distinct words at least; shorter notices say too little as
+sets, so their words have to stand one after the other.
 
 Words are ordered by how often they occur in the whole corpus, rarest first. A
 block that joins T holds one of T's |T| - need + 1 rarest words, need being the
@@ -37,12 +39,10 @@ from scholion.llm import _text as X
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Paragraphs of public licenses and of notices of them, and their labels.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
-    ("apache", "licensed under the apache license version 2 0"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
@@ -60,9 +60,20 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+)
+#: Short notices and their labels.
+NOTICES = (
+    ("mit", "released under the mit license"),
+    ("apache", "licensed under the apache license version 2 0"),
+    ("cc-by", "cc by 4 0"),
+    ("cc-by-nc", "cc by nc 4 0"),
     ("all-rights-reserved", "all rights reserved"),
 )
+#: Words that name a license: a template that has them is not joined without them.
+NAMES = ("mit", "apache", "gnu", "mozilla", "mpl", "creative", "commons", "attribution", "noncommercial")
+#: Words that a block with a label's template must not hold.
+VOID = {"cc-by": ("noncommercial", "sharealike", "noderivatives")}
 THRESHOLD = 0.8
 #: Words of a block at each scale.
 SCALES = (64, 256)
@@ -71,9 +82,9 @@ SCALES = (64, 256)
 class Scanner:
     """Codes of the words that phrases and templates hold, the templates as code sets, and the index of their prefixes."""
 
-    def __init__(self, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, phrases: tuple = PHRASES) -> None:
+    def __init__(self, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> None:
         self.threshold, self.labels = threshold, [label for label, _ in templates]
-        words = sorted({w for _, t in templates for w in t.split()} | {w for p, _ in phrases for w in p.split()})
+        words = sorted({w for _, t in (*templates, *notices) for w in t.split()} | {w for p, _ in phrases for w in p.split()} | {w for v in VOID.values() for w in v})
         column = pa.array(words, pa.string())
         data, at = X.text_buffer(column)
         h = X.hash_spans(data, at[:-1], at[1:])
@@ -91,6 +102,9 @@ class Scanner:
         for k, t in enumerate(self.templates):
             self.member[k, t] = True
         self.phrases = [([self.code[w] for w in p.split()], label) for p, label in phrases]
+        self.notices = [([self.code[w] for w in t.split()], label) for label, t in notices]
+        self.names = [{self.code[w] for w in t.split() if w in NAMES} for _, t in templates]
+        self.void = [{self.code[w] for w in VOID.get(label, ())} for label in self.labels]
         self.order_by(np.zeros(len(words) + 1, np.int64))
 
     def order_by(self, frequency: np.ndarray) -> None:
@@ -139,10 +153,19 @@ class Scanner:
             if b - a >= self.need[t]:
                 held = np.unique(code[a:b])
                 overlap = int(self.member[t, held].sum())
-                share[k] = overlap / self.size[t] if overlap >= self.need[t] else 0.0
+                if overlap >= self.need[t] and self.names[t].issubset(own := held.tolist()) and not self.void[t].intersection(own):
+                    share[k] = overlap / self.size[t]
         good = share > 0
         return template[good], doc[good], share[good]
 
+    def places(self, phrase: list[int], code: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
+        """Where the words of `phrase` stand one after the other in one document."""
+        at = np.flatnonzero(code == phrase[0])
+        at = at[at + len(phrase) <= len(code)]
+        for j in range(1, len(phrase)):
+            at = at[code[at + j] == phrase[j]]
+        return at[doc_of[at] == doc_of[at + len(phrase) - 1]] if len(at) else at
+
 
 def _count_words(scanner: Scanner) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +192,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 n_base, base, labels = np.zeros(n, np.int64), [set() for _ in range(n)], [set() for _ in range(n)]
                 first, last, score = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
                 for phrase, label in scanner.phrases:
-                    m = len(phrase)
-                    at_start = np.flatnonzero(code == phrase[0])
-                    at_start = at_start[at_start + m <= len(code)]
-                    for j in range(1, m):
-                        at_start = at_start[code[at_start + j] == phrase[j]]
-                    at_start = at_start[doc_of[at_start] == doc_of[at_start + m - 1]] if len(at_start) else at_start
+                    at_start = scanner.places(phrase, code, doc_of)
                     doc = doc_of[at_start]
                     n_base += np.bincount(doc, minlength=n)
                     np.minimum.at(first, doc, at_start - words_at[doc])
@@ -182,6 +200,10 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                     for d in np.unique(doc).tolist():
                         base[d].add(label)
                 score[n_base > 0] = 1.0
+                for notice, label in scanner.notices:
+                    for d in np.unique(doc_of[scanner.places(notice, code, doc_of)]).tolist():
+                        labels[d].add(label)
+                        score[d] = 1.0
                 template, doc, containment = scanner.join(code, words_at)
                 np.maximum.at(score, doc, containment)
                 for t, d in zip(template.tolist(), doc.tolist(), strict=True):
@@ -205,7 +227,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document; `score` is 1 with a base phrase, else the largest containment that meets the threshold, or 0."""
+    """One row for each document; `score` is 1 with a base phrase or a short notice, else the largest containment that meets the threshold, or 0."""
     arguments = {"templates": templates, "threshold": threshold}
     counts = docs.select(text_col).mapInArrow(_count_words(Scanner(**arguments)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the templates
     frequency = np.zeros(len(Scanner(**arguments).hashes) + 1, np.int64)
