@@ -20,11 +20,12 @@ earlier: in a smaller document, or before in the same one.
 
 The index never leaves its shard, and no document or group is gathered: a
 hash's distinct contents are the largest unit, and where they exceed
-MOST_SEGMENTS they are split by the hash of each window instead.
+MOST_SEGMENTS or MOST_BYTES they are split by the hash of each window instead.
 
 Null texts are empty; texts shorter than `span` keep everything. Ids may be
 null or repeated: rows are ordered by id, nulls first, then by content, and
-equal rows one after another. Windows never cross rows.
+equal rows one after another. Windows never cross rows. An empty table gives an
+empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ ANCHOR = 32
 SHARD_BYTES = 1 << 20
 #: A hash with more distinct segments than this is split by window.
 MOST_SEGMENTS = 4000
+#: Bytes of the segments of one hash that are indexed together; an index takes some hundred bytes a byte.
+MOST_BYTES = 4 << 20
 #: A segment has at most so many windows; a longer run of windows with one hash is several segments.
 MOST_WINDOWS = 1 << 15
 SEPARATOR = 0
@@ -412,8 +415,9 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, shard_bytes: int = SHARD_
     dealt = cut.repartition(n, F.when(F.col("again"), F.xxhash64("place", "start")).otherwise(F.col("h")))
     decided = checkpointed(dealt.sortWithinPartitions("h", "content", "place", "start").mapInArrow(_decide, "place long, start int, n int, h long, kind byte"))
     contested = decided.where("kind = 1")
-    # a hot hash has over MOST_SEGMENTS rows, so hot ones are few, and the rows of all stay where they are
-    hot = checkpointed(contested.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select(F.col("h").alias("hot_h")))
+    # a hot hash has over MOST_SEGMENTS rows or MOST_BYTES, so hot ones are few, and the rows of all stay where they are
+    sizes = contested.groupBy("h").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"))
+    hot = checkpointed(sizes.where((F.col("rows") > MOST_SEGMENTS) | (F.col("bytes") > MOST_BYTES)).select(F.col("h").alias("hot_h")))
     contested = contested.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST_BYTES // 64 else hot, F.col("h") == F.col("hot_h"), "left").select("place", F.struct("start", "n", "h", F.col("hot_h").isNotNull().alias("hot")).alias("s"))
     wanted = contested.groupBy("place").agg(F.collect_list("s").alias("segments"))  # at most the document's own
     held = texts.join(wanted, "place").select("place", "text", "segments")
