@@ -396,8 +396,9 @@ def test_license_join_finds_all_that_brute_force_finds():
         for k, (_, t) in enumerate(license_scan.TEMPLATES):
             own, width = set(t.split()), next(w for w in license_scan.SCALES if len(t.split()) <= w // 2)
             for a in range(0, max(1, len(words) - width // 2), width // 2):
-                share = len(own & set(words[a : a + width])) / len(own)
-                if share >= 0.8:
+                block = set(words[a : a + width])
+                share = len(own & block) / len(own)
+                if share >= 0.8 and own & set(license_scan.NAMES) <= block and not block & set(license_scan.VOID.get(scanner.labels[k], ())):
                     want.add((k, d, round(share, 9)))
     for by in (np.zeros_like(frequency), frequency):
         scanner.order_by(by)
@@ -420,6 +421,64 @@ def test_license_labels_and_base_places_against_brute_force(spark, docs, rows):
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and (r["score"] == 1 or not places)
 
 
+def test_license_labels_of_prose(spark):
+    texts = {
+        "licensed under CC BY 4.0": "cc-by",
+        "licensed under CC BY-NC 4.0": "cc-by-nc",
+        "The code was released under the Apache license": "apache",
+        "He was released on bail under the old law; the driving license was taken away": "",
+        "Reserved seats: all fans keep their rights": "",
+        "All rights\nreserved.": "all-rights-reserved",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "this work is licensed under the city's general public building license version 3": "",
+        "mit the software all rights of use; license under version 2 reserved 0 4 by cc": "",
+    }
+    rng = random.Random(31)
+    common = "the a of to and in is license software under version public work this use rights copyright notice permission free any".split()
+    texts |= {" ".join(rng.choice(common) for _ in range(120)): "" for _ in range(60)}
+    texts = {k: v for k, v in texts.items() if "general public license" not in k or v}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
+def test_encoder_takes_long_runs_of_blanks():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.public_encoder()
+    blanks = [" " * 2_000_000, "\n" * 1_000_000, "\t" * 1_000_000, "\u00a0" * 1_000_000, " \n\t " * 300_000]
+    for text in [*blanks[1:], f"one{blanks[0]}two <|endoftext|>", f"{blanks[4]}end"]:
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode.slow is not None
+
+
+@pytest.mark.parametrize("mark", [".", "\u0964", "\u06d4", "\u061f", "\u1362", "\u17d4", "\u104b", "\u3002", "\u0589", "\u037e"])
+def test_quality_rules_know_the_marks_of_all_scripts(spark, mark):
+    text = "\n".join(" ".join(f"\u0915{chr(0x905 + (7 * i + j) % 40)}{i}{j}" for j in range(10)) + mark for i in range(12))
+    thai = "\n".join(" ".join(f"\u0e01\u0e32{chr(0xE01 + (5 * i + j) % 40)}{i}{j}" for j in range(10)) for i in range(12))
+    frame = spark.createDataFrame([(1, text), (2, thai), (3, text.replace(mark, ""))], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["words_lost"], r["kept"]) for r in quality_rules.quality_columns(frame).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (120, False)}
+    duck = duckdb.connect()
+    duck.register("documents", frame.toPandas())
+    sql = {r[0]: r[1:] for r in duck.execute(f"SELECT doc_id, words_lost, kept FROM ({quality_rules.ORACLE_SQL})").fetchall()}
+    assert sql == got
+
+
+def test_repeats_of_long_periodic_texts_within_bounded_bytes(spark, monkeypatch):
+    texts = [(k, ("ab" if k % 2 else "xyz") * (400 + 37 * k)) for k in range(12)] + [(20 + k, sentence(random.Random(k // 2), 60)) for k in range(6)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    want = None
+    for most in (4 << 20, 3000):
+        monkeypatch.setattr(suffix_dedup, "MOST_BYTES", most)
+        got = sorted((r["place"], tuple(r["spans"])) for r in suffix_dedup.repeated_spans(frame.select(F.col("doc_id").alias("place"), "text")).collect())
+        assert want is None or got == want
+        want = got
+    assert len(want) == 12 + 3
+
+
 def test_license_scan_of_a_wrapped_notice(spark):
     text = "Copyright\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files\n"
     r = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, "a\nb")], "doc_id long, text string")).orderBy("doc_id").collect()
