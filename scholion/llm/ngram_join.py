@@ -9,7 +9,9 @@ own band, and as a guest into that of the next band. Within a tile every two
 sets of different classes, at least one of them at home, are tested by their
 signatures: parity bitmaps of hashed elements, as wide as half a set, whose
 difference in bits is at most that of the sets, so that it bounds the overlap
-from above. What passes is verified by intersecting the sorted sets.
+from above. Two sets are taken up only in the tile of the first element that
+they share, and if what follows it in both leaves enough to share. What passes
+is verified by intersecting the sorted sets.
 
 Families of edited copies would fill tiles with pairs that are linked anyway. So
 first every tile's members are tested against one of them, the one with the most
@@ -67,7 +69,7 @@ MOST_BROADCAST_ROWS = 1_000_000
 #: Pairs of one node that meet in one task.
 PAIRS_A_SALT = 2000
 _BAND = math.log(100 / (PERCENT - 0.1))
-LEAST_BITS = 64
+LEAST_BITS = 512
 
 
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -140,14 +142,15 @@ def _late(hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.sort(np.frombuffer(hot.value, np.int64).view(np.uint64))
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, pos = [], [], []
             for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 keys.append(np.concatenate([s[~late], s[late]])[: firsts(len(s))].view(np.int64))
                 nodes.append(np.full(len(keys[-1]), node))
+                pos.append(np.arange(len(keys[-1])))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, pos, keys)], names=["node", "pos", "key"])
 
     return run
 
@@ -203,13 +206,24 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes that signatures do not rule out, cell by cell.
 
     Rows come sorted by cell: key, band, i, part, node, root, home, other, n,
-    bits. In a part after the first only members that differ in `other` meet.
+    pos (how many elements come before the key), before (those of them that have
+    tiles), bits. In a part after the first only members that differ in `other`
+    meet. Members that share an element before the key meet in its tile.
     All cells of a batch are taken at once, by the distance of two members.
     """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        key, band, i, part, node, root, n = (t.column(c).to_numpy() for c in ("key", "band", "i", "part", "node", "root", "n"))
+        key, band, i, part, node, root, n, pos = (t.column(c).to_numpy() for c in ("key", "band", "i", "part", "node", "root", "n", "pos"))
+        before = t.column("before").combine_chunks()
+        before = before.chunk(0) if isinstance(before, pa.ChunkedArray) else before
+        earlier: dict[int, frozenset] = {}
+
+        def taken(x: int) -> frozenset:
+            if x not in earlier:
+                earlier[x] = frozenset(before[x].as_py())
+            return earlier[x]
+
         home, other = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
         size = width_of(band) // 8
         column = t.column("bits").combine_chunks()
@@ -230,12 +244,13 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             y = x + d
             low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = (root[x] != root[y]) & (home[x] | home[y]) & ((part[x] == 0) | (other[x] != other[y])) & (100 * low >= PERCENT * high)
+            ok = (root[x] != root[y]) & (home[x] | home[y]) & ((part[x] == 0) | (other[x] != other[y])) & (100 * low >= PERCENT * high) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y]))
             x, y = x[ok], y[ok]
             for w in np.unique(size[x]).tolist():
                 own = size[x] == w
                 xs, ys = x[own], y[own]
-                good = _possible(n[xs], n[ys], bits[w][place[xs]], bits[w][place[ys]])
+                good = np.flatnonzero(_possible(n[xs], n[ys], bits[w][place[xs]], bits[w][place[ys]]))
+                good = good[[taken(p).isdisjoint(taken(q)) for p, q in zip(xs[good].tolist(), ys[good].tolist(), strict=True)]] if len(good) else good
                 left.append(np.minimum(node[xs[good]], node[ys[good]]))
                 right.append(np.maximum(node[xs[good]], node[ys[good]]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -265,15 +280,16 @@ class _Join:
         nodes = signed.where("content IS NOT NULL").groupBy("content").agg(F.min(pick).alias("pick"), *[F.any_value(c).alias(c) for c in ("n", "band", "keys", "bits")])
         self.nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
         self.rows = checkpointed(signed.select("id", "content", "n"))
+        self.repeated = not signed.where("content IS NOT NULL").groupBy("id", "raw").count().where("count > 1").isEmpty()
         discard(signed)
         self.links: list[DataFrame] = []
 
     def members(self, keyed: DataFrame) -> DataFrame:
-        """key, band, home, node, n, c: members of tiles with two at least, one at home, from node, key; c is their number."""
+        """key, band, home, node, pos, n, c: members of tiles with two at least, one at home, from node, pos, key; c is their number."""
         shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         met = keyed.join(shared, "key").join(self.nodes.select("node", "n", "band"), "node")
         tiles = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home"))))
-        met = checkpointed(met.select("key", "node", "n", tiles.alias("x")).select("key", F.col("x.tile").alias("band"), "x.home", "node", "n"))
+        met = checkpointed(met.select("key", "node", "pos", "n", tiles.alias("x")).select("key", F.col("x.tile").alias("band"), "x.home", "node", "pos", "n"))
         filled = met.groupBy("key", "band").agg(F.count("*").alias("c"), F.max("home").alias("some")).where("c > 1 AND some").select("key", "band", "c")
         return checkpointed(met.join(filled, ["key", "band"]))
 
@@ -283,7 +299,8 @@ class _Join:
         own = self.nodes.join(wanted, "node", "left_semi").select("node", "content", F.col("pick.id").alias("own_id"), F.col("pick.raw").alias("own_raw"))
         own = F.broadcast(own) if few else own
         met = self.texts.join(own, (F.col("raw") == F.col("own_raw")) & F.col("id").eqNullSafe(F.col("own_id")))
-        return checkpointed(met.select("node", "text", "content").mapInArrow(_set_blobs, "node bigint, elements binary").dropDuplicates(["node"]))
+        blobs = met.select("node", "text", "content").mapInArrow(_set_blobs, "node bigint, elements binary")
+        return checkpointed(blobs.dropDuplicates(["node"]) if self.repeated else blobs)
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs a, b that link, b being in many pairs maybe."""
@@ -318,7 +335,7 @@ class _Join:
         tiles = tiles.select("key", "band", F.col("major.root").alias("major"), (F.col("k") - F.col("major.k")).alias("others"), F.col("major.k").alias("most"))
         return checkpointed(members.join(tiles, ["key", "band"]).withColumn("other", F.expr("root <> major")))
 
-    def tile_pairs(self, opened: DataFrame) -> DataFrame:
+    def tile_pairs(self, opened: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs of the tiles' members outside the largest class with all members, that signatures do not rule out.
 
         Members outside are blocks 0 to p - 1, the largest class those from p
@@ -332,30 +349,33 @@ class _Join:
                  WHEN p = 1 THEN array(struct(0L AS i, block - 1 AS part, false AS side))
                  WHEN other THEN transform(sequence(0L, p + q - 1), k -> struct(least(k, block) AS i, greatest(k, block) - least(k, block) AS part, k >= block AS side))
                  ELSE transform(sequence(0L, p - 1), k -> struct(k AS i, block - k AS part, false AS side)) END""")
-        dealt = blocks.withColumn("cell", F.explode(cells)).join(self.nodes.select("node", "bits"), "node")
-        dealt = dealt.select("key", "band", "cell.i", "cell.part", "node", "root", "home", F.col("cell.side").alias("other"), "n", "bits")
+        own = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("own"))  # a node's first elements at most
+        held = self.nodes.select("node", "bits").join(own, "node")
+        before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["key"])
+        dealt = blocks.withColumn("cell", F.explode(cells)).join(held, "node")
+        dealt = dealt.select("key", "band", "cell.i", "cell.part", "node", "root", "home", F.col("cell.side").alias("other"), "n", "pos", before.alias("before"), "bits")
         order = ["key", "band", "i", "part"]
         return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiles, "a bigint, b bigint").distinct()
 
     def run(self) -> DataFrame:
         """content, component of the nodes, by pick."""
-        members = self.members(self.nodes.select("node", F.explode("keys").alias("key")))
+        members = self.members(self.nodes.select("node", F.posexplode("keys").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long")))
         sets = self.elements(members.select("node").distinct())
         self.links.append(self.verified(self.hub_pairs(members), sets))
         opened = self.opened(members, components(self.found()))
         hot = opened.where(f"others > {MOST_OTHERS}").select("node").distinct()
         if hot.isEmpty():
-            self.links.append(self.verified(checkpointed(self.tile_pairs(opened)), sets))
+            self.links.append(self.verified(checkpointed(self.tile_pairs(opened, members)), sets))
             return components(self.found())
-        self.links.append(self.verified(checkpointed(self.tile_pairs(opened.where(f"others <= {MOST_OTHERS}"))), sets))
+        self.links.append(self.verified(checkpointed(self.tile_pairs(opened.where(f"others <= {MOST_OTHERS}"), members)), sets))
         again = checkpointed(sets.join(hot, "node", "left_semi").select("node", "elements"))
         counts = again.mapInArrow(_elements, "key bigint").groupBy("key").count().where(f"count > {MOST_OTHERS}")
         last = [r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key").collect()]
         shared = again.sparkSession.sparkContext.broadcast(np.array(last, np.int64).tobytes())
-        members = self.members(checkpointed(again.mapInArrow(_late(shared), "node bigint, key bigint")))
+        members = self.members(checkpointed(again.mapInArrow(_late(shared), "node bigint, pos bigint, key bigint")))
         self.links.append(self.verified(self.hub_pairs(members), sets))
         opened = self.opened(members, components(self.found()))
-        self.links.append(self.verified(checkpointed(self.tile_pairs(opened)), sets))
+        self.links.append(self.verified(checkpointed(self.tile_pairs(opened, members)), sets))
         return components(self.found())
 
 
