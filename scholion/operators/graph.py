@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from scholion.runtime import bucketed, checkpointed, discard
+from scholion.runtime import bucketed, checkpointed, discard, drop_bucketed
 
 CUT_EVERY = 5
 
@@ -34,6 +34,44 @@ def metropolis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return loops.select("src", F.col("src").alias("dst"), (1 - F.coalesce("s", F.lit(0.0))).alias("p")).union(scaled)
 
 
+#: Sources with more than this many edges are hot in any case that counts; smaller shares of a small graph do no harm.
+LEAST_HOT = 1000
+#: A list of hot sources of at most so many rows is broadcast; beyond, it is joined.
+MOST_FANS = 100_000
+
+
+def edge_blocks(probabilities: DataFrame, parts: int, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The edges (src, salt, dst, p) in `parts` buckets of (src, salt), and src, salts of the sources that are cut.
+
+    A source with more than `most` edges, a quarter of a bucket's mean if not
+    given, is cut into so many groups of them, by target: each group needs the
+    source's score, and sums its own part of the flow. So no bucket holds much
+    more than the mean, however large a source is.
+    """
+    edges = checkpointed(probabilities)
+    if most is None:
+        most = max(LEAST_HOT, edges.count() // (4 * parts))
+    fans = checkpointed(edges.groupBy("src").count().where(F.col("count") > most).select("src", F.ceil(F.col("count") / most).alias("salts")))
+    n = fans.count()
+    if not n:
+        blocks, fans = edges.withColumn("salt", F.lit(0).cast("long")), None
+    else:
+        fans = F.broadcast(fans) if n <= MOST_FANS else fans
+        blocks = edges.join(fans, "src", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("dst"), "salts"), F.lit(0).cast("long")))
+    out = bucketed(blocks.select("src", "salt", "dst", "p"), ["src", "salt"], parts)
+    discard(edges)
+    return out, fans
+
+
+def flow_of(scores: DataFrame, blocks: DataFrame, fans: DataFrame | None) -> DataFrame:
+    """dst, flow: what the scores (src, score) send along the edges."""
+    if fans is None:
+        sent = scores.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        sent = scores.join(fans, "src", "left").select("src", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return blocks.join(sent, ["src", "salt"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("flow"))
+
+
 def pagerank(
     nodes: DataFrame,
     edges: DataFrame,
@@ -45,7 +83,7 @@ def pagerank(
     kind: str = "weighted",
     dangling: str = "uniform",
     start: DataFrame | None = None,
-    engine: str = "frames",
+    most_edges: int | None = None,
 ) -> DataFrame:
     """node, score, summing to 1; an empty graph gives an empty result.
 
@@ -56,19 +94,32 @@ def pagerank(
     `iterations` steps if given, else once the L1 change is under `tolerance`;
     after most + 2 steps without that, it raises.
 
-    The edges are written once in buckets of their source, so a step moves the
-    vector and one partial sum for each task and target. It is one write of the
-    vector and one aggregation over it: the change of a step is known one step
-    later, when its vector has been divided by its sum. `engine="numpy"` runs
-    the same steps in the driver's process, for graphs known to be small.
+    The edges are written once in buckets (`edge_blocks`: sources with more than
+    `most_edges` edges are cut), so a step moves the vector and one partial sum
+    for each task and target. A step is one write of the vector, which observes
+    its sums on the way: the change of a step is known one step later, when its
+    vector has been divided by its sum. The edges' table goes when the walk ends.
     """
-    d = 1 - teleport
     spark = nodes.sparkSession
-    probabilities = bucketed(metropolis(nodes, edges) if kind == "metropolis" else transition(edges), "src", int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    state = nodes.select("node").join(probabilities.select(F.col("src").alias("node")).distinct().withColumn("_has", F.lit(1)), "node", "left").select("node", F.col("_has").isNull().alias("dangles"))
+    ids = checkpointed(nodes.select("node").withColumn("id", F.monotonically_increasing_id()))
+    named = metropolis(nodes, edges) if kind == "metropolis" else transition(edges)
+    source, target = ids.select(F.col("node").alias("src"), F.col("id").alias("src_id")), ids.select(F.col("node").alias("dst"), F.col("id").alias("dst_id"))
+    numbered = named.join(source, "src").join(target, "dst", "left").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "p")
+    blocks, fans = edge_blocks(numbered, int(spark.conf.get("spark.sql.shuffle.partitions")), most_edges)
+    try:
+        found = _walk(ids, blocks, fans, n, teleport, personal, iterations, tolerance, most, dangling, start)
+    finally:
+        drop_bucketed(blocks)
+    return ids.join(found, "id").select("node", "score")
+
+
+def _walk(ids: DataFrame, blocks: DataFrame, fans: DataFrame | None, n: int, teleport: float, personal: DataFrame | None, iterations: int | None, tolerance: float, most: int, dangling: str, start: DataFrame | None) -> DataFrame:
+    """id, score: the steps of `pagerank` over n nodes, by number so that steps move no names."""
+    d = 1 - teleport
+    state = ids.join(blocks.select(F.col("src").alias("id")).distinct().withColumn("_has", F.lit(1)), "id", "left").select("id", "node", F.col("_has").isNull().alias("dangles"))
     if personal is not None:
         total = personal.agg(F.sum("weight")).first()[0] or 0.0
         state = state.join(personal.select("node", F.col("weight").alias("_w")), "node", "left").withColumn("pers", F.coalesce("_w", F.lit(0.0)) / total if total else F.lit(1.0 / n)).drop("_w")
@@ -79,53 +130,33 @@ def pagerank(
         state = state.join(start.select("node", F.col("weight").alias("_s")), "node", "left").withColumn("_y", F.coalesce("_s", F.lit(0.0)) / total).drop("_s")
     else:
         state = state.withColumn("_y", F.lit(1.0 / n))
-    written = checkpointed(state.withColumn("_x", F.lit(0.0)))
-    if engine == "numpy":
-        return _walk_in_process(written.withColumnRenamed("_y", "score").drop("_x"), probabilities, teleport, iterations, tolerance, most, dangling)
+    def observed(vector: DataFrame) -> tuple[DataFrame, float, float, float]:
+        """The vector as written: its sum, what dangles of it, and how far the two vectors before it lie apart."""
+        seen = Observation()
+        sums = (F.sum("_y").alias("total"), F.coalesce(F.sum(F.when(F.col("dangles"), F.col("_y"))), F.lit(0.0)).alias("lost"), F.sum("_c").alias("change"))
+        out = checkpointed(vector.observe(seen, *sums))
+        return out, *(seen.get[c] for c in ("total", "lost", "change"))
+
+    written, total, lost, change = observed(state.drop("node").withColumns({"_x": F.lit(0.0), "_c": F.lit(0.0)}))
     step = 0
     while True:
-        # of vector `step`: its sum, what dangles of it, and how far the two vectors before it lie apart
-        total, lost, change = written.agg(F.sum("_y"), F.sum(F.when(F.col("dangles"), F.col("_y"))), F.sum("_c") if step > 1 else F.lit(None)).first()
         if iterations is None and step > 1 and change < tolerance:
-            return written.select("node", F.col("_x").alias("score"))
+            return written.select("id", F.col("_x").alias("score"))
         if step == iterations:
-            return written.select("node", (F.col("_y") / total).alias("score"))
+            return written.select("id", (F.col("_y") / total).alias("score"))
         if iterations is None and step > most + 2:
             raise RuntimeError(f"no convergence in {step - 1} steps; the last change was {change}")
-        lost = (lost or 0.0) / total
-        state = written.select("node", "dangles", "pers", (F.col("_y") / total).alias("score"), F.abs(F.col("_y") / total - F.col("_x")).alias("_c"))
+        lost = lost / total
+        state = written.select("id", "dangles", "pers", (F.col("_y") / total).alias("score"), F.abs(F.col("_y") / total - F.col("_x")).alias("_c"))
         spread = F.lit(lost / n) if dangling == "uniform" else lost * F.col("pers")
-        flow = probabilities.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("_f"))
-        moved = state.join(flow.withColumnRenamed("dst", "node"), "node", "left").withColumn("_y", d * (F.coalesce("_f", F.lit(0.0)) + spread) + teleport * F.col("pers"))
-        last, written = written, checkpointed(moved.select("node", "dangles", "pers", "_y", F.col("score").alias("_x"), "_c"))
+        flow = flow_of(state.select(F.col("id").alias("src"), "score"), blocks, fans)
+        moved = state.join(flow.withColumnRenamed("dst", "id"), "id", "left").withColumn("_y", d * (F.coalesce("flow", F.lit(0.0)) + spread) + teleport * F.col("pers"))
+        last = written
+        written, total, lost, change = observed(moved.select("id", "dangles", "pers", F.col("score").alias("_x"), "_y", "_c"))
         discard(last)
         step += 1
 
 
-def _walk_in_process(state: DataFrame, probabilities: DataFrame, teleport: float, iterations: int | None, tolerance: float, most: int, dangling: str) -> DataFrame:
-    """The steps of `pagerank` in this process."""
-    import numpy as np
-    import pandas as pd
-
-    x, e = state.toPandas(), probabilities.toPandas()
-    n, nodes = len(x), pd.Index(x["node"])
-    src, dst = nodes.get_indexer(e["src"]), nodes.get_indexer(e["dst"])
-    inside = (src >= 0) & (dst >= 0)
-    src, dst, p = src[inside], dst[inside], e["p"].to_numpy()[inside]
-    score, pers, dangles = x["score"].to_numpy(), x["pers"].to_numpy(), x["dangles"].to_numpy()
-    step = 0
-    while True:
-        lost = score[dangles].sum()
-        spread = lost / n if dangling == "uniform" else lost * pers
-        y = (1 - teleport) * (np.bincount(dst, weights=score[src] * p, minlength=n) + spread) + teleport * pers
-        y /= y.sum()
-        change, score, step = np.abs(y - score).sum(), y, step + 1
-        if step == iterations or (iterations is None and change < tolerance):
-            return state.sparkSession.createDataFrame(pd.DataFrame({"node": x["node"], "score": score}), state.select("node", "score").schema)
-        if iterations is None and step >= most + 2:
-            raise RuntimeError(f"no convergence in {step} steps; the last change was {change}")
-
-
 def small_pagerank(nodes: list, edges: list[tuple], teleport: float, personal: Mapping | None = None, iterations: int | None = None, tolerance: float = 1e-8, most: int = 100) -> dict:
     """The same walk in numpy, for graphs that fit one process; tests hold the two against each other."""
     import numpy as np
@@ -158,8 +189,8 @@ def layer_weights(edges: DataFrame, rho: Mapping[tuple[str, str], float], norm:
         raise ValueError("layer weights must not be negative")
     pairs = [(a, b, v) for (a, b), v in rho.items() if v]
     r = edges.sparkSession.createDataFrame(pairs, "src_layer string, dst_layer string, rho double")
-    top = (F.max if norm == "max" else F.sum)("weight").over(Window.partitionBy("src_layer", "src", "dst_layer"))
-    w = edges.join(F.broadcast(r), ["src_layer", "dst_layer"]).withColumn("_m", top)
+    top = edges.groupBy("src_layer", "src", "dst_layer").agg((F.max if norm == "max" else F.sum)("weight").alias("_m"))
+    w = edges.join(F.broadcast(r), ["src_layer", "dst_layer"]).join(top, ["src_layer", "src", "dst_layer"])
     return w.select("src_layer", "src", "dst_layer", "dst", F.coalesce(F.try_divide(F.col("weight") * F.col("rho"), F.col("_m")), F.lit(0.0)).alias("weight"))
 
 

@@ -41,17 +41,17 @@ def test_pagerank_zero_weight_row_leaks():
     assert small([*EDGES, ("D", "A", 0.0)]) == {"A": 0.172317, "B": 0.218040, "C": 0.437326, "D": 0.172317}
 
 
-@pytest.mark.parametrize("engine", ["frames", "numpy"])
-def test_walks_are_the_small_walk(spark, nodes, engine):
+@pytest.mark.parametrize("most_edges", [None, 1])
+def test_walks_are_the_small_walk(spark, nodes, most_edges):
     p = spark.createDataFrame([("A", 1.0)], "node string, weight double")
-    assert walk(spark, nodes, [*EDGES, ("D", "A", 0.0)], personal=p, iterations=3, engine=engine) == small([*EDGES, ("D", "A", 0.0)], personal={"A": 1.0}, iterations=3)
+    assert walk(spark, nodes, [*EDGES, ("D", "A", 0.0)], personal=p, iterations=3, most_edges=most_edges) == small([*EDGES, ("D", "A", 0.0)], personal={"A": 1.0}, iterations=3)
 
 
-@pytest.mark.parametrize("engine", ["frames", "numpy"])
-def test_convergence(spark, nodes, engine):
-    assert walk(spark, nodes, EDGES, tolerance=1e-2, engine=engine) == pytest.approx(small(EDGES), abs=0.02)
+@pytest.mark.parametrize("most_edges", [None, 1])
+def test_convergence(spark, nodes, most_edges):
+    assert walk(spark, nodes, EDGES, tolerance=1e-2, most_edges=most_edges) == pytest.approx(small(EDGES), abs=0.02)
     with pytest.raises(RuntimeError):
-        walk(spark, nodes, EDGES, tolerance=-1.0, most=0, engine=engine)
+        walk(spark, nodes, EDGES, tolerance=-1.0, most=0, most_edges=most_edges)
 
 
 def test_metropolis(spark, nodes):
@@ -213,10 +213,29 @@ def test_a_cluster_needs_a_shared_folder(spark):
         spark.read.parquet(kept._scratch)
 
 
-def test_walks_on_frames_and_in_process_agree_when_they_converge(spark):
+def test_walks_that_converge_sum_to_one_whatever_is_cut(spark):
     n = spark.createDataFrame([(k,) for k in range(30)], "node int")
     e = spark.createDataFrame([(k, (k * k + j) % 30, 1.0 + j) for k in range(27) for j in range(3)], "src int, dst int, weight double")
     seeds = n.where("node < 4").withColumn("weight", F.lit(2.0))
     for options in ({}, {"kind": "metropolis"}, {"dangling": "personal", "personal": seeds, "start": seeds}):
-        a, b = ({r["node"]: r["score"] for r in G.pagerank(n, e, 0.4, engine=x, **options).collect()} for x in ("frames", "numpy"))
+        a, b = ({r["node"]: r["score"] for r in G.pagerank(n, e, 0.4, most_edges=x, **options).collect()} for x in (None, 2))
         assert a == pytest.approx(b, abs=1e-12) and sum(a.values()) == pytest.approx(1.0)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scholion_")]
+
+
+def test_a_node_with_half_of_all_edges_is_cut(spark):
+    import numpy as np
+
+    hot, others = 20_000, 4000
+    edges = [(0, 1 + k, 1.0) for k in range(hot)] + [(1 + k, (7 * k + j) % others, 1.0 + j) for k in range(others) for j in range(5)]
+    nodes = list(range(hot + 1))
+    e = spark.createDataFrame(edges, "src int, dst int, weight double")
+    blocks, fans = G.edge_blocks(G.transition(e), 8, 1000)
+    assert [(r["src"], r["salts"]) for r in fans.collect()] == [(0, 20)]
+    sizes = [r["count"] for r in blocks.groupBy(F.pmod(F.hash("src", "salt"), F.lit(8))).count().collect()]
+    assert sum(sizes) == len(edges) and max(sizes) < 2 * np.mean(sizes)
+    scores = spark.range(others).select(F.col("id").cast("int").alias("src"), (F.col("id") + 1.0).alias("score"))
+    a, b = ({r["dst"]: r["flow"] for r in G.flow_of(scores, *x).collect()} for x in ((blocks, fans), G.edge_blocks(G.transition(e), 8, 10**6)))
+    assert a == pytest.approx(b)
+    got = {r["node"]: r["score"] for r in G.pagerank(spark.createDataFrame([(k,) for k in nodes], "node int"), e, 0.4, most_edges=1000, iterations=3).collect()}
+    assert got == pytest.approx(G.small_pagerank(nodes, edges, 0.4, iterations=3))
