@@ -69,7 +69,9 @@ MOST_BROADCAST_ROWS = 1_000_000
 #: Pairs of one node that meet in one task.
 PAIRS_A_SALT = 2000
 _BAND = math.log(100 / (PERCENT - 0.1))
-LEAST_BITS = 512
+LEAST_BITS = 256
+#: Earlier elements by which a pair that met before is known; pairs that share none of them are only tested again.
+EARLIER = 4
 
 
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -206,8 +208,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes that signatures do not rule out, cell by cell.
 
     Rows come sorted by cell: key, band, i, part, node, root, home, other, n,
-    pos (how many elements come before the key), before (those of them that have
-    tiles), bits. In a part after the first only members that differ in `other`
+    pos (how many elements come before the key), before (the first of those that
+    have tiles), bits. In a part after the first only members that differ in `other`
     meet. Members that share an element before the key meet in its tile.
     All cells of a batch are taken at once, by the distance of two members.
     """
@@ -291,7 +293,9 @@ class _Join:
         tiles = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home"))))
         met = checkpointed(met.select("key", "node", "pos", "n", tiles.alias("x")).select("key", F.col("x.tile").alias("band"), "x.home", "node", "pos", "n"))
         filled = met.groupBy("key", "band").agg(F.count("*").alias("c"), F.max("home").alias("some")).where("c > 1 AND some").select("key", "band", "c")
-        return checkpointed(met.join(filled, ["key", "band"]))
+        out = checkpointed(met.join(filled, ["key", "band"]))
+        discard(met)
+        return out
 
     def elements(self, wanted: DataFrame) -> DataFrame:
         """node, elements of the nodes in `wanted`, read from the texts again."""
@@ -342,6 +346,7 @@ class _Join:
         on. Block i < p meets itself in cell (i, 0) and each later block j in
         cell (i, j - i), where `other` then tells the two apart.
         """
+        opened = opened.where(f"home OR {100 + PERCENT} * (n - pos) >= {2 * PERCENT} * n")  # a guest's partners are larger
         place = F.xxhash64("node", "key")
         blocks = opened.withColumns({"p": F.ceil(F.col("others") / BLOCK), "q": F.ceil(F.col("most") / BLOCK)}).withColumn("block", F.when(F.col("other"), F.pmod(place, "p")).otherwise(F.col("p") + F.pmod(place, "q")))
         cells = F.expr("""
@@ -349,7 +354,7 @@ class _Join:
                  WHEN p = 1 THEN array(struct(0L AS i, block - 1 AS part, false AS side))
                  WHEN other THEN transform(sequence(0L, p + q - 1), k -> struct(least(k, block) AS i, greatest(k, block) - least(k, block) AS part, k >= block AS side))
                  ELSE transform(sequence(0L, p - 1), k -> struct(k AS i, block - k AS part, false AS side)) END""")
-        own = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("own"))  # a node's first elements at most
+        own = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "key"))), 1, EARLIER).alias("own"))  # of a node's first elements
         held = self.nodes.select("node", "bits").join(own, "node")
         before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["key"])
         dealt = blocks.withColumn("cell", F.explode(cells)).join(held, "node")
