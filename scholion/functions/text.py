@@ -97,13 +97,12 @@ def sentence_limits(text: Column, at: Column) -> Column:
 
 
 #: Marks of contributions, and their weights.
-CONTRIBUTION_VERBS = "show|prove|describe|give|provide|present|demonstrate|explore|implement|derive|introduce|investigate|extend|address|conclude|evaluate|propose|develop|study|focus"
 CONTRIBUTION_WEIGHTS = (
     (r"this\s+(paper|work|article|chapter|tutorial)", 0.5),
     (r"(\s|^)+we\s+", 0.2),
     (r"contribution(s)?", 1.0),
     (r"\s+our\s+(result(s)+|methodology|framework|architecture)", 0.5),
-    (rf"(\s|^)+we\s+(.*)({CONTRIBUTION_VERBS})", 1.0),
+    (r"(\s|^)+we\s+(.*)(show|prove|describe|give|provide|present|demonstrate|explore|implement|derive|introduce|investigate|extend|address|conclude|evaluate|propose|develop|study|focus)", 1.0),
     (r"license|copy", -1.0),
     (r"section", -0.5),
     (r"supported|funded|grant|thank", -1.5),
@@ -171,20 +170,31 @@ def python_title(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
 
 
-#: Kinds of institutions, and what may follow their name.
-AFFIL_KINDS = ("University|Universidade|Academy|Council", "Institute", "College|Centre|Center")
-AFFIL_ENDS = (r"(?=,|\d|;|<|:|-|\.)", "$")
-#: Institution patterns in the order in which they are tried: all kinds before a mark, then all at the end of the line.
-AFFIL_PATTERNS = tuple(rf"([A-Z][^\s,.:;>]+[.]?\s[(]?)*({kind})[^,<;:.\d]*{end}" for end in AFFIL_ENDS for kind in AFFIL_KINDS)
+#: Words that make a part of an affiliation line an institution, in several languages; those of the first line count before the others.
+INSTITUTION_WORDS = (
+    "university universität universitat universitaet universidad universidade università universita université universite universiteit universitet uniwersytet academy akademie académie accademia academia",
+    "institute institut instituto istituto polytechnic polytechnique politecnico college hochschule école council laboratory laboratories hospital centre center",
+)
+#: Short forms and misreadings of such words.
+INSTITUTION_FORMS = {"univ": "university", "umversity": "university", "inst": "institute", "acad": "academy", "coll": "college"}
 
 
 def affil_name(text: Column) -> Column:
-    """The institution that an affiliation line names; empty without one."""
-    t = python_title(text)
-    for old, new in (("Univ.", "University"), ("Umversity", "University"), ("Universit", "University"), ("Universityy", "University")):
-        t = F.replace(t, F.lit(old), F.lit(new))
-    found = F.coalesce(*(F.nullif(F.regexp_extract(t, p, 0), F.lit("")) for p in AFFIL_PATTERNS), F.lit(""))
-    return F.trim(F.regexp_replace(F.translate(F.replace(F.replace(found, F.lit("-"), F.lit(" ")), F.lit("The"), F.lit("")), "()", ""), r"\s+", " "))
+    """The institution that an affiliation line names, each word capitalised; empty without one.
+
+    The line falls into parts at commas, semicolons, colons, brackets and
+    digits. The first part with a word for a university or an academy is the
+    institution, or else the first with another institution's word. Only whole
+    words count, and only a whole word "the" is taken from its front.
+    """
+    whole = text
+    for short, word in INSTITUTION_FORMS.items():
+        whole = F.regexp_replace(whole, rf"(?iU)\b{short}\b\.?", word)
+    parts = F.split(whole, r"[,;:<>()\[\]{}\d]+")
+    rank = lambda p: F.coalesce(*(F.when(p.rlike(rf"(?iU)\b({'|'.join(words.split())})\b"), k) for k, words in enumerate(INSTITUTION_WORDS)))
+    found = F.array_min(F.filter(F.transform(parts, lambda p, i: F.struct(rank(p).alias("rank"), i.alias("i"), p.alias("part"))), lambda x: x["rank"].isNotNull()))["part"]
+    bare = F.regexp_replace(F.trim(F.regexp_replace(found, r"\s+", " ")), r"(?i)^the ", "")
+    return F.coalesce(python_title(bare), F.lit(""))
 
 
 def host_tokens(url: Column) -> Column:

@@ -282,8 +282,9 @@ def venue_names(spark: SparkSession, d: str) -> DataFrame:
 #: Lines and the institutions that they name.
 AFFIL_LINES = (
     ("dept. of maths, univ. of rome, 12345", "University Of Rome"), ("georgia institute of technology, (atlanta)", "Georgia Institute Of Technology"), ("nowhere 7", ""),
-    ("the polish academy of sciences", "Polish Academy Of Sciences"), ("universita di pisa; italy", "Universitya Di Pisa"), ("imperial college-london: uk", "Imperial College London"),
+    ("the polish academy of sciences", "Polish Academy Of Sciences"), ("universita di pisa; italy", "Universita Di Pisa"), ("imperial college-london: uk", "Imperial College-London"),
     ("data centre", "Data Centre"), ("inst. x, umversity of y <b>", "University Of Y"), ("national research council", "National Research Council"),
+    ("princeton theological college, usa", "Princeton Theological College"), ("theodor heuss academy", "Theodor Heuss Academy"), ("institut 3; universität zürich", "Universität Zürich"),
 )
 
 

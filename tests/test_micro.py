@@ -239,3 +239,18 @@ def test_a_node_with_half_of_all_edges_is_cut(spark):
     assert a == pytest.approx(b)
     got = {r["node"]: r["score"] for r in G.pagerank(spark.createDataFrame([(k,) for k in nodes], "node int"), e, 0.4, most_edges=1000, iterations=3).collect()}
     assert got == pytest.approx(G.small_pagerank(nodes, edges, 0.4, iterations=3))
+
+
+def test_institutions_of_affiliation_lines(spark):
+    lines = {
+        "princeton theological college, usa": "Princeton Theological College",
+        "theodor heuss academy": "Theodor Heuss Academy",
+        "Institut für Informatik, Universität Zürich, 8050": "Universität Zürich",
+        "The  University of the Arts (London)": "University Of The Arts",
+        "Dept. X, Univ. of Y": "University Of Y",
+        "universitywide services, street 5": "",
+        "": "",
+    }
+    frame = spark.createDataFrame([(k,) for k in lines] + [(None,)], "line string")
+    got = {r["line"]: r["name"] for r in frame.select("line", T.affil_name(F.col("line")).alias("name")).collect()}
+    assert got == lines | {None: ""}
