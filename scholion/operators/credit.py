@@ -61,12 +61,6 @@ def normalised(df: DataFrame, value: str, how: str = "max") -> DataFrame:
     return df.crossJoin(F.broadcast(totals)).withColumn(value, F.coalesce(out, F.lit(0.0))).drop("_max", "_min", "_sum")
 
 
-def trimmed_mean(values: Column) -> Column:
-    """The mean of the larger half of an array's values; of one value, that value."""
-    best = F.slice(F.sort_array(values, asc=False), 1, F.greatest(F.floor(F.size(values) / 2).cast("int"), F.lit(1)))
-    return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
-
-
 def bagging(rankings: DataFrame, methods: int, key: str = "entity_id", missing: str = "best") -> DataFrame:
     """2 n - sum of 0-based ranks / methods, n being the number of entities.
 

@@ -173,6 +173,33 @@ def running_total(df: DataFrame, order: list, value: Column, name: str) -> DataF
     return parts.withColumn("_own", own).join(F.broadcast(sums), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
 
 
+def running_total_within(df: DataFrame, key: str, order: Column, value: Column, name: str) -> DataFrame:
+    """`name`: the sum of `value` over a key's rows up to this one, in an order without ties within the key.
+
+    Ranges are of key and order together, so a key with most of the rows is
+    spread over many tasks; each range adds the sums of the key's earlier ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df.withColumn("_value", value).repartitionByRange(parts, F.col(key), order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that has the key
+    sums = placed.groupBy(key, "_part").agg(F.sum("_value").alias("_sum")).select(key, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(sums, [key, "_part"]).withColumn(name, F.col("_before") + own).select(*df.columns, name)
+
+
+def upper_half_mean(df: DataFrame, key: str, value: str, name: str = "score") -> DataFrame:
+    """key, `name`: the mean of the upper half of a key's values, of the largest int(n / 2), one at least; nulls do not count.
+
+    Equal values are one row with a count. Their places from the top are running
+    totals over ranges, so no key's values are gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    totals = counts.groupBy(key).agg(F.greatest(F.floor(F.sum("_n") / 2), F.lit(1)).alias("_half"))
+    placed = running_total_within(counts, key, F.desc(value), F.col("_n"), "_to").join(totals, key)
+    taken = F.least(F.col("_n"), F.greatest(F.col("_half") - F.col("_to") + F.col("_n"), F.lit(0)))
+    return placed.withColumn("_taken", taken).groupBy(key).agg((F.sum(F.col(value) * F.col("_taken")) / F.max("_half")).alias(name))
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     """SQL over the given tables, which are named only for this call."""
     return spark.sql(sql, **tables)

@@ -438,7 +438,7 @@ def strengths_answer(spark: SparkSession, d: str) -> DataFrame:
 @query("QRY8_simulated", _answer_sql(_SIM, f"SELECT affil_id, round(list_avg(list_reverse_sort(list(n))[1:greatest(count(*) // 2, 1)]), 6) AS score FROM (SELECT run, s_nationkey AS affil_id, count(*)::DOUBLE AS n FROM drawn JOIN supplier ON member = s_suppkey GROUP BY 1, 2) GROUP BY 1"))
 def simulated_answer(spark: SparkSession, d: str) -> DataFrame:
     n = simulated(spark, d).join(affiliation(spark, d), F.col("member") == F.col("author_id")).groupBy("run", "affil_id").agg(F.count("*").cast("double").alias("n"))
-    return answer(spark, d, n.groupBy("affil_id").agg(F.collect_list("n").alias("v")).select("affil_id", C.trimmed_mean(F.col("v")).alias("score")))
+    return answer(spark, d, R.upper_half_mean(n, "affil_id", "n"))
 
 
 @query("QRY9_temporal", _answer_sql(f"{_YEARLY}, {_TREND}", "SELECT affil_id, round(sc * (1 + factor), 6) AS score FROM (SELECT affil_id, sum(score) AS sc FROM credit GROUP BY 1) JOIN tr USING (affil_id)"))

@@ -434,7 +434,7 @@ def median_year(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AG16_trimmed_mean", "WITH v AS (SELECT c_nationkey, list_reverse_sort(list(c_acctbal)) AS v FROM customer GROUP BY 1) SELECT c_nationkey, round(list_avg(v[1:greatest(len(v) // 2, 1)]), 6) AS score FROM v")
 def trimmed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("v")).select("c_nationkey", r6(C.trimmed_mean(F.col("v"))).alias("score"))
+    return R.upper_half_mean(table(spark, d, "customer"), "c_nationkey", "c_acctbal").select("c_nationkey", r6("score").alias("score"))
 
 
 _RANKINGS = f"""WITH {ctes("fact")}, {CREDIT},

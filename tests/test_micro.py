@@ -254,3 +254,16 @@ def test_institutions_of_affiliation_lines(spark):
     frame = spark.createDataFrame([(k,) for k in lines] + [(None,)], "line string")
     got = {r["line"]: r["name"] for r in frame.select("line", T.affil_name(F.col("line")).alias("name")).collect()}
     assert got == lines | {None: ""}
+
+
+def test_upper_halves_of_large_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = {0: rng.integers(0, 50, 3000).tolist(), 1: [7], 2: [1, 2, 3], 3: rng.integers(0, 9, 40).tolist(), 4: [5, 5, 5, 5]}
+    rows = [(k, float(v)) for k, own in values.items() for v in own] + [(2, None), (9, None)]
+    frame = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r["k"]: r["score"] for r in R.upper_half_mean(frame, "k", "v").collect()}
+    assert got == pytest.approx({k: float(np.mean(sorted(v, reverse=True)[: max(len(v) // 2, 1)])) for k, v in values.items()})
+    totals = R.running_total_within(frame.where("v IS NOT NULL").groupBy("k", "v").count(), "k", F.col("v").asc(), F.col("count"), "to")
+    assert max(r["to"] for r in totals.collect()) == 3000
