@@ -9,6 +9,8 @@ from scholion.fixtures import CURRENT_YEAR, OLD_YEAR, affiliation, authorship, c
 from scholion.operators import credit as C
 from scholion.operators import relational as R
 from scholion.plans.registry import query
+from scholion.runtime import scratch_file
+from scholion.sources.stored import StoredTable
 
 AGE = 0.2
 DECAY_SQL = f"exp(-{AGE} * ({CURRENT_YEAR} - greatest(least(year, {CURRENT_YEAR}), {OLD_YEAR})))"
@@ -44,17 +46,23 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
     new = s.withColumn("s_name", F.concat("s_name", F.lit("!")))
     new = new.union(new.withColumn("s_name", F.concat("s_name", F.lit("!"))))
-    return R.insert_ignore(s.where("s_suppkey % 2 = 0"), new, "s_suppkey", "s_name")
+    stored = StoredTable.create(s.where("s_suppkey % 2 = 0"), scratch_file(spark), "s_suppkey")
+    stored.insert_ignore(new, "s_name")
+    return stored.read()
 
 
 @query("SNK2_update", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier")
 def update(spark: SparkSession, d: str) -> DataFrame:
-    return R.update(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), {"s_acctbal": F.lit(0.0)}, F.col("s_acctbal") < 0)
+    stored = StoredTable.create(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), scratch_file(spark), "s_suppkey")
+    stored.update({"s_acctbal": F.lit(0.0)}, F.col("s_acctbal") < 0)
+    return stored.read()
 
 
 @query("SNK3_delete", "SELECT s_suppkey FROM supplier WHERE NOT (s_acctbal < 0)")
 def delete(spark: SparkSession, d: str) -> DataFrame:
-    return R.delete(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), F.col("s_acctbal") < 0).select("s_suppkey")
+    stored = StoredTable.create(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), scratch_file(spark), "s_suppkey")
+    stored.delete(F.col("s_acctbal") < 0)
+    return stored.read().select("s_suppkey")
 
 
 @query("FLT1_in_list", f"WITH {ctes('papers')} SELECT paper_id, year FROM papers WHERE venue = '1-URGENT' AND year IN (1996, 1997)")

@@ -11,6 +11,7 @@ from scholion.operators import metrics as M
 from scholion.operators import relational as R
 from scholion.operators import temporal as TS
 from scholion.sources import files as S
+from scholion.sources.stored import StoredTable
 
 EDGES = [("A", "B", 1.0), ("A", "C", 2.0), ("B", "C", 1.0)]
 
@@ -267,3 +268,35 @@ def test_upper_halves_of_large_groups(spark):
     assert got == pytest.approx({k: float(np.mean(sorted(v, reverse=True)[: max(len(v) // 2, 1)])) for k, v in values.items()})
     totals = R.running_total_within(frame.where("v IS NOT NULL").groupBy("k", "v").count(), "k", F.col("v").asc(), F.col("count"), "to")
     assert max(r["to"] for r in totals.collect()) == 3000
+
+
+def test_changes_rewrite_the_parts_that_they_touch(spark, tmp_path):
+    def files():
+        return {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+
+    rows = {k: float(k) for k in range(100)}
+    path = str(tmp_path / "t")
+    stored = StoredTable.create(spark.createDataFrame(list(rows.items()), "k int, v double"), path, "k", 8)
+    before = files()
+    for _ in range(2):
+        stored.update({"v": F.lit(-1.0)}, F.col("k") == 7)
+    rows[7] = -1.0
+    assert len(before & files()) == 7 and dict(stored.read().collect()) == rows
+    before = files()
+    for _ in range(2):
+        stored.delete(F.col("k").isin(3, 4))
+    del rows[3], rows[4]
+    assert len(before & files()) >= 6 and dict(stored.read().collect()) == rows
+    new = spark.createDataFrame([(5, 0.0), (300, 2.0), (300, 1.0)], "k int, v double")
+    for _ in range(2):
+        stored.insert_ignore(new, "v")
+    assert dict(stored.read().collect()) == rows | {300: 1.0} and stored.read().count() == 99
+    before = files()
+    stored.update({"v": F.lit(0.0)}, F.col("k") > 1000)
+    assert files() == before
+    with pytest.raises(ValueError):
+        stored.update({"k": F.lit(1)}, F.col("k") == 1)
+    stored.delete(F.lit(True))
+    assert stored.read().count() == 0 and not files()
+    stored.insert_ignore(new.where("k = 5"), "v")
+    assert [tuple(r) for r in stored.read().collect()] == [(5, 0.0)]
