@@ -475,7 +475,7 @@ def top_cited(spark: SparkSession, d: str) -> DataFrame:
 
 @query("QRY15_text_search", PT._search_sql(PT._BM25_PART, 10))
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(PT.benchmark_terms(spark, d), texts(spark, d), PT.text_words(), 10, "bm25")
+    return PT.stored_index(spark, d).search(PT.benchmark_terms(spark, d), 10, "bm25")
 
 
 @query("QRY16_seeded_walk", f"{PG._AFFIL_GRAPH}, {PG.walk_sql(0.3, personal='SELECT node, 1.0 AS weight FROM n WHERE node % 5 = 0', start=True)} SELECT node, round(score, 9) AS score FROM x ORDER BY round(score, 9) DESC, node LIMIT 10")

@@ -109,7 +109,7 @@ def weighted_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 @query("QRY15_tfidf_search", PT._search_sql(PT._TFIDF_PART, 10))
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(PT.benchmark_terms(spark, d), texts(spark, d), PT.text_words(), 10)
+    return PT.stored_index(spark, d).search(PT.benchmark_terms(spark, d), 10)
 
 
 @query("QRY15_citerank", f"{PG._PAPER_GRAPH}, {_MATCHED}, w AS MATERIALIZED ({PG._CITERANK}), {PG.walk_sql(0.5, personal='SELECT node, weight FROM w', dangling='personal')} SELECT node, round(score, 9) AS score FROM x WHERE node IN (FROM matched) {_BEST}")
@@ -368,16 +368,11 @@ def letor_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SNK12_index", f"WITH {PT._TF}, {PT._VOCAB} SELECT 'posting' AS kind, doc_id, term, tf::BIGINT AS n FROM tf UNION ALL SELECT 'length', doc_id, NULL, sum(tf)::BIGINT FROM tf GROUP BY doc_id UNION ALL SELECT 'frequency', NULL, term, df::BIGINT FROM v")
 def index(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_file(spark)
-    tf = checkpointed(K.term_counts(texts(spark, d), PT.text_words()))
-    S.write_index(tf, tf.groupBy("doc_id").agg(F.sum("tf").alias("length")), K.vocabulary(tf).select("term", "df"), path)
+    stored = PT.stored_index(spark, d)
     none = lambda kind: F.lit(None).cast(kind)
-    parts = [("posting", "postings", F.col("doc_id"), F.col("term"), "tf"), ("length", "lengths", F.col("doc_id"), none("string"), "length"), ("frequency", "frequencies", none("long"), F.col("term"), "df")]
-    out = None
-    for kind, name, doc, term, n in parts:
-        one = spark.read.parquet(f"{path}/{name}").select(F.lit(kind).alias("kind"), doc.alias("doc_id"), term.alias("term"), F.col(n).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    row = lambda df, kind, doc, term, n: df.select(F.lit(kind).alias("kind"), doc.alias("doc_id"), term.alias("term"), F.col(n).alias("n"))
+    out = row(stored.postings(), "posting", F.col("doc_id"), F.col("term"), "tf")
+    return out.unionByName(row(stored.lengths(), "length", F.col("doc_id"), none("string"), "length")).unionByName(row(stored.frequencies(), "frequency", none("long"), F.col("term"), "df"))
 
 
 @query("TXT27_file_names", "SELECT page_id, translate(url, ' /', '++') AS name FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
@@ -11,9 +13,10 @@ from scholion.functions import text as T
 from scholion.operators import corpus as K
 from scholion.operators import credit as C
 from scholion.operators import relational as R
+from scholion.operators.index import StoredIndex
 from scholion.plans.registry import query
 from scholion.plans.relational import r6
-from scholion.runtime import checkpointed
+from scholion.runtime import checkpointed, scratch_file
 from scholion.sources import files as S
 
 
@@ -75,6 +78,19 @@ def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.size("p").alias("n"), F.array_join("p", "\n").alias("text"))
 
 
+_indexes: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def stored_index(spark: SparkSession, d: str) -> StoredIndex:
+    """The index of the documents' whole texts, written once for a context and folder."""
+    known = _indexes.setdefault(spark.sparkContext, {})
+    if d not in known:
+        path = scratch_file(spark)
+        StoredIndex.write(texts(spark, d), text_words(), path)
+        known[d] = path
+    return StoredIndex(spark, known[d])
+
+
 def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text_words())).alias("term"))
 
@@ -95,17 +111,17 @@ _BM25_PART = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DO
 
 @query("SRC12_search_all_terms", _search_sql(_TFIDF_PART, 20, True))
 def search_all(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20, mode="all")
+    return stored_index(spark, d).search(benchmark_terms(spark, d), 20, mode="all")
 
 
 @query("TXT10_tfidf_search", _search_sql(_TFIDF_PART, 20))
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20)
+    return stored_index(spark, d).search(benchmark_terms(spark, d), 20)
 
 
 @query("TXT11_bm25_search", _search_sql(_BM25_PART, 20))
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.search(benchmark_terms(spark, d), texts(spark, d), text_words(), 20, "bm25")
+    return stored_index(spark, d).search(benchmark_terms(spark, d), 20, "bm25")
 
 
 _SCORES = f"""WITH {_TF}, {_VOCAB}, {_Q}, parts AS MATERIALIZED (SELECT query_id, doc_id, term, {_TFIDF_PART} AS part FROM q JOIN tf USING (term) JOIN v USING (term) JOIN len USING (doc_id), c),
@@ -116,16 +132,15 @@ s AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM parts GROUP BY
 def scores_of_given(spark: SparkSession, d: str) -> DataFrame:
     """The best score that any query gives to each labelled document, 0 where it has none of their terms."""
     given = table(spark, d, "labels").select("doc_id").distinct()
-    best = K.scores(benchmark_terms(spark, d), texts(spark, d), text_words(), given=given).groupBy("doc_id").agg(F.max("score").alias("score"))
+    best = stored_index(spark, d).scores(benchmark_terms(spark, d), given).groupBy("doc_id").agg(F.max("score").alias("score"))
     return given.join(best, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 @query("SRC14_explain", f"{_SCORES}, top AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 20) SELECT query_id, doc_id, term, round(part, 6) AS part FROM parts JOIN top USING (query_id, doc_id)")
 def explain(spark: SparkSession, d: str) -> DataFrame:
     """All terms' parts of the scores of a search's results."""
-    parts = checkpointed(K.query_parts(benchmark_terms(spark, d), texts(spark, d), text_words()))
-    s = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return parts.join(C.top_k(s, ("query_id",), "score", "doc_id", 20), ["query_id", "doc_id"]).select("query_id", "doc_id", "term", r6("part").alias("part"))
+    index, q = stored_index(spark, d), benchmark_terms(spark, d)
+    return index.explained(q, index.search(q, 20)).select("query_id", "doc_id", "term", r6("part").alias("part"))
 
 
 @query("TXT1_tokens", f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
@@ -185,14 +200,15 @@ y AS MATERIALIZED (SELECT item_id, term, b.tf * (ln(n / (df + 1)) + 1) AS value
 nx AS (SELECT doc_id, sqrt(sum(value * value)) AS n FROM x GROUP BY 1), ny AS (SELECT item_id, sqrt(sum(value * value)) AS n FROM y GROUP BY 1)
 SELECT item_id AS a_id, doc_id AS b_id, round(d / (nx.n * ny.n), 6) AS similarity FROM (SELECT item_id, doc_id, sum(x.value * y.value) AS d FROM x JOIN y USING (term) GROUP BY 1, 2) JOIN nx USING (doc_id) JOIN ny USING (item_id) WHERE d / (nx.n * ny.n) >= 0.1""")
 def cosine(spark: SparkSession, d: str) -> DataFrame:
-    return similarities(spark, d).where("similarity >= 0.1").withColumn("similarity", r6("similarity"))
+    return K.cosine_join(*vectors(spark, d), 0.1).withColumn("similarity", r6("similarity"))
 
 
-def similarities(spark: SparkSession, d: str) -> DataFrame:
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF vectors of the benchmark and of the documents."""
     tf = K.term_counts(texts(spark, d), text_words())
     v = K.kept_terms(K.vocabulary(tf), texts(spark, d).agg(F.count("*").alias("n")))
     items = K.term_counts(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), text_words())
-    return K.cosine(K.tfidf(items, v).withColumnRenamed("doc_id", "id"), K.tfidf(tf, v).withColumnRenamed("doc_id", "id"))
+    return K.tfidf(items, v).withColumnRenamed("doc_id", "id"), K.tfidf(tf, v).withColumnRenamed("doc_id", "id")
 
 
 _CONV = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS context FROM conversations"

@@ -126,9 +126,3 @@ def write_letor(df: DataFrame, path: str, target: str, query: str, features: lis
     """`target qid:q 1:v 2:v`, the target being 10 times the score, rounded."""
     line = F.concat_ws(" ", F.round(10 * F.col(target)).cast("long").cast("string"), F.concat(F.lit("qid:"), F.col(query)), *(F.concat(F.lit(f"{k}:"), F.col(f)) for k, f in enumerate(features, 1)))
     df.select(line.alias("value")).write.mode("overwrite").text(path)
-
-
-def write_index(tf: DataFrame, lengths: DataFrame, frequencies: DataFrame, path: str) -> None:
-    """The three tables of a full-text index."""
-    for name, df in (("postings", tf), ("lengths", lengths), ("frequencies", frequencies)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
