@@ -10,6 +10,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.operators.credit import top_k
+from scholion.operators.relational import running_total
+from scholion.runtime import checkpointed
+
 
 def uniform(*parts: str | F.Column) -> F.Column:
     """A number in (0, 1) from the md5 of the parts: the same in any engine."""
@@ -17,15 +21,36 @@ def uniform(*parts: str | F.Column) -> F.Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def weighted_draws(draws: DataFrame, members: DataFrame, run: str, sizes: str) -> DataFrame:
-    """Members drawn without replacement for each draw (run, draw, size), with odds by weight.
+def weighted_draws(draws: DataFrame, members: DataFrame, run: str, sizes: str, first: int = 16) -> DataFrame:
+    """Members drawn without replacement for each draw (run, draw, size), with odds by weight, a count of at least 1.
 
-    Each member of a draw gets the key -ln(u) / weight, and those with the
-    smallest keys are taken.
+    An attempt is a uniform number among the members' running weights; a member
+    met before is drawn again. As many bins as members, of equal weight, turn
+    the search into a join: a heavy member is in several bins, and a bin has no
+    more members than the mean weight and one. A draw whose attempts do not
+    suffice gets twice as many, so the work is draws times their sizes, and more
+    only where few members have nearly all the weight. A draw of more members
+    than there are takes them all.
     """
-    met = draws.crossJoin(F.broadcast(members)).withColumn("_key", -F.log(uniform(run, "draw", "member")) / F.col("weight"))
-    w = Window.partitionBy(run, "draw").orderBy("_key", "member")
-    return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col(sizes)).select(run, "draw", "member")
+    to = checkpointed(running_total(members.select("member", F.col("weight").cast("long").alias("weight")), [F.asc("member")], F.col("weight"), "_to"))
+    total, n = to.agg(F.coalesce(F.max("_to"), F.lit(0)), F.count("*")).first()
+    if not n:
+        return draws.select(run, "draw").crossJoin(members.select("member")).limit(0)
+    bin_of = lambda x: F.floor(x.cast("double") * n / total)
+    binned = checkpointed(to.select("member", (F.col("_to") - F.col("weight")).alias("_from"), "_to").select("*", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))).alias("_bin")))
+    wanted = draws.select(run, "draw", F.least(sizes, F.lit(n)).alias("_k"))
+    left, met, lo, hi = wanted, None, 0, first
+    while True:
+        tried = left.select(run, "draw", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("_try")).withColumn("_x", uniform(run, "draw", "_try") * total)
+        found = tried.withColumn("_bin", bin_of(F.col("_x"))).join(binned, "_bin").where("_x >= _from AND _x < _to").select(run, "draw", "member", "_try")
+        met = checkpointed((found if met is None else met.unionByName(found)).groupBy(run, "draw", "member").agg(F.min("_try").alias("_try")))
+        got = met.groupBy(run, "draw").agg(F.count("*").alias("_got"))
+        left = checkpointed(wanted.join(got, [run, "draw"]).where("_got < _k").select(run, "draw", "_k"))
+        if left.isEmpty():
+            break
+        lo, hi = hi, 2 * hi
+    w = Window.partitionBy(run, "draw").orderBy("_try")
+    return met.join(wanted, [run, "draw"]).withColumn("_r", F.row_number().over(w)).where("_r <= _k").select(run, "draw", "member")
 
 
 def windowed_features(yearly: DataFrame, widths: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
@@ -48,27 +73,73 @@ def fit_trees(train: DataFrame, features: list[str], target: str, trees: int = 2
     return a, GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.7, seed=7).fit(a.transform(train))
 
 
-def theil_sen(x: np.ndarray, y: np.ndarray, samples: int = 500, seed: int = 42) -> np.ndarray:
-    """Coefficients (intercept first): the medians of least-squares fits to random subsets of as many rows as coefficients."""
+def theil_sen(train: DataFrame, features: list[str], target: str, key: list[str], samples: int = 500, seed: int = 42) -> np.ndarray:
+    """Coefficients (intercept first): the medians of least-squares fits to random subsets of as many rows as coefficients.
+
+    Every row can be drawn: rows are numbered by `key`, and only those of the
+    drawn numbers, samples times coefficients at most, come to the driver.
+    """
+    rows = checkpointed(running_total(train.select(*key, *features, target), [F.asc(k) for k in key], F.lit(1), "_n"))
+    n, size = rows.count(), len(features) + 1
+    if n < size:
+        raise ValueError(f"{n} rows cannot determine {size} coefficients")
     rng = np.random.default_rng(seed)
-    a = np.column_stack([np.ones(len(y)), x])
-    fits = []
-    for _ in range(samples):
-        pick = rng.choice(len(y), a.shape[1], replace=False)
-        fits.append(np.linalg.lstsq(a[pick], y[pick], rcond=None)[0])
+    picks = [(s, int(i) + 1) for s in range(samples) for i in rng.choice(n, size, replace=False)] if n < 1 << 20 else [(s, int(i) + 1) for s in range(samples) for i in _distinct(rng, n, size)]
+    drawn = rows.join(F.broadcast(train.sparkSession.createDataFrame(picks, "_s int, _n long")), "_n").orderBy("_s", "_n").select("_s", *(F.col(c).cast("double") for c in (*features, target))).toPandas()
+    fits = [np.linalg.lstsq(np.column_stack([np.ones(size), g[features].to_numpy()]), g[target].to_numpy(), rcond=None)[0] for _, g in drawn.groupby("_s")]
     return np.median(fits, axis=0)
 
 
-def pairwise_ranker(x: np.ndarray, y: np.ndarray, query: np.ndarray, epochs: int = 200, rate: float = 0.1) -> np.ndarray:
-    """Weights of a linear ranker by logistic loss on the differences of pairs of a query with unlike relevance."""
-    pairs = [(i, j) for q in np.unique(query) for i in np.flatnonzero(query == q) for j in np.flatnonzero(query == q) if y[i] > y[j]]
-    if not pairs:
-        return np.zeros(x.shape[1])
-    d = np.array([x[i] - x[j] for i, j in pairs])
-    w = np.zeros(x.shape[1])
-    for _ in range(epochs):
-        w += rate * (d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(0)
-    return w
+def _distinct(rng: np.random.Generator, n: int, size: int) -> set[int]:
+    """`size` different numbers below a large n."""
+    out: set[int] = set()
+    while len(out) < size:
+        out.add(int(rng.integers(n)))
+    return out
+
+
+def ndcg_by_query(ranked: DataFrame, query: list[str], score: str, tie: str, target: str, k: int) -> DataFrame:
+    """query, dcg: the gains of a query's k best rows by score (ties by `tie`), over log2 of place + 1."""
+    top = top_k(ranked, tuple(query), score, tie, k)
+    return top.groupBy(*query).agg(F.sum(F.col(target) / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+
+
+def ada_rank(train: DataFrame, features: list[str], target: str, query: str, tie: str, rounds: int = 10, k: int = 20, stop: float = 1e-6) -> dict[str, float]:
+    """Weights of features (over their largest absolute value) of a ranker boosted by NDCG at k of each query.
+
+    The weak rankers are the features. Their NDCG by query is worked out once;
+    a round takes the feature of the largest mean under the queries' weights p,
+    adds half the log of sum p (1 + E) / sum p (1 - E) to its weight, and ranks
+    all rows by the sum, queries with a low NDCG weighing exp(-NDCG). It is one
+    job, whose result has a row for each feature; rows and queries' weights stay
+    in frames. Ends after `rounds`, or once the mean NDCG does not rise by
+    `stop`; that round is undone. Queries without gains are left out.
+    """
+    most = train.agg(*(F.max(F.abs(F.col(f))).cast("double").alias(f) for f in features)).first().asDict()
+    scaled = checkpointed(train.select(query, tie, F.col(target).cast("double").alias(target), *((F.col(f) / (most[f] or 1.0)).alias(f) for f in features)))
+    ideal = ndcg_by_query(scaled.withColumn("_s", F.col(target)), [query], "_s", tie, target, k).where("dcg > 0").withColumnRenamed("dcg", "_best")
+    one = scaled.select(query, tie, target, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("_s")) for f in features))).alias("_f")).select(query, tie, target, "_f.*")
+    weak = checkpointed(ndcg_by_query(one, [query, "feature"], "_s", tie, target, k).join(ideal, query).select(query, "feature", (F.col("dcg") / F.col("_best")).alias("e")))
+    best = checkpointed(ideal)
+    weights, last = dict.fromkeys(features, 0.0), None
+    for turn in range(rounds + 1):  # the last turn only judges the one before
+        if last is None:
+            now = best.select(query, F.lit(0.0).alias("_e"))
+        else:
+            ranked = scaled.withColumn("_s", sum((F.col(f) * w for f, w in weights.items() if w), F.lit(0.0)))
+            now = ndcg_by_query(ranked, [query], "_s", tie, target, k).join(best, query).select(query, (F.col("dcg") / F.col("_best")).alias("_e"))
+        p = F.exp(-F.col("_e"))
+        sums = weak.join(now, query).groupBy("feature").agg(F.sum(p * F.col("e")).alias("pe"), F.sum(p).alias("p"), F.avg("_e").alias("mean")).collect()  # a row for each feature
+        if not sums:
+            break
+        if last is not None and sums[0]["mean"] <= last[0] + stop:
+            weights = last[1]
+            break
+        pick = min(sums, key=lambda r: (-round(r["pe"] / r["p"], 12), features.index(r["feature"])))
+        last = (sums[0]["mean"] if last is not None else -1.0, dict(weights))
+        if turn < rounds:
+            weights[pick["feature"]] += 0.5 * float(np.log((pick["p"] + pick["pe"]) / max(pick["p"] - pick["pe"], 1e-9 * pick["p"])))
+    return {f: w / (most[f] or 1.0) for f, w in weights.items()}
 
 
 def simplex(v: np.ndarray) -> np.ndarray:

@@ -135,19 +135,13 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, d, lambda t, n: L.fit_trees(t, n, "target"))
 
 
-#: Models that are fitted in the driver learn from at most so many rows, those whose keys have the smallest md5.
-MOST_TRAINING_ROWS = 10_000
-
-
-@query("ML8_pairwise_ranker")
-def pairwise(spark: SparkSession, d: str) -> DataFrame:
+@query("ML8_ada_rank")
+def ada_rank(spark: SparkSession, d: str) -> DataFrame:
+    """A ranker of a year's institutions, boosted by NDCG at 20 over all years."""
     train, names = training(spark, d)
-    t = R.sampled(train.withColumn("_k", F.concat_ws("|", "affil_id", "year")), "_k", MOST_TRAINING_ROWS).toPandas()
-    x = t[names].to_numpy(float)
-    scale = x.max(0) + 1e-9
-    w = L.pairwise_ranker(x / scale, t["target"].to_numpy().round(1), t["year"].to_numpy())
+    w = L.ada_rank(train, names, "target", "year", "affil_id")
     last = papers(spark, d).agg(F.max("year").alias("year"))
-    score = sum((F.col(c) * float(v / s) for c, v, s in zip(names, w, scale, strict=True)), F.lit(0.0))
+    score = sum((F.col(c) * v for c, v in w.items()), F.lit(0.0))
     return features(spark, d).join(F.broadcast(last), "year").select("affil_id", score.alias("score"))
 
 
@@ -160,11 +154,15 @@ def strengths(spark: SparkSession, d: str) -> DataFrame:
 
 #: The simulation's papers a run, and runs.
 RUNS, DRAWS = 20, 200
+#: Attempts of a draw in the SQL twin: more than any needs, where the operator adds them until a draw is full.
+TRIES = 96
 _SIM = f"""WITH {ctes("fact")}, sizes AS (SELECT k, row_number() OVER (ORDER BY k) AS i, round({DRAWS} * n / sum(n) OVER ())::INT AS c FROM (SELECT k, count(*) AS n FROM (SELECT paper_id, count(*) AS k FROM authorship GROUP BY 1) GROUP BY 1)),
 draws AS (SELECT run::INT AS run, k * 1000 + j AS draw, k FROM sizes, range({RUNS}) AS r(run), range(c) AS t(j)),
 w AS (SELECT author_id AS member, count(*)::DOUBLE AS weight FROM authorship GROUP BY 1),
-keyed AS (SELECT run, draw, k, member, -ln((('0x' || substr(md5(run || '|' || draw || '|' || member), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS key FROM draws, w),
-drawn AS (SELECT run, draw, member FROM (SELECT *, row_number() OVER (PARTITION BY run, draw ORDER BY key, member) AS r FROM keyed) WHERE r <= k)"""
+c AS MATERIALIZED (SELECT member, (hi - weight)::DOUBLE AS lo, max(hi) OVER () AS total, count(*) OVER () AS n FROM (SELECT *, sum(weight) OVER (ORDER BY member) AS hi FROM w)),
+tried AS MATERIALIZED (SELECT run, draw, k, a, (('0x' || substr(md5(run || '|' || draw || '|' || a), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE * (SELECT max(total) FROM c) AS x FROM draws, range({TRIES}) AS t(a)),
+met AS (SELECT run, draw, k, n, member, min(a) AS a FROM tried ASOF JOIN c ON x >= lo GROUP BY ALL),
+drawn AS (SELECT run, draw, member FROM (SELECT *, row_number() OVER (PARTITION BY run, draw ORDER BY a) AS r FROM met) WHERE r <= least(k, n))"""
 
 
 def simulated(spark: SparkSession, d: str) -> DataFrame:
@@ -195,6 +193,10 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
     return TS.autoregression(series(spark, d), "affil_id").select("affil_id", F.round("forecast", 5).alias("forecast"))
 
 
+#: The classifier learns from at most so many labelled rows, those whose ids have the smallest md5.
+MOST_LABELLED_ROWS = 10_000
+
+
 @query("ML13_keyword_classifier")
 def keyword_classifier(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -203,7 +205,7 @@ def keyword_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", PT.text_words().alias("words"))
     x = HashingTF(inputCol="words", outputCol="features", numFeatures=256).transform(docs)
     indexed = StringIndexer(inputCol="lang", outputCol="label").fit(x).transform(x)
-    model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(R.sampled(indexed, "doc_id", MOST_TRAINING_ROWS))
+    model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(R.sampled(indexed, "doc_id", MOST_LABELLED_ROWS))
     return model.transform(indexed).select("doc_id", "label", "prediction")
 
 

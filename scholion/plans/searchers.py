@@ -210,15 +210,14 @@ def temporal_authors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("QRY10_learn_to_rank")
 def learn_to_rank(spark: SparkSession, d: str) -> DataFrame:
-    return PR.answer(spark, d, PR.pairwise(spark, d))
+    return PR.answer(spark, d, PR.ada_rank(spark, d))
 
 
 @query("ML6_theil_sen")
 def theil_sen(spark: SparkSession, d: str) -> DataFrame:
-    """The default regression: medians of the fits of random subsets of a bounded sample."""
+    """The default regression: medians of the fits of random subsets of all rows."""
     train, names = PR.training(spark, d)
-    rows = R.sampled(train.withColumn("_k", F.concat_ws("|", "affil_id", "year")), "_k", PR.MOST_TRAINING_ROWS).toPandas()
-    w = L.theil_sen(rows[names].to_numpy(float), rows["target"].to_numpy(float))
+    w = L.theil_sen(train, names, "target", ["affil_id", "year"])
     last = papers(spark, d).agg(F.max("year").alias("year"))
     score = sum((F.col(c) * float(v) for c, v in zip(names, w[1:], strict=True)), F.lit(float(w[0])))
     return PR.features(spark, d).join(F.broadcast(last), "year").select("affil_id", score.alias("score"))

@@ -158,20 +158,79 @@ def test_files(spark, tmp_path):
     assert sorted(r["title"] for r in S.read_result_lists(spark, str(tmp_path / "q.txt")).collect()) == ["Other", "Title"]
 
 
-def test_learning():
+def test_learning(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
     x = rng.random((60, 2))
     y = 1 + 2 * x[:, 0] - x[:, 1]
-    assert np.allclose(L.theil_sen(x, y), [1, 2, -1], atol=1e-6)
-    w = L.pairwise_ranker(x, y.round(1), np.zeros(60))
-    assert np.corrcoef(x @ w, y)[0, 1] > 0.95
+    rows = spark.createDataFrame([(k, float(a), float(b), float(v)) for k, ((a, b), v) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y double")
+    assert np.allclose(L.theil_sen(rows, ["a", "b"], "y", ["id"], samples=40), [1, 2, -1], atol=1e-6)
     assert np.allclose(L.simplex(np.array([0.5, 0.9, -1.0])), [0.3, 0.7, 0.0])
     best, value, _ = L.bayesian_search(lambda p: -((p["a"] - 0.3) ** 2), {"a": (0.0, 1.0)}, rounds=8)
     assert abs(best["a"] - 0.3) < 0.1 and value <= 0
 
 
+def plain_ada_rank(rows, features, rounds, k, stop=1e-6):
+    """rows: query, id, target, features."""
+    from math import exp, log, log2
+
+    top = [max(abs(r[3 + i]) for r in rows) or 1.0 for i in range(features)]
+    queries = sorted({r[0] for r in rows})
+
+    def dcg(q, score):
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-score(r), r[1]))[:k]
+        return sum(r[2] / log2(n + 2) for n, r in enumerate(mine))
+
+    ideal = {q: dcg(q, lambda r: r[2]) for q in queries}
+    queries = [q for q in queries if ideal[q] > 0]
+    e = [{q: dcg(q, lambda r, i=i: r[3 + i] / top[i]) / ideal[q] for q in queries} for i in range(features)]
+    w, before, mean = [0.0] * features, None, -1.0
+    p = dict.fromkeys(queries, 1.0)
+    for _ in range(rounds):
+        before = list(w)
+        i = max(range(features), key=lambda i: (round(sum(p[q] * e[i][q] for q in queries) / sum(p.values()), 12), -i))
+        pe, all_p = sum(p[q] * e[i][q] for q in queries), sum(p.values())
+        w[i] += 0.5 * log((all_p + pe) / max(all_p - pe, 1e-9 * all_p))
+        now = {q: dcg(q, lambda r: sum(a * r[3 + j] / top[j] for j, a in enumerate(w))) / ideal[q] for q in queries}
+        if sum(now.values()) / len(now) <= mean + stop:
+            w = before
+            break
+        mean = sum(now.values()) / len(now)
+        p = {q: exp(-now[q]) for q in queries}
+    return [a / t for a, t in zip(w, top, strict=True)]
+
+
+def test_ada_rank_is_the_plain_one(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for q in range(12):
+        for k in range(40 if q else 300):  # one query has most rows
+            good = draw.random()
+            rows.append((q, k, float(round(4 * good)) if q != 5 else 0.0, good + draw.gauss(0, 0.5 + 0.1 * q), 10 * (good + draw.gauss(0, 1.2 - 0.1 * q)), draw.random()))
+    df = spark.createDataFrame(rows, "q int, id int, t double, f0 double, f1 double, f2 double")
+    for rounds in (1, 6):
+        got = L.ada_rank(df, ["f0", "f1", "f2"], "t", "q", "id", rounds=rounds, k=20)
+        assert list(got.values()) == pytest.approx(plain_ada_rank(rows, 3, rounds, 20), abs=1e-9)
+        assert sum(v > 0 for v in got.values()) >= 1
+    assert set(L.ada_rank(df.where("q = 5"), ["f0", "f1"], "t", "q", "id").values()) == {0.0}
+
+
+def test_weighted_draws(spark):
+    members = spark.createDataFrame([(m, w) for m, w in enumerate([500, 1, 1, 1, 300, 1, 1, 1, 1, 193])], "member int, weight long")
+    draws = spark.createDataFrame([(r, k, 1 + k % 3) for r in range(4) for k in range(300)] + [(9, 0, 99)], "run int, draw int, k int")
+    got = L.weighted_draws(draws, members, "run", "k", first=2).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["run"], r["draw"]), []).append(r["member"])
+    assert all(len(v) == len(set(v)) == (10 if k == (9, 0) else 1 + k[1] % 3) for k, v in sizes.items()) and len(sizes) == 1201
+    single = [v[0] for (run, k), v in sizes.items() if run < 9 and k % 3 == 0]
+    assert abs(single.count(0) / len(single) - 0.5) < 0.07 and abs(single.count(4) / len(single) - 0.3) < 0.07
+    assert L.weighted_draws(draws, members.limit(0), "run", "k").count() == 0
+
+
 def test_high_runs_and_betweenness():
     assert TS.high_runs([1, 2, -5, 3], 3) == [(0, 1), (3, 3)]
     assert G.betweenness([("a", "b"), ("b", "c")]) == {"a": 0.0, "b": 0.5, "c": 0.0}
