@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -296,6 +297,56 @@ def jaro_winkler_similarity(a: str, b: str, scale: float = 0.1) -> float:
     return jaro + prefix * scale * (1 - jaro) if jaro > 0.7 else jaro
 
 
+#: Cells (pairs times characters of the longer side) that a step of the kernel holds.
+KERNEL_CELLS = 1 << 20
+
+
+def _codes(names: list[str], width: int, blank: int) -> np.ndarray:
+    """Code points of the names, a row each, filled up with `blank`."""
+    out = np.full((len(names), width), blank, np.int32)
+    for row, name in zip(out, names, strict=True):
+        row[: len(name)] = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str], scale: float = 0.1) -> np.ndarray:
+    """`jaro_winkler_similarity` of many pairs at once: each step places one character of all left names."""
+    if not a:
+        return np.zeros(0)
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    width = max(int(la.max()), int(lb.max()), 4)
+    x, y = _codes(a, width, -1), _codes(b, width, -2)
+    rows, place = np.arange(len(a)), np.arange(width)
+    reach = (np.maximum(la, lb) // 2 - 1)[:, None]
+    from_a, used = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    for i in range(int(la.max())):
+        fits = (y == x[:, i : i + 1]) & ~used & (np.abs(place - i) <= reach)
+        at = fits.argmax(1)
+        hit = fits[rows, at]
+        from_a[:, i] = hit
+        used[rows[hit], at[hit]] = True
+    m = from_a.sum(1)
+    in_order = lambda codes, taken: np.take_along_axis(codes, np.argsort(~taken, axis=1, kind="stable"), 1)
+    moved = ((in_order(x, from_a) != in_order(y, used)) & (place < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3, 0.0)
+    prefix = np.cumprod(x[:, :4] == y[:, :4], axis=1).sum(1)
+    out = np.where(jaro > 0.7, jaro + prefix * scale * (1 - jaro), jaro)
+    out[np.array([p == q for p, q in zip(a, b, strict=True)])] = 1.0
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Pairs are compared by length, so that a long name widens only its own step."""
+    out = np.full(len(a), np.nan)
+    given = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    longest = np.maximum(a.str.len().to_numpy(float), b.str.len().to_numpy(float))
+    order = given[np.argsort(longest[given], kind="stable")]
+    k = 0
+    while k < len(order):
+        step = max(1, KERNEL_CELLS // max(4, int(longest[order[min(len(order) - 1, k + KERNEL_CELLS // 64)]])))
+        part = order[k : k + min(step, KERNEL_CELLS // 64)]
+        out[part] = jaro_winkler_pairs(a.iloc[part].tolist(), b.iloc[part].tolist())
+        k += len(part)
+    return pd.Series([None if np.isnan(v) else v for v in out], dtype="float64")

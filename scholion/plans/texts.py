@@ -11,7 +11,7 @@ from pyspark.sql import types as TT
 from scholion.fixtures import table, texts
 from scholion.functions import text as T
 from scholion.operators import corpus as K
-from scholion.operators import credit as C
+from scholion.operators import fuzzy as Z
 from scholion.operators import relational as R
 from scholion.operators.index import StoredIndex
 from scholion.plans.registry import query
@@ -345,6 +345,6 @@ WITH q AS (SELECT c_custkey, c_nationkey, c_name || 'x' AS name FROM customer),
   SELECT q.c_custkey, s.s_name, round(jaro_winkler_similarity(q.name, s.s_name), 6) AS s FROM q JOIN supplier s ON c_nationkey = s_nationkey)
 SELECT c_custkey, s_name, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC, s_name) AS r FROM m WHERE s >= 0.6) WHERE r = 1""")
 def fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat("c_name", F.lit("x")).alias("name"))
-    m = q.join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_name", r6(T.jaro_winkler("name", "s_name")).alias("similarity"))
-    return C.top_k(m.where("similarity >= 0.6"), ("c_custkey",), "similarity", "s_name", 1).drop("rank")
+    q = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.concat("c_name", F.lit("x")).alias("name"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    return q.join(Z.best_matches(q, s, "nation", "name", 0.6), ["nation", "name"]).select("c_custkey", F.col("match").alias("s_name"), "similarity")
