@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.operators.credit import top_k
-from scholion.operators.relational import running_total
-from scholion.runtime import checkpointed
+from scholion.operators.relational import running_total, sampled
+from scholion.runtime import checkpointed, discard
 
 
 def uniform(*parts: str | F.Column) -> F.Column:
@@ -142,34 +145,127 @@ def ada_rank(train: DataFrame, features: list[str], target: str, query: str, tie
     return {f: w / (most[f] or 1.0) for f, w in weights.items()}
 
 
-def simplex(v: np.ndarray) -> np.ndarray:
-    """The nearest point of the probability simplex."""
-    u = np.sort(v)[::-1]
-    shift = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
-    k = np.flatnonzero(u > shift)[-1]
-    return np.maximum(v - shift[k], 0)
+def onto_simplex(moved: DataFrame, start: float | None = None) -> tuple[float, float]:
+    """The threshold that projects `y` onto the probability simplex as max(y - threshold, 0), and the change from `s` in L1.
+
+    Newton steps on the sum, each one aggregation: the rows over the threshold
+    give the next one, until the same rows are over it. `start` is a guess.
+    """
+    over, last = start, None
+    while True:
+        above = F.lit(True) if over is None else F.col("y") > over
+        new = F.greatest(F.col("y") - (0.0 if over is None else over), F.lit(0.0))
+        r = moved.agg(F.sum(F.when(above, F.col("y"))).alias("sum"), F.count(F.when(above, True)).alias("n"), F.sum(F.abs(new - F.col("s"))).alias("change")).first()
+        if not r["n"]:
+            over, last = None, None
+            continue
+        if over is not None and r["n"] == last:
+            return over, r["change"]
+        over, last = (r["sum"] - 1) / r["n"], r["n"]
+
+
+def pairwise_strengths(edges: DataFrame, affils: DataFrame, beta: float = 0.1, tolerance: float = 1e-8, most_steps: int = 500) -> DataFrame:
+    """affil_id, score: strengths on the simplex, where each citation a -> b says that b's institutions outweigh a's.
+
+    Maximises sum w beta D - n ln(1 + exp(beta D)), D = s(b's) - s(a's), a concave
+    function, by projected gradient with the step that its curvature allows,
+    until the change in L1 is under `tolerance`. Pairs of institutions, strengths
+    and gradients are frames. A step is one write, with partial sums of the
+    gradient before the shuffle, and the aggregations of the projection; only
+    sums come to the driver. An institution without a pair has no row; no pairs
+    give no rows.
+    """
+    f = affils.select("author_id", "affil_id")
+    met = edges.join(f.select(F.col("author_id").alias("a"), F.col("affil_id").alias("fa")), "a").join(f.select(F.col("author_id").alias("b"), F.col("affil_id").alias("fb")), "b")
+    pairs = checkpointed(met.where("fa <> fb").groupBy("fa", "fb").agg(F.sum("weight").cast("double").alias("w"), F.count("*").cast("double").alias("n")))
+    ends = pairs.select(F.explode(F.array("fa", "fb")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("degree"))
+    nodes = checkpointed(ends)
+    size, most = nodes.agg(F.count("*"), F.max("degree")).first()
+    if not size:
+        return nodes.select(F.col("node").alias("affil_id"), F.col("degree").alias("score"))
+    rate = 2 / (beta * beta * most)
+    now, written, over = nodes.select("node", F.lit(1.0 / size).alias("s")), None, None
+    for _ in range(most_steps):
+        sides = pairs.join(now.select(F.col("node").alias("fa"), F.col("s").alias("sa")), "fa").join(now.select(F.col("node").alias("fb"), F.col("s").alias("sb")), "fb")
+        g = beta * (F.col("w") - F.col("n") / (1 + F.exp(-beta * (F.col("sb") - F.col("sa")))))
+        slope = sides.select(F.explode(F.array(F.struct(F.col("fb").alias("node"), g.alias("g")), F.struct(F.col("fa").alias("node"), (-g).alias("g")))).alias("_e")).groupBy("_e.node").agg(F.sum("_e.g").alias("g"))
+        moved = checkpointed(now.join(slope, "node").select("node", "s", (F.col("s") + rate * F.col("g")).alias("y")))
+        over, change = onto_simplex(moved, over)
+        if written is not None:
+            discard(written)
+        written, now = moved, moved.select("node", F.greatest(F.col("y") - over, F.lit(0.0)).alias("s"))
+        if change < tolerance:
+            break
+    return now.select(F.col("node").alias("affil_id"), F.col("s").alias("score"))
 
 
-def pairwise_strengths(edges: DataFrame, affils: DataFrame, beta: float = 0.1, steps: int = 20, rate: float = 0.05) -> dict:
-    """Strengths on the simplex: each citation a -> b says that b's institutions outweigh a's.
+class KeywordClassifier:
+    """Which of several keywords a text has: a logistic model for each, over one TF-IDF space, with a threshold of its own.
 
-    Maximises sum w beta D - ln(1 + exp(beta D)), D = s(b's) - s(a's), by
-    projected gradient. A step is one aggregation over the pairs of
-    institutions; only the strengths are on the driver.
+    `rows` have `key`, `words` (an array) and `keywords` (an array, null where
+    unknown). The space and its document frequencies come from all rows. Models
+    learn from at most `most_rows` labelled rows, those with the smallest md5 of
+    the key, whose crc32 of the key mod 5 is over 1. Thresholds are those of the
+    largest F1 on all labelled rows where it is 1, from counts by bins of scores.
+    Where it is 0, rows are held out. A keyword that no row for learning has is
+    never found.
     """
-    f = affils.select("author_id", "affil_id")
-    pairs = edges.join(f.select(F.col("author_id").alias("a"), F.col("affil_id").alias("fa")), "a").join(f.select(F.col("author_id").alias("b"), F.col("affil_id").alias("fb")), "b")
-    rows = pairs.where("fa <> fb").groupBy("fa", "fb").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()  # institution pairs
-    names = sorted({r["fa"] for r in rows} | {r["fb"] for r in rows})
-    at = {v: k for k, v in enumerate(names)}
-    fa, fb = np.array([at[r["fa"]] for r in rows]), np.array([at[r["fb"]] for r in rows])
-    w, n = np.array([r["w"] for r in rows]), np.array([r["n"] for r in rows], float)
-    s = np.full(len(names), 1 / max(len(names), 1))
-    for _ in range(steps):
-        g = beta * (w - n / (1 + np.exp(-beta * (s[fb] - s[fa]))))
-        grad = np.bincount(fb, g, len(names)) - np.bincount(fa, g, len(names))
-        s = simplex(s + rate * grad / max(np.abs(grad).max(), 1e-12))
-    return dict(zip(names, s.tolist(), strict=True))
+
+    BINS = 100
+
+    def __init__(self, rows: DataFrame, key: str, keywords: list[str], features: int = 1024, most_rows: int = 10_000) -> None:
+        self.keywords, self.fold = keywords, F.crc32(F.col(key).cast("string").cast("binary")) % 5
+        self.counts = HashingTF(inputCol="words", outputCol="_tf", numFeatures=features)
+        self.weighing = IDF(inputCol="_tf", outputCol="_x").fit(self.counts.transform(rows.select("words").where("words IS NOT NULL")))
+        known = self._placed(rows.where("keywords IS NOT NULL"))
+        learn = checkpointed(sampled(known.where(self.fold > 1), key, most_rows))
+        has = learn.agg(*(F.max(F.array_contains("keywords", k)).alias(str(i)) for i, k in enumerate(keywords))).first()
+        weights = np.zeros((len(keywords), features + 1))
+        weights[:, -1] = -np.inf
+        for i, k in enumerate(keywords):
+            if has[i]:
+                m = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=0.01).fit(learn.withColumn("_y", F.array_contains("keywords", k).cast("double")))
+                weights[i] = [*m.coefficients.toArray(), m.intercept]
+        self.weights = weights
+        self.thresholds = self._thresholds(known.where(self.fold == 1))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return self.weighing.transform(self.counts.transform(rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))).drop("_tf")
+
+    def _scores(self) -> F.Column:
+        weights = self.weights
+
+        @F.pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            z = np.stack(x.to_numpy()) @ weights[:, :-1].T + weights[:, -1] if len(x) else np.zeros((0, len(weights)))
+            return pd.Series(list(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+
+        return score(vector_to_array("_x"))
+
+    def _thresholds(self, known: DataFrame) -> list[float]:
+        by_keyword = F.transform(F.col("_s"), lambda s, i: F.struct(i.alias("k"), F.floor(s * self.BINS).alias("bin"), F.array_contains("keywords", F.array(*map(F.lit, self.keywords))[i]).alias("has")))
+        rows = known.withColumn("_s", self._scores()).select(F.explode(by_keyword).alias("_c")).groupBy("_c.k", "_c.bin").agg(F.count("*").alias("n"), F.count_if("_c.has").alias("right")).collect()  # keywords times bins
+        out = []
+        for i in range(len(self.keywords)):
+            mine = sorted(((r["bin"], r["n"], r["right"]) for r in rows if r["k"] == i), reverse=True)
+            total, n, right, best = sum(r for _, _, r in mine), 0, 0, (0.0, 0.5)
+            for low, count, hits in mine:
+                n, right = n + count, right + hits
+                best = max(best, (2 * right / max(n + total, 1), low / self.BINS), key=lambda b: b[0])
+            out.append(best[1])
+        return out
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """All rows with `found`, the keywords whose score reaches their threshold, in the order of the list."""
+        listed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in zip(self.keywords, self.thresholds, strict=True)))
+        paired = F.filter(F.transform(listed, lambda e, i: F.when(F.get(F.col("_s"), i) >= e["t"], e["k"])), lambda k: k.isNotNull())
+        return self._placed(rows).withColumn("_s", self._scores()).withColumn("found", paired).drop("_x", "_s")
+
+
+def micro_f1(rows: DataFrame, truth: str = "keywords", found: str = "found") -> float:
+    """F1 over all pairs of a row and a keyword."""
+    r = rows.agg(F.sum(F.size(F.array_intersect(truth, found))), F.sum(F.size(truth) + F.size(found))).first()
+    return 2 * r[0] / r[1] if r[1] else 0.0
 
 
 def bayesian_search(objective: Callable[[dict], float], bounds: dict[str, tuple[float, float]], rounds: int = 20, seed: int = 0, starts: int | None = None, logs: tuple[str, ...] = (), acquisition: str = "ei") -> tuple[dict, float, list]:

@@ -21,6 +21,7 @@ from scholion.plans import relational as PR
 from scholion.plans import texts as PT
 from scholion.plans.registry import query
 from scholion.plans.relational import CREDIT, CREDIT_DECAYED, decayed, project, r6, yearly_credit
+from scholion.runtime import checkpointed
 
 _YEARLY = f"WITH {ctes('fact', 'candidates')}, {CREDIT}, y AS (SELECT DISTINCT year FROM papers), s AS MATERIALIZED (SELECT affil_id, y.year AS step, coalesce(sum(score), 0) AS score FROM candidates CROSS JOIN y LEFT JOIN credit USING (affil_id, year) GROUP BY 1, 2)"
 _TREND = """t AS (SELECT s.* FROM s JOIN (SELECT affil_id, min(step) AS f FROM s WHERE score > 0 GROUP BY 1) USING (affil_id) WHERE step >= f - 1),
@@ -148,8 +149,7 @@ def ada_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("ML9_pairwise_strengths")
 def strengths(spark: SparkSession, d: str) -> DataFrame:
     e = project(citations(spark, d), fact(spark, d), papers(spark, d).select("paper_id", "year"), "author_id")
-    s = L.pairwise_strengths(e, affiliation(spark, d))
-    return spark.createDataFrame(sorted(s.items()), "affil_id int, score double")
+    return L.pairwise_strengths(e, affiliation(spark, d))
 
 
 #: The simulation's papers a run, and runs.
@@ -195,30 +195,35 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
 
 #: The classifier learns from at most so many labelled rows, those whose ids have the smallest md5.
 MOST_LABELLED_ROWS = 10_000
+KEYWORDS = ["de", "en", "es", "fr", "good", "toxic"]
+
+
+def keyworded(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, words, keywords: the language and the judgements of a labelled document; null without a label."""
+    judged = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", PT.text_words().alias("words")).join(judged, "doc_id", "left")
+    given = F.array_compact(F.array("lang", F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))
+    return docs.select("doc_id", "words", F.when(F.col("quality").isNotNull(), given).alias("keywords"))
 
 
 @query("ML13_keyword_classifier")
 def keyword_classifier(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.feature import HashingTF, StringIndexer
-
-    docs = table(spark, d, "documents").select("doc_id", "lang", PT.text_words().alias("words"))
-    x = HashingTF(inputCol="words", outputCol="features", numFeatures=256).transform(docs)
-    indexed = StringIndexer(inputCol="lang", outputCol="label").fit(x).transform(x)
-    model = OneVsRest(classifier=LogisticRegression(maxIter=5)).fit(R.sampled(indexed, "doc_id", MOST_LABELLED_ROWS))
-    return model.transform(indexed).select("doc_id", "label", "prediction")
+    """The keywords found for every document, beside those given."""
+    rows = keyworded(spark, d)
+    return L.KeywordClassifier(rows, "doc_id", KEYWORDS, most_rows=MOST_LABELLED_ROWS).predict(rows).select("doc_id", "keywords", "found")
 
 
 @query("ML14_bayesian_search")
 def bayesian(spark: SparkSession, d: str) -> DataFrame:
-    y = yearly_credit(spark, d).toPandas()  # institutions times years
-    last = y["year"].max()
-    truth = y[y["year"] == last].set_index("affil_id")["score"]
+    """The decay of the best correlation with the last year; each try of the search is a Spark job."""
+    y = checkpointed(yearly_credit(spark, d))
+    last = y.agg(F.max("year")).first()[0]
+    truth = y.where(F.col("year") == last).select("affil_id", F.col("score").alias("truth"))
 
     def fit(p: dict) -> float:
-        past = y[y["year"] < last]
-        guess = (past["score"] * (2.718281828459045 ** (-p["age"] * (last - past["year"])))).groupby(past["affil_id"]).sum()
-        return float(guess.corr(truth))
+        guess = y.where(F.col("year") < last).groupBy("affil_id").agg(F.sum(F.col("score") * F.exp(-p["age"] * (last - F.col("year")))).alias("guess"))
+        value = guess.join(truth, "affil_id").agg(F.corr("guess", "truth")).first()[0]
+        return -1.0 if value is None or value != value else value  # no correlation without spread
 
     best, value, _ = L.bayesian_search(fit, {"age": (0.001, 2.0)}, rounds=10, logs=("age",))
     return spark.createDataFrame([(best["age"], value)], "age double, value double")

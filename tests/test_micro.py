@@ -166,7 +166,6 @@ def test_learning(spark):
     y = 1 + 2 * x[:, 0] - x[:, 1]
     rows = spark.createDataFrame([(k, float(a), float(b), float(v)) for k, ((a, b), v) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y double")
     assert np.allclose(L.theil_sen(rows, ["a", "b"], "y", ["id"], samples=40), [1, 2, -1], atol=1e-6)
-    assert np.allclose(L.simplex(np.array([0.5, 0.9, -1.0])), [0.3, 0.7, 0.0])
     best, value, _ = L.bayesian_search(lambda p: -((p["a"] - 0.3) ** 2), {"a": (0.0, 1.0)}, rounds=8)
     assert abs(best["a"] - 0.3) < 0.1 and value <= 0
 
