@@ -13,8 +13,10 @@ tokens. A frequent n-gram is one entry for each block, and rows are never more
 than distinct n-grams.
 
 The number of ranges follows the bytes of the texts, so a range stays some
-megabytes; where there are more ranges than a block has n-grams, a row is one
-n-gram, so rows are at most the distinct n-grams of all blocks.
+megabytes. A block finds the ranges of its own n-grams and never goes through
+all ranges, so its work does not grow with the corpus; where there are more
+ranges than a block has n-grams, a row is one n-gram, so rows are at most the
+distinct n-grams of all blocks.
 
 Unigrams are known by 64-bit hashes, bigrams by 47 bits, so with B distinct
 bigrams a share of about B / 2^47 of them is counted together with another: one
@@ -58,6 +60,8 @@ RANGE_BYTES = 12 << 20
 BIGRAM_BITS = 47
 LEAST_WEIGHT = 1e-4
 BLOCK_BYTES = 8 << 20
+#: Packed counts of at most so many bytes are not compressed, which their first byte tells.
+FEW_BYTES, FEW_FLAG = 32, 16
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +110,36 @@ def _checksum(keys: np.ndarray, counts: np.ndarray) -> int:
     return int((X.mix(keys.astype(np.uint64) + X.U(1)) * (2 * counts.astype(np.uint64) + X.U(1))).sum(dtype=np.uint64))
 
 
-def _bounds(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    limits = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]])
+def _floor(r: int, ranges: int, bits: int) -> int:
+    """The least key of range r."""
+    return -((-r << bits) // ranges)
+
+
+def _ranges_of(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """The range, floor(key * ranges / 2^bits), of each key, for up to 2^32 ranges."""
+    k = keys.astype(np.uint64) << X.U(64 - bits)
+    high, low = k >> X.U(32), k & X.U(0xFFFFFFFF)
+    return ((high * X.U(ranges) + ((low * X.U(ranges)) >> X.U(32))) >> X.U(32)).astype(np.int64)
+
+
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Range, begin and end of the runs of sorted keys: work follows the keys, however many ranges there are."""
+    of = _ranges_of(keys, ranges, bits)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=len(of) > 0)
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts in 32 bits, or in 64 if one of them needs more."""
+    """Counts in 32 bits, or in 64 if one of them needs more; a few as they are, others compressed."""
     wide = len(counts) > 0 and int(counts.max()) >= 1 << 32
-    return (b"\x08" if wide else b"\x04") + zstandard.compress(counts.astype("<u8" if wide else "<u4").tobytes(), 1)
+    plain = counts.astype("<u8" if wide else "<u4").tobytes()
+    few = len(plain) <= FEW_BYTES
+    return bytes([(8 if wide else 4) + (FEW_FLAG if few else 0)]) + (plain if few else zstandard.compress(plain, 1))
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(memoryview(blob)[1:]), "<u8" if blob[0] == 8 else "<u4").astype(np.int64)
+    data = memoryview(blob)[1:]
+    return np.frombuffer(data if blob[0] & FEW_FLAG else zstandard.decompress(data), "<u8" if blob[0] & 8 else "<u4").astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -136,19 +157,15 @@ def _send(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             block = Block(rows.column(1), rows.column(2).to_numpy(zero_copy_only=False))
             one, two = block.counts()
             ids, keys, counts = [], [], []
-            at = _bounds(block.unigrams, ranges, 64)
-            for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if b > a:
-                    ids.append(r)
-                    keys.append(block.unigrams[a:b].tobytes())
-                    counts.append(_pack(one[a:b]))
-            at = _bounds(block.bigrams, ranges, BIGRAM_BITS)
-            for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if b > a:
-                    rest = block.bigrams[a:b] - X.U((r << BIGRAM_BITS) // ranges)
-                    ids.append(ranges + r)
-                    keys.append(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                    counts.append(_pack(two[a:b]))
+            for r, a, b in _cuts(block.unigrams, ranges, 64):
+                ids.append(r)
+                keys.append(block.unigrams[a:b].tobytes())
+                counts.append(_pack(one[a:b]))
+            for r, a, b in _cuts(block.bigrams, ranges, BIGRAM_BITS):
+                rest = block.bigrams[a:b] - X.U(_floor(r, ranges, BIGRAM_BITS))
+                ids.append(ranges + r)
+                keys.append(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                counts.append(_pack(two[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([number] * len(ids), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["r", "block", "keys", "counts"])
 
     return run
@@ -168,7 +185,7 @@ def _answer(ranges: int) -> Callable[[pa.Table], pa.Table]:
         sizes = [len(k) for k in keys]
         every, which = np.unique(np.concatenate(keys), return_inverse=True)
         sent = [_unpack(c) for c in rows.column("counts").to_pylist()]
-        low = X.U(0 if r < ranges else ((r - ranges) << BIGRAM_BITS) // ranges)
+        low = X.U(0 if r < ranges else _floor(r - ranges, ranges, BIGRAM_BITS))
         checks = [_checksum(k + low, c) for k, c in zip(keys, sent, strict=True)]
         total = np.bincount(which, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)  # exact below 2^53
         blocks, answers = rows.column("block").to_pylist(), []

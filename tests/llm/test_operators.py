@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -777,3 +778,23 @@ def test_empty_tables_null_ids_and_repeated_rows(spark, operator):
     }[operator]
     assert run(d).count() == len(rows)
     assert run(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 47])
+@pytest.mark.parametrize("ranges", [1, 3, 128, 1_000_003, 8_700_000])
+def test_lm_ranges_follow_the_keys(bits, ranges):
+    """Work on a block is by its own n-grams, and every range starts at its least key."""
+    top, draw = 2**bits - 1, np.random.default_rng(bits)
+    edges = [min(top, max(0, lm_scoring._floor(int(r), ranges, bits) + d)) for r in draw.integers(0, ranges, 50) for d in (-1, 0, 1)]
+    keys = np.unique(np.concatenate([draw.integers(0, top, 5000, dtype=np.uint64, endpoint=True), np.array([0, top, *edges], np.uint64)]))
+    begun = time.perf_counter()
+    cuts = list(lm_scoring._cuts(keys, ranges, bits))
+    assert time.perf_counter() - begun < 1
+    assert [r for r, a, b in cuts for _ in range(b - a)] == [int(k) * ranges >> bits for k in keys.tolist()]
+    assert all(lm_scoring._floor(r, ranges, bits) <= int(keys[a]) and int(keys[b - 1]) < lm_scoring._floor(r + 1, ranges, bits) for r, a, b in cuts)
+    assert list(lm_scoring._cuts(keys[:0], ranges, bits)) == []
+
+
+@pytest.mark.parametrize("counts", [[], [1], [1 << 40], list(range(100)), [1 << 33] * 50])
+def test_lm_counts_are_packed_and_back(counts):
+    assert lm_scoring._unpack(lm_scoring._pack(np.array(counts, np.int64))).tolist() == counts
