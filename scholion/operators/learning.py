@@ -145,8 +145,8 @@ def ada_rank(train: DataFrame, features: list[str], target: str, query: str, tie
     return {f: w / (most[f] or 1.0) for f, w in weights.items()}
 
 
-def onto_simplex(moved: DataFrame, start: float | None = None) -> tuple[float, float]:
-    """The threshold that projects `y` onto the probability simplex as max(y - threshold, 0), and the change from `s` in L1.
+def onto_simplex(moved: DataFrame, start: float | None = None) -> tuple[float, float, float]:
+    """The threshold that projects `y` onto the probability simplex as max(y - threshold, 0), the change from `s` in L1, and how far `ahead` overshot.
 
     Newton steps on the sum, each one aggregation: the rows over the threshold
     give the next one, until the same rows are over it. `start` is a guess.
@@ -155,12 +155,12 @@ def onto_simplex(moved: DataFrame, start: float | None = None) -> tuple[float, f
     while True:
         above = F.lit(True) if over is None else F.col("y") > over
         new = F.greatest(F.col("y") - (0.0 if over is None else over), F.lit(0.0))
-        r = moved.agg(F.sum(F.when(above, F.col("y"))).alias("sum"), F.count(F.when(above, True)).alias("n"), F.sum(F.abs(new - F.col("s"))).alias("change")).first()
+        r = moved.agg(F.sum(F.when(above, F.col("y"))).alias("sum"), F.count(F.when(above, True)).alias("n"), F.sum(F.abs(new - F.col("s"))).alias("change"), F.sum((F.col("ahead") - new) * (new - F.col("s"))).alias("over")).first()
         if not r["n"]:
             over, last = None, None
             continue
         if over is not None and r["n"] == last:
-            return over, r["change"]
+            return over, r["change"], r["over"]
         over, last = (r["sum"] - 1) / r["n"], r["n"]
 
 
@@ -168,8 +168,9 @@ def pairwise_strengths(edges: DataFrame, affils: DataFrame, beta: float = 0.1, t
     """affil_id, score: strengths on the simplex, where each citation a -> b says that b's institutions outweigh a's.
 
     Maximises sum w beta D - n ln(1 + exp(beta D)), D = s(b's) - s(a's), a concave
-    function, by projected gradient with the step that its curvature allows,
-    until the change in L1 is under `tolerance`. Pairs of institutions, strengths
+    function, by projected gradient with momentum and the step that its curvature
+    allows, until the change in L1 is under `tolerance`; momentum is dropped
+    where it overshoots. Pairs of institutions, strengths
     and gradients are frames. A step is one write, with partial sums of the
     gradient before the shuffle, and the aggregations of the projection; only
     sums come to the driver. An institution without a pair has no row; no pairs
@@ -184,16 +185,19 @@ def pairwise_strengths(edges: DataFrame, affils: DataFrame, beta: float = 0.1, t
     if not size:
         return nodes.select(F.col("node").alias("affil_id"), F.col("degree").alias("score"))
     rate = 2 / (beta * beta * most)
-    now, written, over = nodes.select("node", F.lit(1.0 / size).alias("s")), None, None
+    now, written, over = nodes.select("node", F.lit(1.0 / size).alias("s"), F.lit(1.0 / size).alias("ahead")), None, None
+    run = 0  # steps since the momentum was last dropped
     for _ in range(most_steps):
-        sides = pairs.join(now.select(F.col("node").alias("fa"), F.col("s").alias("sa")), "fa").join(now.select(F.col("node").alias("fb"), F.col("s").alias("sb")), "fb")
+        sides = pairs.join(now.select(F.col("node").alias("fa"), F.col("ahead").alias("sa")), "fa").join(now.select(F.col("node").alias("fb"), F.col("ahead").alias("sb")), "fb")
         g = beta * (F.col("w") - F.col("n") / (1 + F.exp(-beta * (F.col("sb") - F.col("sa")))))
         slope = sides.select(F.explode(F.array(F.struct(F.col("fb").alias("node"), g.alias("g")), F.struct(F.col("fa").alias("node"), (-g).alias("g")))).alias("_e")).groupBy("_e.node").agg(F.sum("_e.g").alias("g"))
-        moved = checkpointed(now.join(slope, "node").select("node", "s", (F.col("s") + rate * F.col("g")).alias("y")))
-        over, change = onto_simplex(moved, over)
+        moved = checkpointed(now.join(slope, "node").select("node", "s", "ahead", (F.col("ahead") + rate * F.col("g")).alias("y")))
+        over, change, overshot = onto_simplex(moved, over)
         if written is not None:
             discard(written)
-        written, now = moved, moved.select("node", F.greatest(F.col("y") - over, F.lit(0.0)).alias("s"))
+        run = 0 if overshot > 0 else run + 1
+        new = F.greatest(F.col("y") - over, F.lit(0.0))
+        written, now = moved, moved.select("node", new.alias("s"), (new + run / (run + 3) * (new - F.col("s"))).alias("ahead"))
         if change < tolerance:
             break
     return now.select(F.col("node").alias("affil_id"), F.col("s").alias("score"))

@@ -34,7 +34,7 @@ def plain_strengths(pairs, beta, steps=20_000):
 @pytest.mark.parametrize("start", [None, -5.0, 0.2, 50.0])
 def test_projection_equals_sorting(spark, start):
     y = np.random.default_rng(3).normal(0, 1, 40)
-    over, change = L.onto_simplex(spark.createDataFrame([(float(v), 0.025) for v in y], "y double, s double"), start)
+    over, change, _ = L.onto_simplex(spark.createDataFrame([(float(v), 0.025, 0.025) for v in y], "y double, s double, ahead double"), start)
     assert np.allclose(np.maximum(y - over, 0), simplex(y)) and change == pytest.approx(np.abs(simplex(y) - 0.025).sum())
 
 
