@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,10 +314,13 @@ def clear_winner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def winners(scores: DataFrame, key: str, tie: str, score: str, least: float, ratio: float) -> DataFrame:
-    """The best row of each key, if it has at least `least` and `ratio` times the second's score."""
+    """The best row of each key, if it has at least `least` and `ratio` times the second's score.
+
+    The ratio is a decimal, so a count of just 1.1 times the next is one, as 11 is to 10.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(tie))
     d = scores.withColumns({"_r": F.row_number().over(w), "_next": F.lead(score).over(w)})
-    return d.where((F.col("_r") == 1) & (F.col(score) >= least) & (F.col(score) >= ratio * F.coalesce("_next", F.lit(0)))).drop("_r", "_next")
+    return d.where((F.col("_r") == 1) & (F.col(score) >= least) & (F.col(score) >= F.lit(Decimal(str(ratio))) * F.coalesce("_next", F.lit(0)))).drop("_r", "_next")
 
 
 @query("JN18_two_lookups", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scholion import fixtures
 from scholion.operators import credit as C
+from scholion.plans import relational as PR
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +23,9 @@ def test_credit_counts_repeated_rows_once(spark):
     rows = [(1, 10, 5, 2000), (1, 10, 5, 2000), (1, 10, 6, 2000), (1, 11, 5, 2000), (2, 10, 6, 2001)]
     got = {r[0]: r[1] for r in C.fractional_credit(spark.createDataFrame(rows, "paper_id int, author_id int, affil_id int, year int")).collect()}
     assert got == {5: 0.75, 6: 1.25}
+
+
+def test_a_winner_of_just_the_ratio_is_one(spark):
+    rows = [(1, "a", 11), (1, "b", 10), (2, "a", 109), (2, "b", 100), (3, "a", 33), (3, "b", 30)]
+    got = PR.winners(spark.createDataFrame(rows, "k int, v string, n long"), "k", "v", "n", 1.0, 1.1)
+    assert {r["k"] for r in got.collect()} == {1, 3}
