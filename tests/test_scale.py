@@ -1,9 +1,12 @@
 """Steps whose tasks, joins or comparisons must hold on larger tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholion import fixtures
 from scholion.operators import credit as C
+from scholion.operators import corpus as K
+from scholion.plans import QUERIES
 from scholion.plans import relational as PR
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +32,41 @@ def test_a_winner_of_just_the_ratio_is_one(spark):
     rows = [(1, "a", 11), (1, "b", 10), (2, "a", 109), (2, "b", 100), (3, "a", 33), (3, "b", 30)]
     got = PR.winners(spark.createDataFrame(rows, "k int, v string, n long"), "k", "v", "n", 1.0, 1.1)
     assert {r["k"] for r in got.collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("formula", ["tfidf", "bm25"])
+def test_searches_with_common_terms_find_the_same(spark, formula):
+    docs = spark.createDataFrame([(i, f"all {'even' if i % 2 == 0 else 'odd odd'} w{i % 7} w{i % 11} " + "x " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    words = F.split(F.trim("text"), " +")
+    asked = {1: "all", 2: "all even", 3: "all w3", 4: "odd w3 w10", 5: "none all", 6: "w1 w2", 7: "none", 8: "all w3 even x"}
+    q = spark.createDataFrame([(i, t) for i, text in asked.items() for t in text.split()], "query_id int, term string")
+    plain = K.top_k(K.scores(q, docs, words, formula), ("query_id",), "score", "doc_id", 5)
+    for common in (0, 12, 1000):
+        assert sorted(map(tuple, K.search(q, docs, words, 5, formula, common=common).select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_common_terms_do_not_meet_every_query(spark, tmp_path):
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("supplier w"), "id").alias("text"))
+    words = F.split("text", " ")
+    q = docs.select(F.col("doc_id").alias("query_id"), F.explode(words).alias("term"))
+    widest = []
+    whole = K.checkpointed
+
+    def counted(df):
+        out = whole(df)
+        widest.append(out.count())
+        return out
+
+    patch = pytest.MonkeyPatch()
+    patch.setattr(K, "checkpointed", counted)
+    found = K.search(q, docs, words, 3)
+    assert found.where("rank = 1 AND query_id = doc_id").count() == n and found.count() == 3 * n
+    patch.undo()
+    assert widest and max(widest) <= 2 * n
+
+
+def test_venues_of_equal_names_are_one(spark, tmp_path):
+    s = fixtures.table(spark, SF, "supplier")
+    s.union(s.withColumn("s_suppkey", F.col("s_suppkey") + 1000)).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert QUERIES["ER4_venue_matching"](spark, str(tmp_path)).count() == s.where("s_suppkey % 5 > 0").count() * 2
