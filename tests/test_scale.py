@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scholion import fixtures
 from scholion.operators import credit as C
 from scholion.operators import corpus as K
+from scholion.operators import graph as G
 from scholion.plans import QUERIES
 from scholion.plans import relational as PR
 
@@ -70,3 +71,25 @@ def test_venues_of_equal_names_are_one(spark, tmp_path):
     s = fixtures.table(spark, SF, "supplier")
     s.union(s.withColumn("s_suppkey", F.col("s_suppkey") + 1000)).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     assert QUERIES["ER4_venue_matching"](spark, str(tmp_path)).count() == s.where("s_suppkey % 5 > 0").count() * 2
+
+
+def test_even_and_unique_layers_are_weighed_the_same(spark, capsys):
+    edges = lambda rows: spark.createDataFrame(rows, "src int, dst int, weight double")
+    pa, pp, af = edges([(1, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0)]), edges([(2, 1, 0.5), (3, 1, 0.2), (3, 2, 0.4)]), edges([(1, 1, 1.0), (1, 1, 1.0)])
+    parts = lambda unique: G.assemble((pp, "paper", "paper", False, unique), (pa, "paper", "author", True, unique), (af, "author", "affil", True))
+    rho = {("paper", "paper"): 0.3, ("paper", "author"): 0.7, ("author", "paper"): 0.6, ("author", "affil"): 0.4, ("affil", "author"): 1.0}
+    got = lambda df: sorted(tuple(r[c] for c in ("src_layer", "src", "dst_layer", "dst", "weight")) for r in df.collect())
+    assert got(G.layer_weights(parts(True), rho, even=[("paper", "author"), ("author", "paper")])) == got(G.layer_weights(parts(False), rho))
+    # a part whose layers another one joins too is not taken as it is
+    assert got(G.assemble((pp, "paper", "paper", False, True), (edges([(2, 1, 9.0)]), "paper", "paper", False, True))) == [("paper", "2", "paper", "1", 9.0), ("paper", "3", "paper", "1", 0.2), ("paper", "3", "paper", "2", 0.4)]
+    with pytest.raises(ValueError):
+        G.layer_weights(parts(True), rho, "sum", even=[("paper", "author")])
+
+
+def test_a_step_of_a_walk_does_not_sort_edges(spark, capsys):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 1, 0.5), (2, 3, 0.5)], "src long, dst long, p double")
+    blocks, fans = G.edge_blocks(e, 2)
+    G.flow_of(spark.createDataFrame([(1, 0.5), (2, 0.5)], "src long, score double"), blocks, fans).explain()
+    plan = capsys.readouterr().out
+    G.drop_bucketed(blocks)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
