@@ -135,15 +135,15 @@ def token_walk(spark: SparkSession, d: str) -> DataFrame:
     """node, score of a walk that starts and restarts at the words of QUERY."""
     one = F.lit(1.0)
     layers = G.assemble(
-        (citations(spark, d).withColumn("weight", one), "paper", "paper", False),
-        (authorship(spark, d).select(F.col("paper_id").alias("src"), F.col("author_id").alias("dst"), one.alias("weight")), "paper", "author", True),
-        (PG.coauthor_edges(spark, d).withColumn("weight", one), "author", "author", True),
-        (paper_words(spark, d).select(F.col("paper_id").alias("src"), F.col("word").alias("dst"), one.alias("weight")), "paper", "word", True),
+        (citations(spark, d).distinct().withColumn("weight", one), "paper", "paper", False, True),
+        (authorship(spark, d).select(F.col("paper_id").alias("src"), F.col("author_id").alias("dst"), one.alias("weight")), "paper", "author", True, True),
+        (PG.coauthor_edges(spark, d).withColumn("weight", one), "author", "author", True, True),
+        (paper_words(spark, d).select(F.col("paper_id").alias("src"), F.col("word").alias("dst"), one.alias("weight")), "paper", "word", True, True),
     )
     e = checkpointed(layers.select(F.concat_ws(":", "src_layer", "src").alias("src"), F.concat_ws(":", "dst_layer", "dst").alias("dst"), "weight"))
     nodes = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     seeds = nodes.where(F.col("node").isin(*(f"word:{w}" for w in QUERY))).withColumn("weight", one)
-    return G.pagerank(nodes, e, 0.15, seeds, start=seeds, most=200)
+    return G.pagerank(nodes, e, 0.15, seeds, start=seeds, most=200, mixed=2)
 
 
 @query("QRY16_meng", f"{_TOKEN_GRAPH}, {PG.walk_sql(0.15, personal=_TOKEN_SEEDS, start=True)} SELECT substr(node, 7)::BIGINT AS node, round(score, 9) AS score FROM x WHERE node LIKE 'paper:%' {_BEST.replace('node', 'substr(node, 7)::BIGINT')}")

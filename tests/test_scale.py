@@ -9,6 +9,7 @@ from scholion.operators import corpus as K
 from scholion.operators import graph as G
 from scholion.plans import QUERIES
 from scholion.plans import relational as PR
+from scholion.plans import searchers as SQ
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +94,23 @@ def test_a_step_of_a_walk_does_not_sort_edges(spark, capsys):
     plan = capsys.readouterr().out
     G.drop_bucketed(blocks)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_walk_that_mixes_vectors_ends_at_the_same_one_in_fewer_steps(spark):
+    edges = [(k, k + 1, 1.0) for k in range(6)] + [(k + 1, k, 0.5) for k in range(0, 6, 2)] + [(5, 3, 0.0), (7, 0, 0.0), (2, 6, 3.0)]
+    nodes, first = list(range(9)), {0: 1.0, 7: 2.0}
+    with pytest.raises(RuntimeError):
+        G.small_pagerank(nodes, edges, 0.05, first, most=25)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = G.pagerank(frame([(k,) for k in nodes], "node int"), frame(edges, "src int, dst int, weight double"), 0.05, frame(list(first.items()), "node int, weight double"), most=25, mixed=2)
+    assert {r["node"]: r["score"] for r in out.collect()} == pytest.approx(G.small_pagerank(nodes, edges, 0.05, first, most=1000), abs=1e-6)
+
+
+def test_the_edges_of_the_token_walk_are_not_grouped(spark, monkeypatch, capsys):
+    seen = []
+    monkeypatch.setattr(G, "assemble", lambda *parts, f=G.assemble: seen.append(f(*parts)) or seen[-1])
+    monkeypatch.setattr(G, "pagerank", lambda nodes, edges, *a, **k: edges)
+    edges = SQ.token_walk(spark, SF)
+    assert edges.count() == edges.select("src", "dst").distinct().count()
+    seen[0].explain()
+    assert "max_by" not in capsys.readouterr().out
