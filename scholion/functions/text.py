@@ -309,14 +309,9 @@ def _codes(names: list[str], width: int, blank: int) -> np.ndarray:
     return out
 
 
-def jaro_winkler_pairs(a: list[str], b: list[str], scale: float = 0.1) -> np.ndarray:
-    """`jaro_winkler_similarity` of many pairs at once: each step places one character of all left names."""
-    if not a:
-        return np.zeros(0)
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    width = max(int(la.max()), int(lb.max()), 4)
-    x, y = _codes(a, width, -1), _codes(b, width, -2)
-    rows, place = np.arange(len(a)), np.arange(width)
+def jaro_winkler_codes(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray, scale: float = 0.1) -> np.ndarray:
+    """`jaro_winkler_similarity` of rows of code points, four wide at least, ends filled with -1 in x and -2 in y: each step places one character of all left names."""
+    rows, place = np.arange(len(x)), np.arange(x.shape[1])
     reach = (np.maximum(la, lb) // 2 - 1)[:, None]
     from_a, used = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
     for i in range(int(la.max())):
@@ -330,12 +325,22 @@ def jaro_winkler_pairs(a: list[str], b: list[str], scale: float = 0.1) -> np.nda
     moved = ((in_order(x, from_a) != in_order(y, used)) & (place < m[:, None])).sum(1) // 2
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3, 0.0)
-    prefix = np.cumprod(x[:, :4] == y[:, :4], axis=1).sum(1)
+    same = x == y
+    prefix = np.cumprod(same[:, :4], axis=1).sum(1)
     out = np.where(jaro > 0.7, jaro + prefix * scale * (1 - jaro), jaro)
-    out[np.array([p == q for p, q in zip(a, b, strict=True)])] = 1.0
+    out[(la == lb) & (same.sum(1) == la)] = 1.0
     return out
 
 
+def jaro_winkler_pairs(a: list[str], b: list[str], scale: float = 0.1) -> np.ndarray:
+    """`jaro_winkler_similarity` of many pairs at once."""
+    if not a:
+        return np.zeros(0)
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    width = max(int(la.max()), int(lb.max()), 4)
+    return jaro_winkler_codes(_codes(a, width, -1), _codes(b, width, -2), la, lb, scale)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Pairs are compared by length, so that a long name widens only its own step."""

@@ -50,3 +50,21 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "b int, name string")
     one = spark.createDataFrame([(1, "a")], "b int, name string")
     assert Z.best_matches(none, one, "b", "name", 0.9).count() == 0 and Z.best_matches(one, none, "b", "name", 0.9).count() == 0
+
+
+def test_blocks_are_dealt_to_cells_and_ties_are_not_compared(spark, monkeypatch):
+    for name, value in {"CELL_NAMES": 60, "BOUNDS": 300, "PAIRS": 50, "TOKENS": 7}.items():
+        monkeypatch.setattr(Z, name, value)
+    left = [(k % 2, f"Customer#{k * 37:06d}x") for k in range(300)] + [(1, "")]
+    right = [(k % 2, f"Supplier#{k * 11:06d}") for k in range(200)] + [(1, ""), (0, "")]
+    compared = []
+    got = Z.best_matches(spark.createDataFrame(left, "b int, name string"), spark.createDataFrame(right, "b int, name string"), "b", "name", 0.6, compared)
+    want, tried = set(), 0
+    for block, x in left:
+        found = [(-round(T.jaro_winkler_similarity(x, y), 6), y) for b, y in right if b == block]
+        tried += len(found)
+        if min(found)[0] <= -0.6:
+            want.add((block, x, min(found)[1], -min(found)[0]))
+    rows = got.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert sum(compared) < tried / 3, (compared, tried)
