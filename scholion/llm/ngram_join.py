@@ -70,10 +70,25 @@ MOST_BROADCAST_ROWS = 1_000_000
 PAIRS_A_SALT = 2000
 _BAND = math.log(100 / (PERCENT - 0.1))
 LEAST_BITS = 256
+#: Bytes of text whose words and sets a task holds at once.
+TEXT_BYTES = 1 << 19
 #: Earlier elements by which a pair that met before is known; pairs that share none of them are only tested again.
 EARLIER = 4
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, which gives memory that it no longer uses back to the system after each batch: a worker stays when its task ends."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return released
+
+
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """The least intersection with which sets of these sizes link."""
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
@@ -110,7 +125,7 @@ def _sets(column: pa.Array) -> tuple[list[np.ndarray], list[bytes | None]]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in X.blocks(batch.column(1), 2 << 20):
+        for a, b in X.blocks(batch.column(1), TEXT_BYTES):
             own, content = _sets(batch.column(1).slice(a, b - a))
             n = np.array([len(x) for x in own], np.int64)
             band = band_of(n)
@@ -125,7 +140,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node and sorted set of the texts that are a node's own."""
     for batch in batches:
-        for a, b in X.blocks(batch.column(1), 2 << 20):
+        for a, b in X.blocks(batch.column(1), TEXT_BYTES):
             own, content = _sets(batch.column(1).slice(a, b - a))
             wanted = batch.column(2).slice(a, b - a).to_pylist()
             rows = [k for k in range(b - a) if content[k] == wanted[k]]
@@ -277,7 +292,7 @@ class _Join:
         kind = docs.schema[id_col].dataType.simpleString()
         self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw"))
         schema = f"id {kind}, raw bigint, content binary, n bigint, band bigint, keys array<bigint>, bits binary"
-        signed = checkpointed(self.texts.mapInArrow(_signed, schema))
+        signed = checkpointed(self.texts.mapInArrow(lean(_signed), schema))
         pick = F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")
         nodes = signed.where("content IS NOT NULL").groupBy("content").agg(F.min(pick).alias("pick"), *[F.any_value(c).alias(c) for c in ("n", "band", "keys", "bits")])
         self.nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -303,7 +318,7 @@ class _Join:
         own = self.nodes.join(wanted, "node", "left_semi").select("node", "content", F.col("pick.id").alias("own_id"), F.col("pick.raw").alias("own_raw"))
         own = F.broadcast(own) if few else own
         met = self.texts.join(own, (F.col("raw") == F.col("own_raw")) & F.col("id").eqNullSafe(F.col("own_id")))
-        blobs = met.select("node", "text", "content").mapInArrow(_set_blobs, "node bigint, elements binary")
+        blobs = met.select("node", "text", "content").mapInArrow(lean(_set_blobs), "node bigint, elements binary")
         return checkpointed(blobs.dropDuplicates(["node"]) if self.repeated else blobs)
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,11 +327,11 @@ class _Join:
         a = light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
         b = light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
         met = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        left = checkpointed(met.select("a", "b", "na", "nb", "abits", "bbits").mapInArrow(_bounded, "a bigint, b bigint"))
+        left = checkpointed(met.select("a", "b", "na", "nb", "abits", "bbits").mapInArrow(lean(_bounded), "a bigint, b bigint"))
         salts = left.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_SALT).alias("salts"))
         ends = salts.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("sb")), "b").select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         begun = left.join(salts, "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("sa")), "a").select("a", "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"), "sa")
-        return checkpointed(begun.join(ends, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(_exact, "a bigint, b bigint"))
+        return checkpointed(begun.join(ends, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(lean(_exact), "a bigint, b bigint"))
 
     def found(self) -> DataFrame:
         out = self.links[0]
@@ -360,7 +375,7 @@ class _Join:
         dealt = blocks.withColumn("cell", F.explode(cells)).join(held, "node")
         dealt = dealt.select("key", "band", "cell.i", "cell.part", "node", "root", "home", F.col("cell.side").alias("other"), "n", "pos", before.alias("before"), "bits")
         order = ["key", "band", "i", "part"]
-        return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiles, "a bigint, b bigint").distinct()
+        return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_tiles), "a bigint, b bigint").distinct()
 
     def run(self) -> DataFrame:
         """content, component of the nodes, by pick."""
@@ -374,10 +389,10 @@ class _Join:
             return components(self.found())
         self.links.append(self.verified(checkpointed(self.tile_pairs(opened.where(f"others <= {MOST_OTHERS}"), members)), sets))
         again = checkpointed(sets.join(hot, "node", "left_semi").select("node", "elements"))
-        counts = again.mapInArrow(_elements, "key bigint").groupBy("key").count().where(f"count > {MOST_OTHERS}")
+        counts = again.mapInArrow(lean(_elements), "key bigint").groupBy("key").count().where(f"count > {MOST_OTHERS}")
         last = [r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key").collect()]
         shared = again.sparkSession.sparkContext.broadcast(np.array(last, np.int64).tobytes())
-        members = self.members(checkpointed(again.mapInArrow(_late(shared), "node bigint, pos bigint, key bigint")))
+        members = self.members(checkpointed(again.mapInArrow(lean(_late(shared)), "node bigint, pos bigint, key bigint")))
         self.links.append(self.verified(self.hub_pairs(members), sets))
         opened = self.opened(members, components(self.found()))
         self.links.append(self.verified(checkpointed(self.tile_pairs(opened, members)), sets))

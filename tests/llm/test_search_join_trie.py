@@ -243,3 +243,19 @@ def test_equals_sql(spark, module):
     names = [x[0] for x in out.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted(out.fetchall(), key=str)
+
+
+def test_a_worker_of_the_join_gives_memory_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from scholion.llm import ngram_join as J
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(J.pa, "system_memory_pool", Pool)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e", None]), pa.array([3, 4])], names=["id", "text", "raw"])
+    assert [len(x) for x in J.lean(J._signed)(iter([batch, batch]))] == [2, 2] and Pool.released == 2
