@@ -216,11 +216,10 @@ def learn_to_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("ML6_theil_sen")
 def theil_sen(spark: SparkSession, d: str) -> DataFrame:
     """The default regression: medians of the fits of random subsets of all rows."""
-    train, names = PR.training(spark, d)
+    train, names, rows = PR.training(spark, d)
     w = L.theil_sen(train, names, "target", ["affil_id", "year"])
-    last = papers(spark, d).agg(F.max("year").alias("year"))
     score = sum((F.col(c) * float(v) for c, v in zip(names, w[1:], strict=True)), F.lit(float(w[0])))
-    return PR.features(spark, d).join(F.broadcast(last), "year").select("affil_id", score.alias("score"))
+    return rows.select("affil_id", score.alias("score"))
 
 
 _BATCH = f"""WITH {ctes('fact', 'candidates')}, c1 AS (SELECT * FROM (WITH {CREDIT_DECAYED} SELECT * FROM credit)), c2 AS (SELECT * FROM (WITH {CREDIT} SELECT * FROM credit)),

@@ -7,7 +7,9 @@ from scholion import fixtures
 from scholion.operators import credit as C
 from scholion.operators import corpus as K
 from scholion.operators import graph as G
+from scholion.operators import learning as L
 from scholion.plans import QUERIES
+from scholion.plans import rankings as P
 from scholion.plans import relational as PR
 from scholion.plans import searchers as SQ
 
@@ -24,6 +26,22 @@ def test_tasks_of_credit_follow_the_lines(spark, monkeypatch, capsys):
     assert f", {parts})" in plan and not any("hashpartitioning(paper_id" in line and ", 4)" in line for line in plan.splitlines())
 
 
+def test_learners_compute_the_years_once(spark, capsys):
+    train, names, rows = P.training(spark, SF)
+    for frame in (train, rows):
+        frame.explain()
+        plan = capsys.readouterr().out
+        assert "FileScan" in plan and "l_orderkey" not in plan
+    features = L.windowed_features(P.yearly(spark, SF))
+    want = {(r["affil_id"], r["year"]): r for r in features.collect()}
+    score = {(r["affil_id"], r["year"]): r["score"] for r in C.fractional_credit(fixtures.fact(spark, SF), ("affil_id", "year")).collect()}
+    got = train.collect()
+    assert names == features.columns[2:] and {(r["affil_id"], r["year"]) for r in got} == {k for k in want if (k[0], k[1] + 1) in score}
+    assert all([r[c] for c in names] + [r["target"]] == pytest.approx([*want[r["affil_id"], r["year"]][2:], score[r["affil_id"], r["year"] + 1]]) for r in got)
+    last = fixtures.papers(spark, SF).agg(F.max("year")).first()[0]
+    assert {(r["affil_id"], r["year"]) for r in rows.collect()} == {k for k in want if k[1] == last}
+
+
 def test_credit_counts_repeated_rows_once(spark):
     rows = [(1, 10, 5, 2000), (1, 10, 5, 2000), (1, 10, 6, 2000), (1, 11, 5, 2000), (2, 10, 6, 2001)]
     got = {r[0]: r[1] for r in C.fractional_credit(spark.createDataFrame(rows, "paper_id int, author_id int, affil_id int, year int")).collect()}
