@@ -1,5 +1,7 @@
 """Steps whose tasks, joins or comparisons must hold on larger tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def test_tasks_of_credit_follow_the_lines(spark, monkeypatch, capsys):
     assert f", {parts})" in plan and not any("hashpartitioning(paper_id" in line and ", 4)" in line for line in plan.splitlines())
 
 
+@pytest.mark.parametrize("name", ["AG2_credit_by_year", "ML3_trend", "ML4_with_trend", "ML5_windowed_features", "ML6_linear", "ML6_robust_linear", "ML12_forecast", "ML14_bayesian_search", "ML15_parameter_sweep"])
+def test_papers_of_a_query_lie_in_tasks_that_follow_the_lines(spark, monkeypatch, capsys, name):
+    monkeypatch.setattr(fixtures, "PAPER_LINES", 1000)
+    monkeypatch.setattr(P, "checkpointed", lambda df, f=P.checkpointed: df.explain() or f(df))
+    QUERIES[name](spark, SF).explain()
+    by_paper = re.findall(r"hashpartitioning\([^()]*paper_id[^()]*, (\d+)\)", capsys.readouterr().out)
+    assert set(by_paper) == {str(1 + fixtures.table(spark, SF, "lineitem").count() // 1000)}
+
+
 def test_learners_compute_the_years_once(spark, capsys):
     train, names, rows = P.training(spark, SF)
     for frame in (train, rows):
