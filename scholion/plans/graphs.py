@@ -17,6 +17,7 @@ from scholion.operators import graph as G
 from scholion.operators import relational as R
 from scholion.plans.registry import query
 from scholion.plans.relational import CREDIT, DECAY_SQL, _project_sql, author_to_affil, project, r6
+from scholion.runtime import checkpointed
 
 def r9(c: str) -> F.Column:
     return F.round(F.col(c), 9)
@@ -145,7 +146,7 @@ UNION ALL SELECT 'affil:' || affil_id, 0.5 * sum(score) / (SELECT sum(score) FRO
 
 
 def priors(scores: DataFrame, layer: str, key: str, share: float) -> DataFrame:
-    s = scores.select(F.concat(F.lit(f"{layer}:"), F.col(key).cast("string")).alias("node"), "score")
+    s = checkpointed(scores.select(F.concat(F.lit(f"{layer}:"), F.col(key).cast("string")).alias("node"), "score"))
     return G.mixed_prior(s, share, s.count())
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from scholion import fixtures
 from scholion.operators import credit as C
+from scholion.operators import blocks as B
 from scholion.operators import corpus as K
 from scholion.operators import graph as G
 from scholion.operators import learning as L
 from scholion.plans import QUERIES
+from scholion.plans import graphs as PG
 from scholion.plans import rankings as P
 from scholion.plans import relational as PR
 from scholion.plans import searchers as SQ
@@ -143,3 +145,36 @@ def test_the_edges_of_the_token_walk_are_not_grouped(spark, monkeypatch, capsys)
     assert edges.count() == edges.select("src", "dst").distinct().count()
     seen[0].explain()
     assert "max_by" not in capsys.readouterr().out
+
+
+def test_a_step_of_a_walk_moves_values_of_blocks_and_no_edges(spark, monkeypatch):
+    """A hub of both kinds: its edges lie in all blocks, and a step sends a value for each node and block at most."""
+    n, blocks = 400, 4
+    edges = [(0, k, 1.0 + k % 3) for k in range(1, n)] + [(k, 0, 1.0) for k in range(1, n, 2)] + [(k, k + 1, 2.0) for k in range(1, n - 1, 2)]
+    monkeypatch.setattr(B, "LEAST_BLOCK", 1)
+    seen = []
+    monkeypatch.setattr(B, "stored", lambda *a, f=B.stored: seen.append((f(*a), [(r["peer"], r["kind"], r["block"], r["n"], len(r["p"] or "") // 8) for r in f(*a)[0].collect()])) or seen[-1][0])
+    e = spark.createDataFrame(edges, "src int, dst int, weight double")
+    got = {r["node"]: r["score"] for r in G.pagerank(None, e, 0.3).collect()}
+    assert got == pytest.approx(G.small_pagerank(list(range(n)), edges, 0.3), abs=1e-12)
+    pairs = [r for r in seen[0][1] if r[1] != B.OWN]
+    held = [sum(r[4] for r in pairs if r[2] == b) for b in range(blocks)]
+    assert sum(held) == len(edges) and max(held) < 2 * len(edges) / blocks
+    moved = sum(r[3] for r in pairs) / 2  # both sides know a pair
+    assert moved <= 2 * blocks + n / 2  # a hub's score and sum for each block, and the edges between others
+
+
+@pytest.mark.parametrize("mixed", [0, 2])
+def test_walks_over_many_blocks_are_the_small_walk(spark, monkeypatch, mixed):
+    edges = [(k, (k * k + j) % 30, float(j)) for k in range(27) for j in range(3)] + [(k, 7, 1.0) for k in range(25)]
+    first = {3: 1.0, 28: 2.0}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(B, "LEAST_BLOCK", 1)
+    out = G.pagerank(frame([(k,) for k in range(30)], "node int"), frame(edges, "src int, dst int, weight double"), 0.3, frame(list(first.items()), "node int, weight double"), mixed=mixed)
+    assert {r["node"]: r["score"] for r in out.collect()} == pytest.approx(G.small_pagerank(list(range(30)), edges, 0.3, first), abs=1e-12 if not mixed else 1e-7)
+
+
+def test_credit_of_a_prior_is_computed_once(spark, capsys):
+    PG.priors(C.fractional_credit(fixtures.fact(spark, SF)), "affil", "affil_id", 0.5).explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" in plan and "l_orderkey" not in plan
