@@ -132,7 +132,7 @@ def even(*pairs: tuple[str, str]) -> set[tuple[str, str]]:
 
 def two_layers(spark: SparkSession, d: str) -> DataFrame:
     """Authors and institutions: author citations, affiliations, and institutions joined by their authors' scores."""
-    aa = project(citations(spark, d), fact(spark, d), papers(spark, d).select("paper_id", "year"), "author_id")
+    aa = checkpointed(project(citations(spark, d), fact(spark, d), papers(spark, d).select("paper_id", "year"), "author_id"))
     scores = authorship(spark, d).groupBy("author_id").agg(F.count("*").cast("double").alias("score"))
     ff = author_to_affil(aa, affiliation(spark, d), scores)
     return G.assemble((_as_edges(aa, "a", "b", "weight"), "author", "author", False, True), affil_edges(spark, d), (_as_edges(ff, "a", "b", "weight"), "affil", "affil", False, True))

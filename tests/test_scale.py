@@ -178,3 +178,9 @@ def test_credit_of_a_prior_is_computed_once(spark, capsys):
     PG.priors(C.fractional_credit(fixtures.fact(spark, SF)), "affil", "affil_id", 0.5).explain()
     plan = capsys.readouterr().out
     assert "FileScan" in plan and "l_orderkey" not in plan
+
+
+def test_author_citations_of_two_layers_are_joined_once(spark, capsys):
+    PG.two_layers(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" in plan and "o_custkey" not in plan
